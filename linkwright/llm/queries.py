@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkwright.functions.text import bare
 from linkwright.llm.components import connected_components
 from linkwright.llm.dedup import formatting_duplicates
+from linkwright.llm.spans import shared_portion, shared_spans
 from linkwright.llm.tokens import encode_corpus
 from linkwright.sources import table
 
@@ -44,5 +45,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans(table(spark, d, "documents"))
+
+
+def p9_portion(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document, how much is shared with others."""
+    docs = table(spark, d, "documents")
+    return shared_portion(docs, shared_spans(docs))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p7_ids)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p7_ids, p9_found, p9_portion)}
