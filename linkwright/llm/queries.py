@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.functions.text import bare
+from linkwright.llm.addresses import canonical_addresses, location_pairs, with_location
 from linkwright.llm.components import connected_components
 from linkwright.llm.dedup import formatting_duplicates
+from linkwright.llm.mixing import actual_shares, mixture
 from linkwright.llm.spans import shared_portion, shared_spans
-from linkwright.llm.tokens import encode_corpus
+from linkwright.llm.tokens import count_tokens, encode_corpus
 from linkwright.sources import table
+from linkwright.store import write
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,10 +44,42 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(table(spark, d, "linkage_indices"), "idx_a", "idx_b")
 
 
+def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a, b = table(spark, d, "df_a"), table(spark, d, "df_b")
+    cols = ["idx", "house_number", "street_name"]
+    keys = write(canonical_addresses(a.select(*cols).unionByName(b.select(*cols)), "house_number", "street_name"), "locations").df
+    written = F.concat(bare("house_number"), bare("street_name")).alias("bare")
+    return tuple(with_location(x.select(*cols), keys, "house_number", "street_name").select("idx", "location", written) for x in (a, b))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _located(spark, d)
+    total = table(spark, d, "df_a").count() + table(spark, d, "df_b").count()
+    return location_pairs(a, b, total)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sizes = write(count_tokens(table(spark, d, "documents").select("doc_id", "source", "text")), "sizes").df
+    targets = table(spark, d, "mix_targets")
+    return mixture(sizes, targets, "doc_id", "source", "n_tokens"), sizes, targets
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture, each copy a row, beside the target and the actual share of its source."""
+    mixed, sizes, targets = _mixed(spark, d)
+    shares = actual_shares(mixed, sizes, targets, "source", "n_tokens")
+    return mixed.join(F.broadcast(shares.select("source", "target_share", "actual_share")), "source")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the mixture by source."""
+    return actual_shares(*_mixed(spark, d), "source", "n_tokens")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(table(spark, d, "documents"))
 
@@ -56,4 +91,4 @@ def p9_portion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p7_ids, p9_found, p9_portion)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_portion)}
