@@ -48,4 +48,14 @@ def write(df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()) -> T
     table = Table(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
     table.schema = df.schema
     df.write.partitionBy(*partition_by).parquet(table.path)
+    release(spark)
     return table
+
+
+def release(spark: SparkSession) -> None:
+    """Let the executors delete shuffle files which nothing refers to any more.
+
+    Spark removes them once the driver collects its garbage, which a small driver heap may put off
+    until the disks are full.
+    """
+    spark._jvm.System.gc()
