@@ -2,6 +2,88 @@
 
 from __future__ import annotations
 
+
+def _scored(pairs: str) -> str:
+    """Common table expressions that give ``y(a, b, s)`` for a relation of string pairs ``a, b``."""
+    return f"""
+prs AS ({pairs}),
+u AS (SELECT a, b, length(a) n, length(b) m,
+        list_reduce(range(1, length(a)+1), lambda acc, i: list_append(acc, coalesce(list_filter(
+          range(greatest(1, i-(greatest(length(a),length(b))//2-1)),
+                least(length(b), i+(greatest(length(a),length(b))//2-1))+1),
+          lambda j: a[i]=b[j] AND NOT list_contains(acc, j))[1], 0)), []::BIGINT[]) um FROM prs),
+v AS (SELECT *, list_filter(range(1, n+1), lambda i: um[i]>0) si,
+             list_sort(list_filter(um, lambda j: j>0)) tj FROM u),
+w AS (SELECT a, b, n, m, len(si) c,
+        len(list_filter(range(1, len(si)+1), lambda k: a[si[k]]<>b[tj[k]])) t,
+        CASE WHEN a[1]<>b[1] THEN 0 WHEN a[2]<>b[2] THEN least(1,n,m)
+             WHEN a[3]<>b[3] THEN least(2,n,m) WHEN a[4]<>b[4] THEN least(3,n,m)
+             ELSE least(4,n,m) END l FROM v),
+x AS (SELECT *, CASE WHEN c=0 THEN 0::FLOAT ELSE
+        ((((c::FLOAT/n::FLOAT)+(c::FLOAT/m::FLOAT))
+          +((c::FLOAT-(t::FLOAT/2::FLOAT))/c::FLOAT))::DOUBLE/3.0::DOUBLE)::FLOAT END d FROM w),
+y AS (SELECT a, b, CASE WHEN d=0 THEN 0::FLOAT
+        ELSE d+(0.1::FLOAT*l::FLOAT)*(1::FLOAT-d) END s FROM x)"""
+
+
+_LEVEL = "CASE WHEN s >= 0.94::FLOAT THEN 2 WHEN s >= 0.88::FLOAT THEN 1 ELSE 0 END"
+_NAMES = "SELECT a.p_name a, b.p_name b FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b"
+
+# dedup of part: levels of names between distinct values, larger first, equal ones at level 2
+_DEDUP = f"""WITH {_scored(_NAMES)},
+lv AS (SELECT a, b, CASE WHEN a = b THEN 2 ELSE {_LEVEL} END AS level FROM y),
+pp AS (SELECT a.p_partkey idx_a, b.p_partkey idx_b, 2 * lv.level + (a.p_type = b.p_type)::INT AS pattern_id, lv.level
+       FROM part a JOIN part b ON a.p_partkey > b.p_partkey
+       JOIN lv ON lv.a = greatest(a.p_name, b.p_name) AND lv.b = least(a.p_name, b.p_name))
+"""
+
+_LINK = f"""WITH {_scored("SELECT a.n_name a, b.n_name b FROM nation a, nation b")},
+lv AS (SELECT a, b, {_LEVEL} AS level FROM y),
+aa AS (SELECT s_suppkey i, n_name, n_nationkey k FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+bb AS (SELECT c_custkey j, n_name, n_nationkey k FROM customer JOIN nation ON c_nationkey = n_nationkey),
+pp AS (SELECT i AS idx_a, j AS idx_b, 2 * level + (aa.k = bb.k)::INT AS pattern_id
+       FROM aa, bb JOIN lv ON TRUE WHERE lv.a = aa.n_name AND lv.b = bb.n_name)
+"""
+
+_EM = """WITH RECURSIVE pt(id, g0, g1, cnt) AS (VALUES (0,0,0,9000.0::DOUBLE),(1,0,1,150.0),(2,1,0,120.0),(3,1,1,60.0),(4,2,0,40.0),(5,2,1,630.0)),
+em(it, delta, lam, p0, p1, q0, q1) AS (
+  SELECT 0, 1.0::DOUBLE, 0.1::DOUBLE, [0.8,0.15,0.05]::DOUBLE[], [0.9,0.1]::DOUBLE[], [0.05,0.15,0.8]::DOUBLE[], [0.1,0.9]::DOUBLE[]
+  UNION ALL
+  SELECT it + 1, list_max(list_transform(list_zip(np0 || np1 || nq0 || nq1, p0 || p1 || q0 || q1), lambda z: abs(z[1] - z[2]))), nlam, np0, np1, nq0, nq1 FROM (
+    SELECT it, p0, p1, q0, q1, sum(k*cnt)/sum(cnt) AS nlam,
+      [sum(CASE WHEN g0=0 THEN (1-k)*cnt ELSE 0 END)/sum((1-k)*cnt), sum(CASE WHEN g0=1 THEN (1-k)*cnt ELSE 0 END)/sum((1-k)*cnt), sum(CASE WHEN g0=2 THEN (1-k)*cnt ELSE 0 END)/sum((1-k)*cnt)] AS np0,
+      [sum(CASE WHEN g1=0 THEN (1-k)*cnt ELSE 0 END)/sum((1-k)*cnt), sum(CASE WHEN g1=1 THEN (1-k)*cnt ELSE 0 END)/sum((1-k)*cnt)] AS np1,
+      [sum(CASE WHEN g0=0 THEN k*cnt ELSE 0 END)/sum(k*cnt), sum(CASE WHEN g0=1 THEN k*cnt ELSE 0 END)/sum(k*cnt), sum(CASE WHEN g0=2 THEN k*cnt ELSE 0 END)/sum(k*cnt)] AS nq0,
+      [sum(CASE WHEN g1=0 THEN k*cnt ELSE 0 END)/sum(k*cnt), sum(CASE WHEN g1=1 THEN k*cnt ELSE 0 END)/sum(k*cnt)] AS nq1
+    FROM (SELECT em.*, g0, g1, cnt, lam*q0[g0+1]*q1[g1+1] / (lam*q0[g0+1]*q1[g1+1] + (1-lam)*p0[g0+1]*p1[g1+1]) AS k FROM em, pt WHERE delta >= 1e-4 AND it < 5000)
+    GROUP BY it, p0, p1, q0, q1)),
+fin AS (SELECT * FROM em ORDER BY it DESC LIMIT 1),
+ks AS (SELECT id, cnt, lam, lam*q0[g0+1]*q1[g1+1] / (lam*q0[g0+1]*q1[g1+1] + (1-lam)*p0[g0+1]*p1[g1+1]) AS k FROM fin, pt)
+"""
+
+_CURVE = """, grid AS (SELECT range / 1000.0::DOUBLE AS s FROM range(1001)),
+cv AS (SELECT s, sum(CASE WHEN k >= s THEN (1-k)*cnt ELSE 0 END) AS wrong, sum(CASE WHEN k >= s THEN cnt ELSE 0 END) AS linked,
+              sum(CASE WHEN k < s THEN k*cnt ELSE 0 END) AS missed, any_value(lam) AS lam, sum(cnt) AS n FROM grid, ks GROUP BY s),
+fr AS (SELECT s, CASE WHEN linked > 0 THEN wrong/linked END AS fdr, missed/(lam*n) AS fnr, missed/lam*n AS odd FROM cv)
+"""
+
+_SETS = """WITH x AS (SELECT a.s_suppkey idx_a, b.s_suppkey idx_b FROM supplier a JOIN supplier b ON a.s_suppkey > b.s_suppkey AND a.s_nationkey = b.s_nationkey),
+y AS (SELECT a.s_suppkey idx_a, b.s_suppkey idx_b FROM supplier a JOIN supplier b ON a.s_suppkey > b.s_suppkey AND sign(a.s_acctbal) = sign(b.s_acctbal))
+"""
+
+_BLOCKED = f"""WITH {_scored("SELECT a.g a, b.g b FROM (SELECT DISTINCT c_mktsegment g FROM customer) a, (SELECT DISTINCT c_mktsegment g FROM customer) b")},
+lv AS (SELECT a, b, CASE WHEN a = b THEN 2 ELSE {_LEVEL} END AS level FROM y),
+pp AS (SELECT 2 * level + (a.c_acctbal = b.c_acctbal)::INT AS pattern_id FROM customer a JOIN customer b ON a.c_custkey > b.c_custkey AND a.c_nationkey = b.c_nationkey
+       JOIN lv ON lv.a = greatest(a.c_mktsegment, b.c_mktsegment) AND lv.b = least(a.c_mktsegment, b.c_mktsegment)),
+t AS (SELECT sum(n * (n + 1) // 2)::BIGINT AS total FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)),
+c AS (SELECT pattern_id, count(*) AS n FROM pp WHERE pattern_id > 0 GROUP BY 1)
+SELECT range::INT AS pattern_id, CASE WHEN range = 0 THEN (SELECT total FROM t) - (SELECT coalesce(sum(n), 0)::BIGINT FROM c) ELSE coalesce(n, 0) END AS count
+FROM range(6) LEFT JOIN c ON pattern_id = range
+"""
+
+_HARD = """SELECT a.last_name, a.first_name, a.house_number, a.street_name, a.birth_year, a.idx AS idx_a, a.gender AS gender_a, b.idx AS idx_b, b.gender AS gender_b
+FROM df_a a JOIN df_b b USING (last_name, first_name, house_number, street_name, birth_year)"""
+
 _P4 = """
 SELECT 'last_name' AS field_name, last_name AS key_value FROM df_a WHERE last_name IS NOT NULL GROUP BY last_name
 HAVING count(*) >= 0.03 * (SELECT count(*) FROM df_a)
@@ -13,6 +95,33 @@ HAVING count(*) >= 0.03 * (SELECT count(*) FROM df_a)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "jw_similarity_pairs": f"WITH {_scored(_NAMES)} SELECT a, b, round(s, 5)::DOUBLE AS similarity, {_LEVEL} AS level FROM y",
+        "jw_unique_levels": f"WITH {_scored(_NAMES)} SELECT a AS v, b AS w, {_LEVEL} AS level FROM y WHERE s >= 0.88::FLOAT",
+        "jw_link_levels": f"WITH {_scored('SELECT a.p_name a, b.n_name b FROM (SELECT DISTINCT p_name FROM part) a, nation b')} SELECT p_partkey AS idx_a, n_nationkey::BIGINT AS idx_b, CASE WHEN s >= 0.6::FLOAT THEN 2 ELSE 1 END AS level FROM y JOIN part ON p_name = a JOIN nation ON n_name = b WHERE s >= 0.4::FLOAT",
+        "exact_pairs_by_nation": "SELECT c_custkey AS idx_a, s_suppkey AS idx_b FROM customer JOIN supplier ON c_nationkey = s_nationkey",
+        "jw_dedup_levels": _DEDUP + "SELECT level, count(*) AS n_pairs, sum(idx_a - idx_b)::BIGINT AS sum_gap FROM pp WHERE level > 0 GROUP BY level",
+        "exact_dedup_pairs": _SETS + "SELECT * FROM x",
+        "intersect_of_pairs": _SETS + "SELECT * FROM x INTERSECT SELECT * FROM y",
+        "setdiff_of_pairs": _SETS + "SELECT * FROM x EXCEPT SELECT * FROM y",
+        "union_of_pairs": _SETS + "SELECT * FROM x UNION SELECT * FROM y",
+        "link_indices": _LINK + "SELECT * FROM pp WHERE pattern_id > 0",
+        "link_counts": _LINK + "SELECT range::INT AS pattern_id, count(idx_a) AS count FROM range(6) LEFT JOIN pp ON pattern_id = range GROUP BY range",
+        "dedup_indices": _DEDUP + "SELECT pattern_id, count(*) AS n_pairs, sum(idx_a)::BIGINT AS sum_a, sum(idx_b)::BIGINT AS sum_b FROM pp WHERE pattern_id > 0 GROUP BY pattern_id",
+        "dedup_counts": _DEDUP + ", c AS (SELECT pattern_id, count(*) AS n FROM pp GROUP BY 1) SELECT range::INT AS pattern_id, coalesce(n, 0) + CASE WHEN range = 0 THEN (SELECT count(*) FROM part) ELSE 0 END AS count FROM range(6) LEFT JOIN c ON pattern_id = range",
+        "gamma_of_example": "SELECT pattern_id, gamma FROM ksi",
+        "em_params": _EM + """SELECT -1 AS class, -1 AS variable, -1 AS level, round(lam, 4) AS prob FROM fin
+            UNION ALL SELECT c, v, l, round(CASE WHEN c = 0 AND v = 0 THEN p0[l+1] WHEN c = 0 THEN p1[l+1] WHEN v = 0 THEN q0[l+1] ELSE q1[l+1] END, 4)
+            FROM fin, (VALUES (0,0,0),(0,0,1),(0,0,2),(0,1,0),(0,1,1),(1,0,0),(1,0,1),(1,0,2),(1,1,0),(1,1,1)) t(c, v, l)""",
+        "em_ksi": _EM + "SELECT id AS pattern_id, round(k, 4) AS ksi FROM ks",
+        "dedup_linked": "SELECT a.s_suppkey AS \"s_suppkey_A\", a.s_name AS \"s_name_A\", a.s_nationkey AS \"s_nationkey_A\", a.s_suppkey AS \"Index_A\", b.s_suppkey AS \"Index_B\", b.s_suppkey AS \"s_suppkey_B\", b.s_name AS \"s_name_B\", b.s_nationkey AS \"s_nationkey_B\" FROM supplier a JOIN supplier b ON a.s_suppkey > b.s_suppkey AND a.s_nationkey = b.s_nationkey",
+        "hard_merge": _HARD,
+        "overlap_count": "SELECT count(*) AS n_common FROM (SELECT last_name, first_name FROM df_a INTERSECT SELECT last_name, first_name FROM df_b)",
+        "precision_recall": f"WITH h AS ({_HARD}) SELECT round(avg(coalesce((gender_a = gender_b)::INT, 0)), 6) AS precision, round(sum(coalesce((gender_a = gender_b)::INT, 0)) / (SELECT count(*) FROM (SELECT gender FROM df_a INTERSECT SELECT gender FROM df_b)), 6) AS per_common FROM h",
+        "fdr_fnr_frontier": _EM + _CURVE + "SELECT s, round(coalesce(fdr, -1), 4) AS fdr, round(fnr, 4) AS fnr FROM fr",
+        "optimal_threshold": _EM + _CURVE + "SELECT FALSE AS compat, arg_min(s, (coalesce(fdr + fnr, 2), s)) AS s FROM fr UNION ALL SELECT TRUE, arg_min(s, (coalesce(fdr + odd, 2), s)) FROM fr",
+        "blocked_counts": _BLOCKED,
+        "added_counts": _BLOCKED,
+        "indexed_rows": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders",
         "p4_found": _P4,
         "p4_by_last_name": "SELECT last_name, count(*) AS n_rows, count(DISTINCT first_name) AS n_first_names, min(birth_year) AS first_year, max(birth_year) AS last_year FROM df_a WHERE last_name IS NOT NULL GROUP BY last_name",
         "p4_join_by_birth_year": "SELECT a.idx, a.birth_year, s.n_year, s.n_last_names FROM df_a a JOIN (SELECT birth_year, count(*) AS n_year, count(DISTINCT last_name) AS n_last_names FROM df_a GROUP BY birth_year) s ON a.birth_year = s.birth_year",

@@ -7,11 +7,201 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkwright.config import CompareConfig
+from linkwright.functions.jaro_winkler import register
+from linkwright.functions.pairs import exact_dedup, exact_pairs, jaro_winkler_dedup, jaro_winkler_pairs, jaro_winkler_values
+from linkwright.operators.compare import Comparison, Deduplication, intersect_pairs, setdiff_pairs, union_pairs
+from linkwright.operators.estimate import Estimation
+from linkwright.operators.evaluate import Evaluation, frontier
+from linkwright.operators.indexing import INDEX, with_index
+from linkwright.operators.link import Linkage
+from linkwright.operators.patterns import add_counts, gamma_table
 from linkwright.operators.skew import frequent_values, per_key, skew_join
 from linkwright.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# A small example of pattern counts with its start.
+EXAMPLE_COUNTS = [9000, 150, 120, 60, 40, 630]
+EXAMPLE_START = ([[0.8, 0.15, 0.05], [0.9, 0.1]], [[0.05, 0.15, 0.8], [0.1, 0.9]])
+
+
+def _by(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn(INDEX, F.col(key).cast("long"))
+
+
+def _part(spark: SparkSession, d: str) -> DataFrame:
+    return _by(table(spark, d, "part"), "p_partkey")
+
+
+def _dedup(spark: SparkSession, d: str) -> Deduplication:
+    return Deduplication(table(spark, d, "part"), ["p_name"], ["p_type"], index="p_partkey").fit()
+
+
+def _link(spark: SparkSession, d: str) -> Comparison:
+    """Suppliers and customers by nation names and exact nations."""
+    nation = table(spark, d, "nation")
+    a = table(spark, d, "supplier").join(nation.withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").select("s_suppkey", F.col("n_name").alias("name_a"), F.col("s_nationkey").alias("nation_a"))
+    b = table(spark, d, "customer").join(nation.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey", F.col("n_name").alias("name_b"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation_b"))
+    return Comparison(a, b, ["name_a"], ["name_b"], ["nation_a"], ["nation_b"], index_a="s_suppkey", index_b="c_custkey").fit()
+
+
+def _example() -> Estimation:
+    return Estimation(1, 1, EXAMPLE_COUNTS, init=EXAMPLE_START).fit()
+
+
+def jw_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of part names with their similarity."""
+    register(spark)
+    names = table(spark, d, "part").select("p_name").distinct()
+    # a stated set of few values against itself
+    return names.select(F.col("p_name").alias("a")).join(names.select(F.col("p_name").alias("b")), F.lit(True)).selectExpr("a", "b", "cast(round(jw_similarity(a, b), 5) as double) AS similarity", "jw_level(a, b) AS level")
+
+
+def jw_unique_levels(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return jaro_winkler_values(part, part, "p_name", "p_name").select("v", "w", "level")
+
+
+def jw_link_levels(spark: SparkSession, d: str) -> DataFrame:
+    part = _part(spark, d)
+    return jaro_winkler_pairs(part, _by(table(spark, d, "nation").withColumnRenamed("n_name", "other"), "n_nationkey"), "p_name", "other", CompareConfig(lower=0.4, upper=0.6))
+
+
+def exact_pairs_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    return exact_pairs(_by(table(spark, d, "customer"), "c_custkey"), _by(table(spark, d, "supplier"), "s_suppkey"), "c_nationkey", "s_nationkey").drop("level")
+
+
+def jw_dedup_levels(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of parts reach each level of name similarity."""
+    return jaro_winkler_dedup(_part(spark, d), "p_name").groupBy("level").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("idx_a") - F.col("idx_b")).alias("sum_gap"))
+
+
+def exact_dedup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return exact_dedup(_by(table(spark, d, "supplier"), "s_suppkey"), "s_nationkey").drop("level")
+
+
+def _two_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    supplier = _by(table(spark, d, "supplier"), "s_suppkey")
+    sign = supplier.withColumn("sign", F.signum("s_acctbal"))
+    return exact_dedup(supplier, "s_nationkey"), exact_dedup(sign, "sign")
+
+
+def intersect_of_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return intersect_pairs(*_two_sets(spark, d))
+
+
+def setdiff_of_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return setdiff_pairs(*_two_sets(spark, d))
+
+
+def union_of_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return union_pairs(*_two_sets(spark, d))
+
+
+def link_indices(spark: SparkSession, d: str) -> DataFrame:
+    return _link(spark, d).pairs
+
+
+def link_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _link(spark, d).counts
+
+
+def dedup_indices(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of each pattern, in short: their number and sums of both ends."""
+    return _dedup(spark, d).pairs.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("idx_a").alias("sum_a"), F.sum("idx_b").alias("sum_b"))
+
+
+def dedup_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _dedup(spark, d).counts
+
+
+def gamma_of_example(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns of four fuzzy variables and an exact one, as in the table ksi."""
+    return gamma_table(spark, 4, 1)
+
+
+def em_params(spark: SparkSession, d: str) -> DataFrame:
+    return _example().params_table(spark).select("class", "variable", "level", F.round("prob", 4).alias("prob"))
+
+
+def em_ksi(spark: SparkSession, d: str) -> DataFrame:
+    return _example().ksi_table(spark).select("pattern_id", F.round("ksi", 4).alias("ksi"))
+
+
+def linked_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Voter records linked by the given match probabilities, blocked by birth year."""
+    cols = ["last_name", "first_name", "house_number", "street_name"]
+    a, b = table(spark, d, "df_a").select("idx", "birth_year", *cols), table(spark, d, "df_b").select("idx", "birth_year", *cols)
+    made = Comparison(a, b, cols, cols, ["birth_year"], ["birth_year"], block_on=["birth_year"], index_a="idx", index_b="idx").fit()
+    return Linkage(made.a, made.b, made.pairs, table(spark, d, "ksi").select("pattern_id", "ksi")).transform(include_score=True, compat=False)
+
+
+def voter_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pattern counts of the voter files within birth years."""
+    cols = ["last_name", "first_name", "house_number", "street_name"]
+    a, b = table(spark, d, "df_a"), table(spark, d, "df_b")
+    return Comparison(a, b, cols, cols, block_on=["birth_year"], index_a="idx", index_b="idx").fit().counts
+
+
+def dedup_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Duplicates of suppliers' nations, linked with themselves."""
+    made = Deduplication(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), [], ["s_nationkey"], index="s_suppkey").fit()
+    return Linkage(made.a, made.b, made.pairs, [0.0, 0.9]).transform()
+
+
+def hard_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Voter records that agree in five columns as they stand."""
+    keys = ["last_name", "first_name", "house_number", "street_name", "birth_year"]
+    side = lambda t, s: table(spark, d, t).select(*keys, F.col("idx").alias(f"idx_{s}"), F.col("gender").alias(f"gender_{s}"))
+    return side("df_a", "a").join(side("df_b", "b"), keys)
+
+
+def overlap_count(spark: SparkSession, d: str) -> DataFrame:
+    """How many full names both voter files have."""
+    names = lambda t: table(spark, d, t).select("last_name", "first_name")
+    return names("df_a").intersect(names("df_b")).agg(F.count(F.lit(1)).alias("n_common"))
+
+
+def precision_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The hard merge measured by gender as if it were the truth."""
+    common = table(spark, d, "df_a").select("gender").intersect(table(spark, d, "df_b").select("gender")).agg(F.count(F.lit(1)).alias("n"))
+    same = F.coalesce((F.col("gender_a") == F.col("gender_b")).cast("int"), F.lit(0))
+    return hard_merge(spark, d).agg(F.avg(same).alias("precision"), F.sum(same).alias("n_same")).join(common, F.lit(True)).select(F.round("precision", 6).alias("precision"), F.round(F.col("n_same") / F.col("n"), 6).alias("per_common"))
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    e = _example()
+    return spark.createDataFrame([(float(k), float(c)) for k, c in zip(e.Ksi, e.counts)], "ksi double, count double")
+
+
+def fdr_fnr_frontier(spark: SparkSession, d: str) -> DataFrame:
+    curve = frontier(_patterns(spark), _example().Lambda, compat=False)
+    return curve.select("s", F.round(F.nanvl("fdr", F.lit(-1.0)), 4).alias("fdr"), F.round("fnr", 4).alias("fnr"))
+
+
+def optimal_threshold(spark: SparkSession, d: str) -> DataFrame:
+    e = _example()
+    rows = [(compat, Evaluation(e.Lambda, e.Ksi, e.counts, compat).optimal_threshold(1.0)) for compat in (False, True)]
+    return spark.createDataFrame(rows, "compat boolean, s double")
+
+
+def blocked_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers within nations by market segment, and by name."""
+    return Deduplication(table(spark, d, "customer"), ["c_mktsegment"], ["c_acctbal"], block_on=["c_nationkey"], index="c_custkey").fit().counts
+
+
+def added_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same from blocks compared one by one, a block for each region of the nations."""
+    customers = table(spark, d, "customer").join(table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
+    made = [Deduplication(customers.where(F.col("n_regionkey") == r), ["c_mktsegment"], ["c_acctbal"], block_on=["c_nationkey"], index="c_custkey").fit().counts for r in range(5)]
+    return add_counts(*made)
+
+
+def indexed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders numbered by date and key."""
+    return with_index(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col(INDEX).alias("position"))
+
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "df_a").select("last_name", "birth_year")
@@ -34,4 +224,9 @@ def p4_join_by_birth_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_by_last_name, p4_join_by_birth_year)}
+    return {f.__name__: f for f in (
+        jw_similarity_pairs, jw_unique_levels, jw_link_levels, exact_pairs_by_nation, jw_dedup_levels, exact_dedup_pairs,
+        intersect_of_pairs, setdiff_of_pairs, union_of_pairs, link_indices, link_counts, dedup_indices, dedup_counts,
+        gamma_of_example, em_params, em_ksi, linked_rows, voter_counts, dedup_linked, hard_merge, overlap_count,
+        precision_recall, fdr_fnr_frontier, optimal_threshold, blocked_counts, added_counts, indexed_rows,
+        p4_found, p4_by_last_name, p4_join_by_birth_year)}
