@@ -48,7 +48,10 @@ _SAID = rf"(?:(?<!\p{{L}})(?:{'|'.join(NUMBER_WORDS)})(?!\p{{L}}){_GAP})+(?=\p{{
 
 def _clean(c: Column) -> Column:
     low = F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"['’`´]|(?<=\p{N})[.](?=\p{N})|(?<=\p{L})[.-](?=\p{L})", "")
-    out = low
+    # scans take o, l and s for digits and m for rn
+    out = F.replace(low, F.lit("rn"), F.lit("m"))
+    for digit, letter in (("0", "o"), ("1", "l"), ("5", "s")):
+        out = F.regexp_replace(out, rf"(?<=\p{{L}}){digit}(?=\p{{L}})", letter)
     for pattern in (_UNIT, _JOINED_UNIT, _SAID):
         out = F.regexp_replace(out, pattern, " ")
     return out

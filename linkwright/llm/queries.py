@@ -11,8 +11,10 @@ from linkwright.functions.text import bare
 from linkwright.llm.addresses import canonical_addresses, location_pairs, with_location
 from linkwright.llm.components import connected_components
 from linkwright.llm.dedup import formatting_duplicates
+from linkwright.llm.matching import match_entities
 from linkwright.llm.mixing import actual_shares, mixture
 from linkwright.llm.spans import shared_portion, shared_spans
+from linkwright.llm.variants import name_variants
 from linkwright.llm.tokens import count_tokens, encode_corpus
 from linkwright.sources import table
 from linkwright.store import write
@@ -27,6 +29,15 @@ def _registrations(spark: SparkSession, d: str) -> DataFrame:
         {"name": [bare("last_name"), bare("first_name")]})
 
 
+def _both(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return table(spark, d, "df_a").select(*columns).unionByName(table(spark, d, "df_b").select(*columns))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _both(spark, d, "idx", "last_name", "first_name", "house_number", "street_name", "birth_year", "gender")
+    return name_variants(rows, table(spark, d, "given_name_forms"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _registrations(spark, d).where("copy <> keep").select(F.col("keep").alias("keep_idx"), F.col("copy").alias("copy_idx"))
 
@@ -44,6 +55,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(table(spark, d, "linkage_indices"), "idx_a", "idx_b")
 
 
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_entities(table(spark, d, "df_a"), table(spark, d, "df_b"), table(spark, d, "given_name_forms"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("idx_a", "idx_b")
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with their confidence."""
+    return _matches(spark, d)
+
+
 def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a, b = table(spark, d, "df_a"), table(spark, d, "df_b")
     cols = ["idx", "house_number", "street_name"]
@@ -91,4 +115,4 @@ def p9_portion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_portion)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p5_found, p5_confidence, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_portion)}
