@@ -7,9 +7,11 @@ Equal windows have equal minimizers at equal offsets, so that
 
 * a path found in two records is shared as a whole;
 * a path found in one record only can share windows with no other path than those of the same
-  minimizer, and just these few paths are opened into windows by their source coordinates.
+  minimizer, and just these few paths are opened by their source coordinates, first into blocks of
+  neighbouring windows and, where the characters that all windows of a block have in common are
+  held by another record but the block is not, into single windows.
 
-Both steps are joins on hashes with partial aggregates; records are never paired.
+All steps are joins on hashes with partial aggregates; records are never paired.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkwright.operators.skew import annotate_groups
 from linkwright.store import Table, write
 
 _U = np.uint64
@@ -28,6 +31,8 @@ _BASE, _BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
 #: Code points hashed at once; positions must fit into the low bits of a packed minimum.
 PIECE, _POS_BITS = 1 << 20, 24
+#: Windows in a block.
+BLOCK = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,7 +92,7 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def paths_of(codes: np.ndarray, owner: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """First window, last window, minimizer and content hash of each path of a piece.
+    """First window, last window, minimizer, its place and content hash of each path of a piece.
 
     ``owner`` numbers the text of each code point; windows over two texts are left out.
     """
@@ -105,7 +110,7 @@ def paths_of(codes: np.ndarray, owner: np.ndarray, k: int, m: int) -> tuple[np.n
     last &= inside
     first, end = np.flatnonzero(change), np.flatnonzero(last)
     content = hashes.of(first, end + k) ^ (Hashes(codes, _BASE_2).of(first, end + k) * _U(_BASE))
-    return first, end, grams[least[first]], _mix(content)
+    return first, end, grams[least[first]], least[first], _mix(content)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -146,40 +151,67 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def text_paths(df: DataFrame, id_col: str, text_col: str, k: int, m: int) -> DataFrame:
-    """``doc, s, e, mz, sh``: the paths of each text, from the window at ``s`` to the one at ``e``."""
+    """``doc, s, e, o, mz, sh``: the paths of each text, from the window at ``s`` to the one at ``e``.
+
+    The minimizer lies ``o`` characters after ``s``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for codes, number, where in _pieces(batch.column(1).to_pylist(), k):
-                first, last, mz, sh = paths_of(codes, number, k, m)
+                first, last, mz, at, sh = paths_of(codes, number, k, m)
                 text, shift = where[number[first]].T
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(first + shift, pa.int32()), pa.array(last + shift, pa.int32()), _signed(mz), _signed(sh)], ["doc", "s", "e", "mz", "sh"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(first + shift, pa.int32()), pa.array(last + shift, pa.int32()), pa.array(at - first, pa.int32()), _signed(mz), _signed(sh)], ["doc", "s", "e", "o", "mz", "sh"])
 
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= k)
-    return texts.mapInArrow(run, "doc bigint, s int, e int, mz bigint, sh bigint")
+    return texts.mapInArrow(run, "doc bigint, s int, e int, o int, mz bigint, sh bigint")
 
 
-def _windows(listed: DataFrame, k: int) -> DataFrame:
-    """``mz, wh, lo, hi, doc, s``: each window of the listed paths with its hash."""
+def _blocks(listed: DataFrame, k: int, size: int) -> DataFrame:
+    """``mz, b, core, whole, lo, hi, a, wh``: the listed paths cut into blocks of windows.
+
+    Block ``b`` of a minimizer at ``p`` has the windows that begin from ``p - (b + 1) size + 1`` to
+    ``p - b size``, as far as the path goes, beginning at ``a``. ``core`` hashes what they have in
+    common, ``whole`` all they cover, ``wh`` each of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, lists = batch.column(0).to_pylist(), batch.column(2)
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            lists = batch.column(1)
+            for row, text in enumerate(batch.column(0).to_pylist()):
                 codes, fields = _codes(text), lists[row].values
-                s, e, mz, lo, hi, own = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                s, e, o, mz, lo, hi = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(6))
                 for part in np.unique(s // PIECE):
                     chosen = np.flatnonzero(s // PIECE == part)
                     base = int(part) * PIECE
                     here = codes[base : int(e[chosen].max()) + k]
+                    one, two = Hashes(here), Hashes(here, _BASE_2)
+
+                    def of(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+                        return _mix(one.of(begin, end) ^ (two.of(begin, end) * _U(_BASE)))
+
                     n = e[chosen] - s[chosen] + 1
                     path = np.repeat(chosen, n)
                     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s[path] - base
-                    wh = Hashes(here).of(at, at + k) ^ (Hashes(here, _BASE_2).of(at, at + k) * _U(_BASE))
-                    yield pa.RecordBatch.from_arrays([pa.array(mz[path]), _signed(_mix(wh)), pa.array(lo[path]), pa.array(hi[path]), pa.array(np.full(len(at), docs[row])), pa.array(np.where(own[path], at + base, -1), pa.int32())], ["mz", "wh", "lo", "hi", "doc", "s"])
-
-    return listed.mapInArrow(run, "mz bigint, wh bigint, lo bigint, hi bigint, doc bigint, s int")
+                    mini = s[path] + o[path] - base
+                    number = (mini - at) // size
+                    new = np.ones(len(at), bool)
+                    new[1:] = (path[1:] != path[:-1]) | (number[1:] != number[:-1])
+                    first = np.flatnonzero(new)
+                    last = np.append(first[1:], len(at)) - 1
+                    begin = mini[first] - number[first] * size
+                    core = of(begin, begin - size + 1 + k)
+                    whole = of(at[first], at[last] + k)
+                    # blocks of other extent are other blocks
+                    whole = _mix(whole + (mini[first] - at[first]).astype(_U) * _U(_BASE_2))
+                    windows = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), _signed(of(at, at + k)))
+                    own = path[first]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mz[own]), pa.array(number[first], pa.int32()), _signed(core), _signed(whole), pa.array(lo[own]), pa.array(hi[own]), pa.array(at[first] + base, pa.int32()), windows],
+                        ["mz", "b", "core", "whole", "lo", "hi", "a", "wh"])
+
+    return listed.mapInArrow(run, "mz bigint, b int, core bigint, whole bigint, lo bigint, hi bigint, a int, wh array<bigint>")
 
 
 def _runs(parts: DataFrame, keys: str, begin: str, end: str) -> DataFrame:
@@ -205,25 +237,37 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m = gram or max(1, 2 * k // 5)
     paths: Table = write(text_paths(df, id_col, text_col, k, m), "paths")
     n_paths = paths.df.count()
-    contents = paths.df.groupBy("mz", "sh").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "s")).alias("rep"))
-    groups = contents.groupBy("mz").agg(F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"), F.sum(F.when(F.col("lo") == F.col("hi"), 1).otherwise(0)).alias("open")).where("g_lo <> g_hi")
-    known = contents.join(groups.select("mz", (F.col("open") > 0).alias("open")), "mz")
-    # every path of a minimizer that several records hold; contents repeated most, of which there are few, come by broadcast
+    contents = paths.df.groupBy("mz", "sh").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("hi"), F.min(F.struct("doc", "s")).alias("rep"))
+    groups = contents.groupBy("mz").agg(F.min("rep.doc").alias("g_lo"), F.max("hi").alias("g_hi"), F.max(F.col("rep.doc") == F.col("hi")).alias("open")).where("g_lo <> g_hi")
+    # contents of the minimizers that several records hold
+    known = write(contents.join(groups.select("mz", "open"), "mz"), "known")
+    # their paths; the contents repeated most, of which there are few, come by broadcast
     often = max(100_000, n_paths // 2_000)
-    joined = paths.df.join(known.where(F.col("n") <= often), ["mz", "sh"])
+    joined = paths.df.join(known.df.where(F.col("n") <= often), ["mz", "sh"])
     if n_paths > often:
-        joined = joined.unionByName(paths.df.join(F.broadcast(known.where(F.col("n") > often)), ["mz", "sh"]))
-    met = write(joined, "met")
+        joined = joined.unionByName(paths.df.join(F.broadcast(known.df.where(F.col("n") > often)), ["mz", "sh"]))
+    met = write(joined.withColumn("lo", F.col("rep.doc")), "met")
     paths.drop()
-    whole = met.df.where("lo <> hi").select("doc", F.col("s").alias("a"), (F.col("e") + k).alias("b"))
+    known.drop()
+    shared = met.df.where("lo <> hi").select("doc", F.col("s").alias("a"), (F.col("e") + k).alias("b"))
     # paths of one record only are opened; of the others' contents, one specimen
-    opened = met.df.where("open and (lo = hi or (doc = rep.doc and s = rep.s))")
-    listed = opened.groupBy("doc").agg(F.collect_list(F.struct("s", "e", "mz", "lo", "hi", (F.col("lo") == F.col("hi")).alias("own"))).alias("paths"))
+    opened = met.df.where("open and (lo = hi or (doc = lo and s = rep.s))")
+    listed = opened.groupBy("doc").agg(F.collect_list(F.struct("s", "e", "o", "mz", "lo", "hi")).alias("paths"))
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= k)
-    windows = write(_windows(texts.join(listed, "doc").select("doc", "text", "paths"), k), "windows")
-    held = windows.df.groupBy("mz", "wh").agg(F.min("lo").alias("w_lo"), F.max("hi").alias("w_hi")).where("w_lo <> w_hi").select("mz", "wh")
-    single = windows.df.where("s >= 0").join(held, ["mz", "wh"]).select("doc", F.col("s").alias("a"), (F.col("s") + k).alias("b"))
-    return _runs(whole.unionByName(single), "doc", "a", "b").select(F.col("doc").alias(id_col), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
+    blocks = write(_blocks(texts.join(listed, "doc").select("text", "paths"), k, max(1, min(BLOCK, k // 8))), "blocks")
+    n_blocks = blocks.df.count()
+    lo_hi = lambda x: [F.min("lo").alias(f"{x}_lo"), F.max("hi").alias(f"{x}_hi")]
+    core = annotate_groups(blocks.df, ["mz", "b", "core"], lo_hi("c"), n_blocks).where("c_lo <> c_hi")
+    alive = write(core.select("mz", "b", "core", "whole", "lo", "hi", "a", "wh"), "alive")
+    blocks.drop()
+    sure = write(annotate_groups(alive.df, ["mz", "b", "whole"], lo_hi("w"), n_blocks, min_rows=1).withColumn("sure", F.col("w_lo") != F.col("w_hi")).select("mz", "b", "core", "lo", "hi", "a", "wh", "sure"), "sure")
+    alive.drop()
+    whole = sure.df.where("sure and lo = hi").select(F.col("lo").alias("doc"), "a", (F.col("a") + F.size("wh") - 1 + k).alias("b"))
+    part = annotate_groups(sure.df, ["mz", "b", "core"], [F.max(~F.col("sure") & (F.col("lo") == F.col("hi"))).alias("some")], n_blocks).where("some")
+    windows = part.select("mz", "lo", "hi", "a", "sure", F.posexplode("wh").alias("i", "w"))
+    held = annotate_groups(windows, ["mz", "w"], lo_hi("w"), BLOCK * n_blocks).where("w_lo <> w_hi and lo = hi and not sure")
+    single = held.select(F.col("lo").alias("doc"), (F.col("a") + F.col("i")).alias("a"), (F.col("a") + F.col("i") + k).alias("b"))
+    return _runs(shared.unionByName(whole).unionByName(single), "doc", "a", "b").select(F.col("doc").alias(id_col), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 
 def shared_portion(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
