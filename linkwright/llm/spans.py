@@ -237,17 +237,24 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m = gram or max(1, 2 * k // 5)
     paths: Table = write(text_paths(df, id_col, text_col, k, m), "paths")
     n_paths = paths.df.count()
-    contents = paths.df.groupBy("mz", "sh").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("hi"), F.min(F.struct("doc", "s")).alias("rep"))
-    groups = contents.groupBy("mz").agg(F.min("rep.doc").alias("g_lo"), F.max("hi").alias("g_hi"), F.max(F.col("rep.doc") == F.col("hi")).alias("open")).where("g_lo <> g_hi")
-    # contents of the minimizers that several records hold
-    known = write(contents.join(groups.select("mz", "open"), "mz"), "known")
-    # their paths; the contents repeated most, of which there are few, come by broadcast
+    # minimizers that several records hold; of the most frequent, there are few, and they come by broadcast
     often = max(100_000, n_paths // 2_000)
-    joined = paths.df.join(known.df.where(F.col("n") <= often), ["mz", "sh"])
+    several = write(paths.df.groupBy("mz").agg(F.min("doc").alias("g_lo"), F.max("doc").alias("g_hi"), F.count(F.lit(1)).alias("g_n")).where("g_lo <> g_hi").select("mz", "g_n"), "several")
+    near = paths.df.join(several.df.where(F.col("g_n") <= often).select("mz"), "mz", "left_semi")
     if n_paths > often:
-        joined = joined.unionByName(paths.df.join(F.broadcast(known.df.where(F.col("n") > often)), ["mz", "sh"]))
-    met = write(joined.withColumn("lo", F.col("rep.doc")), "met")
+        near = near.unionByName(paths.df.join(F.broadcast(several.df.where(F.col("g_n") > often).select("mz")), "mz", "left_semi"))
+    near = write(near, "near")
     paths.drop()
+    several.drop()
+    contents = write(near.df.groupBy("mz", "sh").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("hi"), F.min(F.struct("doc", "s")).alias("rep")), "contents")
+    groups = contents.df.groupBy("mz").agg(F.max(F.col("rep.doc") == F.col("hi")).alias("open"))
+    known = write(contents.df.join(groups, "mz"), "known")
+    contents.drop()
+    joined = near.df.join(known.df.where(F.col("n") <= often), ["mz", "sh"])
+    if n_paths > often:
+        joined = joined.unionByName(near.df.join(F.broadcast(known.df.where(F.col("n") > often)), ["mz", "sh"]))
+    met = write(joined.withColumn("lo", F.col("rep.doc")), "met")
+    near.drop()
     known.drop()
     shared = met.df.where("lo <> hi").select("doc", F.col("s").alias("a"), (F.col("e") + k).alias("b"))
     # paths of one record only are opened; of the others' contents, one specimen
