@@ -143,7 +143,7 @@ def _best(xs: list[str], ys: list[str], forms: Forms) -> int:
     return max((compare_words(x, y, forms) for x in xs for y in ys), default=NONE)
 
 
-_PREFIX = re.compile("^(?:mc|mac|de|o|van|der)")
+_PREFIX = re.compile("^(?:vander|vonder|mc|mac|de|o|van|der)")
 
 
 def compare_family(a: Name, b: Name, forms: Forms) -> int:
@@ -168,7 +168,8 @@ def compare_given(a: Name, b: Name, forms: Forms) -> int:
         level = compare_words(a.given[0], b.given[0], forms)
         if level == NONE:
             level = min(CUT, _best(a.given, b.given, forms))
-        if level == NONE and edits("".join(a.given), "".join(b.given)) <= 1:
+        two = a.given[0] in forms.full and b.given[0] in forms.full
+        if level == NONE and not two and edits("".join(a.given), "".join(b.given)) <= 1:
             level = SLIP
         return level
     if a.given and b.initials:

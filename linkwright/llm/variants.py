@@ -102,7 +102,7 @@ def name_knowledge(records: DataFrame, forms: DataFrame, given_share: float = 0.
     """Pairs of a given name and another form of it, and the given names themselves.
 
     Given names are the first names which at least ``given_share`` of the records have, fewer than
-    its inverse. Forms are those of the table and others mined from the records: a word which among
+    its inverse, and more records than have them for a last name. Forms are those of the table and others mined from the records: a word which among
     records of one last name, birth year and address stands beside the same given name ``support``
     times or more, and in ``part`` of its cases; relatives have many given names. A form must occur
     in one of a million records at least, which bounds their number.
@@ -110,7 +110,11 @@ def name_knowledge(records: DataFrame, forms: DataFrame, given_share: float = 0.
     word = F.replace(F.regexp_replace(folded(F.coalesce(F.col("first_name"), F.lit(""))), r"\P{L}", ""), F.lit("rn"), F.lit("m")).alias("w")
     total = records.count()
     first = records.select(word).where(F.length("w") > 2).groupBy("w").count()
-    given = [r["w"] for r in first.where(F.col("count") >= given_share * total).select("w").collect()]
+    often = {r["w"]: r["count"] for r in first.where(F.col("count") >= given_share * total).collect()}
+    # a family name that often stands in the wrong field is no given name
+    last = F.replace(F.regexp_replace(folded(F.coalesce(F.col("last_name"), F.lit(""))), r"\P{L}", ""), F.lit("rn"), F.lit("m")).alias("w")
+    family = {r["w"]: r["count"] for r in records.select(last).where(F.col("w").isin(list(often))).groupBy("w").count().collect()}
+    given = [w for w, n in often.items() if n > family.get(w, 0)]
     known = [(r["formal_name"], r["other_form"]) for r in forms.where("formal_name is not null and other_form is not null").collect()]
     place = [F.col("birth_year").alias("y"), F.concat(bare("house_number"), bare("street_name")).alias("p"), bare("last_name").alias("l")]
     at = records.where("birth_year is not null").select(*place, word).where("p <> '' and l <> '' and length(w) > 1").distinct()

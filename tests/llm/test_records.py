@@ -135,7 +135,8 @@ def test_parse_address(spark):
 
 def test_locations(spark):
     streets = ["Tobrucroft Road", "Skidoworth Road", "Upper Brasufield Street", "Gifuham Square", "Mikesford Road"]
-    rows = [(i, str(1 + i % 40), streets[i // 40]) for i in range(200)] * 2
+    streets += [f"{a}{b} {c}" for a, b, c in zip(("Pluna", "Kresi", "Vodo", "Jahi", "Lemu", "Nusti", "Fawo", "Tegri", "Shuka"), ("ham", "well", "burn", "croft", "dal", "gat", "moor", "den", "bury"), ("Lane", "Court", "Drive", "Place", "Avenue", "Terrace", "Crescent", "Highway", "Lane"))]
+    rows = [(i, str(1 + i % 40), streets[i // 40]) for i in range(40 * len(streets))] * 2
     rows += [(0, str(n), "Tobrucroft Rd") for n in (1, 2, 3, 4, 5)] + [(0, "6", "Skidoworth Rd"), (0, "7", "Skidworth Road"), (0, "8", "Brsfld Street Upper"), (0, "9", "Gifuham"), (0, "10", "tobrucroftroad"), (0, "11", "Mikesford Rd Apt 4"), (0, None, "Gifuham Square"), (0, "3", None)]
     df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "idx long, house string, street string").withColumn("number", F.lit("clash"))
     keys = canonical_addresses(df, "house", "street")
@@ -143,7 +144,7 @@ def test_locations(spark):
     at = {(r[1], r[2]): place.get(i) for i, r in enumerate(rows)}
     for (house, new), old in {("1", "Tobrucroft Rd"): "Tobrucroft Road", ("6", "Skidoworth Rd"): "Skidoworth Road", ("7", "Skidworth Road"): "Skidoworth Road", ("8", "Brsfld Street Upper"): "Upper Brasufield Street", ("9", "Gifuham"): "Gifuham Square", ("10", "tobrucroftroad"): "Tobrucroft Road", ("11", "Mikesford Rd Apt 4"): "Mikesford Road"}.items():
         assert at[house, new] == at[house, old] is not None
-    assert len({v for v in at.values() if v}) == 200
+    assert len({v for v in at.values() if v}) == 40 * len(streets)
     assert at[None, "Gifuham Square"] is None and at["3", None] is None
     assert canonical_addresses(df.where("idx < 0"), "house", "street").count() == 0
 
