@@ -97,7 +97,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "jw_similarity_pairs": f"WITH {_scored(_NAMES)} SELECT a, b, round(s, 5)::DOUBLE AS similarity, {_LEVEL} AS level FROM y",
         "jw_unique_levels": f"WITH {_scored(_NAMES)} SELECT a AS v, b AS w, {_LEVEL} AS level FROM y WHERE s >= 0.88::FLOAT",
-        "jw_link_levels": f"WITH {_scored('SELECT a.p_name a, b.n_name b FROM (SELECT DISTINCT p_name FROM part) a, nation b')} SELECT p_partkey AS idx_a, n_nationkey::BIGINT AS idx_b, CASE WHEN s >= 0.6::FLOAT THEN 2 ELSE 1 END AS level FROM y JOIN part ON p_name = a JOIN nation ON n_name = b WHERE s >= 0.4::FLOAT",
+        "jw_link_levels": f"WITH {_scored('SELECT a.p_name a, b.g b FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT lower(c_mktsegment) g FROM customer) b')} SELECT CASE WHEN s >= 0.5::FLOAT THEN 2 ELSE 1 END AS level, sum(p.n * c.n)::BIGINT AS n_pairs FROM y JOIN (SELECT p_name, count(*) n FROM part GROUP BY 1) p ON p_name = a JOIN (SELECT lower(c_mktsegment) g, count(*) n FROM customer GROUP BY 1) c ON g = b WHERE s >= 0.4::FLOAT GROUP BY 1",
         "exact_pairs_by_nation": "SELECT c_custkey AS idx_a, s_suppkey AS idx_b FROM customer JOIN supplier ON c_nationkey = s_nationkey",
         "jw_dedup_levels": _DEDUP + "SELECT level, count(*) AS n_pairs, sum(idx_a - idx_b)::BIGINT AS sum_gap FROM pp WHERE level > 0 GROUP BY level",
         "exact_dedup_pairs": _SETS + "SELECT * FROM x",

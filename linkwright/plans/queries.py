@@ -64,8 +64,10 @@ def jw_unique_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jw_link_levels(spark: SparkSession, d: str) -> DataFrame:
-    part = _part(spark, d)
-    return jaro_winkler_pairs(part, _by(table(spark, d, "nation").withColumnRenamed("n_name", "other"), "n_nationkey"), "p_name", "other", CompareConfig(lower=0.4, upper=0.6))
+    """How many pairs of a part and a market segment reach each of two low levels of similarity."""
+    segment = _by(table(spark, d, "customer"), "c_custkey").withColumn("segment", F.lower("c_mktsegment"))
+    pairs = jaro_winkler_pairs(_part(spark, d), segment, "p_name", "segment", CompareConfig(lower=0.4, upper=0.5))
+    return pairs.groupBy("level").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 def exact_pairs_by_nation(spark: SparkSession, d: str) -> DataFrame:
