@@ -55,7 +55,7 @@ def _prepare(records: DataFrame, known: list[tuple[str, str]], given: list[str])
                 of = forms.of.get(g)
                 fam.append(n.bare or None)
                 giv.append((min(of) if of else g) or None)
-                ini.append((g[:1] or "".join(n.initials[:1])) or None)
+                ini.append((giv[-1] or "".join(n.initials))[:1] or None)
             longest = [_skeleton(max(w.split(" "), key=len)) or None for w in words]
             num = [x or None for x in batch.column(6).to_pylist()]
             text = lambda x: pa.array(x, pa.string())

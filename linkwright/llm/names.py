@@ -162,6 +162,11 @@ def compare_family(a: Name, b: Name, forms: Forms) -> int:
     return _best(a.family, b.family, forms)
 
 
+def _begins(given: list[str], initials: list[str], forms: Forms) -> bool:
+    """A given name, or a name of which it is a form, begins with one of the initials."""
+    return any(f[0] in initials for w in given for f in forms.of.get(w, {w}) | {w})
+
+
 def compare_given(a: Name, b: Name, forms: Forms) -> int:
     """Level of two given names; initials count where no word does."""
     if a.given and b.given:
@@ -173,9 +178,9 @@ def compare_given(a: Name, b: Name, forms: Forms) -> int:
             level = SLIP
         return level
     if a.given and b.initials:
-        return INITIAL if any(w[0] in b.initials for w in a.given) else NONE
+        return INITIAL if _begins(a.given, b.initials, forms) else NONE
     if b.given and a.initials:
-        return INITIAL if any(w[0] in a.initials for w in b.given) else NONE
+        return INITIAL if _begins(b.given, a.initials, forms) else NONE
     if a.initials and b.initials:
         return INITIAL if set(a.initials) & set(b.initials) else NONE
     return NONE
