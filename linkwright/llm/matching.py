@@ -8,6 +8,7 @@ are then matched by the weaker ones, one to one, so that the confidence adds up
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -36,10 +37,27 @@ _NAMES = [x.split(" ")[0] for x in _FIELDS.split(", ")]
 SORT_KEYS = (("fam", "giv", "year", "num"), ("num", "street", "giv", "fam"), ("year", "giv", "fam", "num"))
 
 
+# Words that many streets have in common, as written in full and in short.
+COMMON_FULL = "street road avenue square drive boulevard terrace place court highway lane crescent upper lower north south east west saint fort mount old".split()
+COMMON_SHORT = "st str strt rd ave av avn sq dr drv blvd bd boul ter terr pl plc ct crt hwy hgwy ln cres cr upp low n s e w ft mt".split()
+
+
 def _skeleton(word: str) -> str:
     return word[:1] + "".join(c for c in word[1:] if c not in "aeiou")
 
 
+@functools.lru_cache(100_000)
+def _common(word: str) -> bool:
+    """The word, or what it is a slip of, is none that tells streets apart."""
+    return word in COMMON_FULL or word in COMMON_SHORT or len(word) < 3 or any(edits(word, c, 2) <= (2 if len(c) >= 7 else 1) for c in COMMON_FULL if len(c) >= 4)
+
+
+def _street_core(words: str) -> str | None:
+    """The consonants of the longest word that is the street's own."""
+    own = [w for w in words.split(" ") if not _common(w)]
+    return _skeleton(max(own, key=len)) if own else None
+
+
 def _prepare(records: DataFrame, known: list[tuple[str, str]], given: list[str]) -> DataFrame:
     """The compared features of each record."""
     number, street = parse_address(F.col("house_number"), F.col("street_name"))
@@ -56,10 +74,10 @@ def _prepare(records: DataFrame, known: list[tuple[str, str]], given: list[str])
                 fam.append(n.bare or None)
                 giv.append((min(of) if of else g) or None)
                 ini.append((giv[-1] or "".join(n.initials))[:1] or None)
-            longest = [_skeleton(max(w.split(" "), key=len)) or None for w in words]
+            street = [_street_core(w) for w in words]
             num = [x or None for x in batch.column(6).to_pylist()]
             text = lambda x: pa.array(x, pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], text(fam), text(giv), text(ini), batch.column(4), batch.column(5), text(num), text(longest)], _NAMES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], text(fam), text(giv), text(ini), batch.column(4), batch.column(5), text(num), text(street)], _NAMES)
 
     rows = records.select("idx", "side", "last_name", "first_name", F.col("birth_year").cast("int"), "gender", number.alias("number"), street.alias("street"))
     return rows.mapInArrow(run, _FIELDS)
