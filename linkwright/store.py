@@ -7,6 +7,7 @@ of an executor and can be dropped as soon as a later one replaces them.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application, without a trailing slash."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder which all executors share")
         root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="linkwright-"))
     return f"{root.rstrip('/')}/linkwright/{spark.sparkContext.applicationId}"
