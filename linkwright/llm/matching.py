@@ -251,7 +251,7 @@ def _window_pairs(features: DataFrame, key: Sequence[str], n_rows: int, evidence
     return pairs.unionByName(borders)
 
 
-def assign_one_to_one(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def assign_one_to_one(edges: DataFrame) -> DataFrame:
     """``u, v, score``: each node in at most one edge, the heaviest edges first.
 
     In each round every edge that is the best of both its ends is taken and the edges beside it go;
@@ -260,7 +260,7 @@ def assign_one_to_one(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     left = write(edges.select("u", "v", "score"), "edges")
     taken = []
-    for _ in range(max_rounds):
+    while True:  # the heaviest edge left is taken in every round
         ends = left.df.select(F.col("u").alias("x"), "u", "v", "score").unionByName(left.df.select(F.col("v").alias("x"), "u", "v", "score"))
         best = ends.groupBy("x").agg(F.max(F.struct("score", (-F.col("u")).alias("mu"), (-F.col("v")).alias("mv"))).alias("b")).select("x", (-F.col("b.mu")).alias("u"), (-F.col("b.mv")).alias("v"), F.col("b.score").alias("score"))
         both = best.groupBy("u", "v", "score").agg(F.count(F.lit(1)).alias("k")).where("k = 2")
