@@ -43,7 +43,7 @@ def value_levels(left: DataFrame, right: DataFrame | None, cfg: CompareConfig, b
     own = right is None
     b = a.withColumnsRenamed({"len_a": "len_b", "no_a": "no_b", "values_a": "values_b"}) if own else _blocks(right.where("length(v) > 0"), block_on, "b")
     kernel = _kernel(cfg, own)
-    # lengths which occur on either side are few; each block is repeated for the compatible ones
+    # there are at most as many lengths as the longest value has characters; a block is repeated for the compatible ones
     lengths = [r[0] for r in b.select("len_b").distinct().collect()]
     ranges = {n: length_range(n, cfg.lower, cfg.p) for n in {*lengths, *([r[0] for r in a.select("len_a").distinct().collect()])}}
     fits = [(n, m) for n, (low, high) in ranges.items() for m in lengths if low <= m and (high is None or m <= high) and (not own or m <= n)]
