@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from linkwright.llm.addresses import parse_address
 from linkwright.llm.components import connected_components
 from linkwright.llm.names import INITIAL, NONE, SAME, SLIP, Forms, Name, compare_family, compare_given, edits, same_letters
-from linkwright.llm.variants import name_knowledge
+from linkwright.llm.variants import name_knowledge, strata
 from linkwright.store import write
 
 #: Records in a window, and most records of a sorted partition.
@@ -291,7 +291,8 @@ def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float =
     """
     cols = ["idx", "last_name", "first_name", "house_number", "street_name", "birth_year", "gender"]
     records = a.select(*cols).withColumn("side", F.lit(0)).unionByName(b.select(*cols).withColumn("side", F.lit(1)))
-    known, given = name_knowledge(records, forms)
+    together = records.where("birth_year is not null").select(strata().alias("stratum"), "last_name", "first_name")
+    known, given = name_knowledge(records, together, forms)
     features = write(_prepare(records, known, given), "features").df
     total = max(1, features.count())
     shares = {c: _shares(features, c, total, least) for c, least in (("fam", 2e-4), ("giv", 2e-4), ("year", 1e-3))}

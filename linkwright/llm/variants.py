@@ -98,14 +98,20 @@ def one_person(a: Name, b: Name, gender_a: str | None, gender_b: str | None, cro
     return False
 
 
-def name_knowledge(records: DataFrame, forms: DataFrame, given_share: float = 0.0025, support: int = 3, part: float = 0.2) -> tuple[list[tuple[str, str]], list[str]]:
+def strata() -> Column:
+    """Birth year and bare address in one string."""
+    return F.concat_ws("|", "birth_year", F.concat(bare("house_number"), bare("street_name")))
+
+
+def name_knowledge(records: DataFrame, together: DataFrame, forms: DataFrame, given_share: float = 0.0025, support: int = 3, part: float = 0.2) -> tuple[list[tuple[str, str]], list[str]]:
     """Pairs of a given name and another form of it, and the given names themselves.
 
     Given names are the first names which at least ``given_share`` of the records have, fewer than
     its inverse, and more records than have them for a last name. Forms are those of the table and others mined from the records: a word which among
     records of one last name, birth year and address stands beside the same given name ``support``
     times or more, and in ``part`` of its cases; relatives have many given names. A form must occur
-    in one of a million records at least, which bounds their number.
+    in one of a million records at least, which bounds their number. ``together`` has ``stratum,
+    last_name, first_name`` of the records that may share a birth year and an address.
     """
     word = F.replace(F.regexp_replace(folded(F.coalesce(F.col("first_name"), F.lit(""))), r"\P{L}", ""), F.lit("rn"), F.lit("m")).alias("w")
     total = records.count()
@@ -116,11 +122,10 @@ def name_knowledge(records: DataFrame, forms: DataFrame, given_share: float = 0.
     family = {r["w"]: r["count"] for r in records.select(last).where(F.col("w").isin(list(often))).groupBy("w").count().collect()}
     given = [w for w, n in often.items() if n > family.get(w, 0)]
     known = [(r["formal_name"], r["other_form"]) for r in forms.where("formal_name is not null and other_form is not null").collect()]
-    place = [F.col("birth_year").alias("y"), F.concat(bare("house_number"), bare("street_name")).alias("p"), bare("last_name").alias("l")]
-    at = records.where("birth_year is not null").select(*place, word).where("p <> '' and l <> '' and length(w) > 1").distinct()
+    at = together.where("stratum not like '%|'").select("stratum", bare("last_name").alias("l"), word).where("l <> '' and length(w) > 1").distinct()
     names = F.broadcast(records.sparkSession.createDataFrame([(g,) for g in given], "w string"))
     rare, full = at.join(names, "w", "left_anti"), at.join(names, "w", "left_semi").withColumnRenamed("w", "g")
-    met = rare.join(full, ["y", "p", "l"]).groupBy("w", "g").agg(F.count(F.lit(1)).alias("c"))
+    met = rare.join(full, ["stratum", "l"]).groupBy("w", "g").agg(F.count(F.lit(1)).alias("c"))
     whole = F.sum("c").over(Window.partitionBy("w"))
     mined = met.withColumn("whole", whole).where((F.col("c") >= max(support, 1e-6 * total)) & (F.col("c") >= part * F.col("whole")))
     return known + [(r["g"], r["w"]) for r in mined.select("g", "w").collect()], given
@@ -137,7 +142,7 @@ def name_variants(records: DataFrame, forms: DataFrame, radius: int = 2, id_col:
     """
     total = records.count()
     name = F.concat_ws("|", F.least(bare("last_name"), bare("first_name")), F.greatest(bare("last_name"), bare("first_name")))
-    rows = records.where("birth_year is not null").select(F.col(id_col).alias("idx"), "last_name", "first_name", "gender", F.concat_ws("|", "birth_year", F.concat(bare("house_number"), bare("street_name"))).alias("stratum"), name.alias("name"))
+    rows = records.where("birth_year is not null").select(F.col(id_col).alias("idx"), "last_name", "first_name", "gender", strata().alias("stratum"), name.alias("name"))
     mixed = write(annotate_groups(rows, ["stratum"], [F.min("name").alias("n0"), F.max("name").alias("n1")], total).where("n0 <> n1").drop("n0", "n1"), "strata")
     tokens = write(mixed.df.select("idx", "stratum", F.explode(name_words("last_name", "first_name")).alias("word")), "words")
     variants = metric_variants(tokens.df, radius)
@@ -147,6 +152,6 @@ def name_variants(records: DataFrame, forms: DataFrame, radius: int = 2, id_col:
     pairs = either.join(by(0), ["stratum", "x"]).join(by(1), ["stratum", "y"]).where("i0 <> i1").select(F.least("i0", "i1").alias("idx_1"), F.greatest("i0", "i1").alias("idx_2")).distinct()
     side = lambda i: mixed.df.select(F.col("idx").alias(f"idx_{i}"), *[F.col(c).alias(f"{c}_{i}") for c in ("last_name", "first_name", "gender", "name")], *(["group_rows"] if i == 1 else []))
     both = pairs.join(side(1), "idx_1").join(side(2), "idx_2").where("name_1 <> name_2")
-    known, given = name_knowledge(records, forms)
+    known, given = name_knowledge(records, mixed.df, forms)
     cols = ["idx_1", "idx_2", "last_name_1", "first_name_1", "gender_1", "last_name_2", "first_name_2", "gender_2", "group_rows"]
     return both.select(*cols).mapInArrow(judge(known, given), "idx_1 bigint, idx_2 bigint")
