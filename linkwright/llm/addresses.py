@@ -17,6 +17,8 @@ A round mines four kinds of rewrites:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,32 +44,34 @@ _GAP = r"[\s\p{Z}\p{P}#]*"
 _NUMBER = r"\p{N}++(?:\p{L}(?!\p{L}))?+"
 _UNIT = rf"(?:(?<!\p{{L}})(?:{'|'.join(UNIT_WORDS)})(?!\p{{L}})|#){_GAP}\p{{N}}(?:-?\p{{N}})*+(?:\p{{L}}(?!\p{{L}}))?+"
 # in text without blanks, a flat's word may end a longer word
-_JOINED_UNIT = rf"(?<=\p{{L}}{{4}})(?:{'|'.join(UNIT_WORDS)}){_NUMBER}\P{{L}}*$"
+_JOINED_UNIT = rf"(?<=\p{{L}}{{4}})(?:{'|'.join(UNIT_WORDS)}){_NUMBER}(?=\P{{L}}*$)"
 _SAID = rf"(?:(?<!\p{{L}})(?:{'|'.join(NUMBER_WORDS)})(?!\p{{L}}){_GAP})+(?=\p{{N}})"
 
 
-def _clean(c: Column) -> Column:
-    low = F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"['’`´]|(?<=\p{N})[.](?=\p{N})|(?<=\p{L})[.-](?=\p{L})", "")
-    # scans take o, l and s for digits and m for rn
-    out = F.replace(low, F.lit("rn"), F.lit("m"))
-    for digit, letter in (("0", "o"), ("1", "l"), ("5", "s")):
-        out = F.regexp_replace(out, rf"(?<=\p{{L}}){digit}(?=\p{{L}})", letter)
-    for pattern in (_UNIT, _JOINED_UNIT, _SAID):
-        out = F.regexp_replace(out, pattern, " ")
-    return out
-
-
-def parse_address(house: Column, street: Column) -> tuple[Column, Column]:
-    """House number with its letter, and the street's words joined by blanks; empty where missing.
+def parse_addresses(records: DataFrame, house_col: str, street_col: str, number: str = "number", words: str = "words") -> DataFrame:
+    """The rows with the house number and its letter, and the street's words joined by blanks; empty where missing.
 
     Flats and floors are left out. A number in the street's text counts if the house number's
-    column has none.
+    column has none. The steps are columns of their own, so that none is computed twice.
     """
-    h, s = _clean(house), _clean(street)
-    own = F.regexp_extract(h, _NUMBER, 0)
-    number = F.regexp_replace(F.when(own != "", own).otherwise(F.regexp_extract(s, _NUMBER, 0)), r"^0+(?=\p{N})", "")
-    words = F.array_join(F.regexp_extract_all(F.regexp_replace(s, _NUMBER, " "), F.lit(r"(\p{L}+)"), 1), " ")
-    return number, words
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text, fixed = F.col("__text"), F.col("__text")
+    # scans take o, l and s for digits and m for rn
+    for digit, letter in (("0", "o"), ("1", "l"), ("5", "s")):
+        fixed = F.regexp_replace(fixed, rf"(?<=\p{{L}}){digit}(?=\p{{L}})", letter)
+    left_out = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _UNIT, " "), _JOINED_UNIT, " "), _SAID, " ")
+    own, s = F.regexp_extract(F.element_at("__parts", 1), _NUMBER, 0), F.element_at("__parts", 2)
+    # both fields at once; nothing reaches over the mark between them
+    out = records.withColumn("__text", F.lower(F.concat(blank(house_col), F.lit("\x01"), blank(street_col))))
+    out = out.withColumn("__text", F.replace(F.regexp_replace(text, r"['’`´]|(?<=\p{N})[.](?=\p{N})|(?<=\p{L})[.-](?=\p{L})", ""), F.lit("rn"), F.lit("m")))
+    out = out.withColumn("__text", F.when(text.rlike(r"\p{L}[015]\p{L}"), fixed).otherwise(text))
+    # most texts have no number in the street and no word before the house number
+    out = out.withColumn("__text", F.when(text.rlike(r"\x01.*[\p{N}#]|^[^\p{N}\x01]"), left_out).otherwise(text))
+    out = out.withColumn("__parts", F.split(text, "\x01")).withColumn("__own", own)
+    out = out.withColumn(number, F.regexp_replace(F.when(F.col("__own") != "", F.col("__own")).otherwise(F.regexp_extract(s, _NUMBER, 0)), r"^0+(?=\p{N})", ""))
+    # a letter that belongs to a number goes with it
+    out = out.withColumn(words, F.trim(F.regexp_replace(F.regexp_replace(s, _NUMBER, " "), r"\P{L}+", " ")))
+    return out.drop("__text", "__parts", "__own")
 
 
 def _bag(words: Column) -> Column:
@@ -86,11 +90,11 @@ def _cut_alike(forms: DataFrame) -> DataFrame:
 
 
 def _token_counts(addresses: DataFrame) -> DataFrame:
-    """``tok, n, partners, n_numbers`` of each word."""
-    slots = addresses.select("number", "bag", "n", F.explode("bag").alias("tok"))
-    others = slots.select("tok", "n", "number", F.explode_outer(F.array_except("bag", F.array("tok"))).alias("other"), F.size("bag").alias("k"))
+    """``tok, n, partners`` of each word: its rows, and how many words stand beside it."""
+    slots = addresses.select("bag", "n", F.explode("bag").alias("tok"))
+    others = slots.select("tok", "n", F.explode_outer(F.array_except("bag", F.array("tok"))).alias("other"), F.size("bag").alias("k"))
     weight = F.when(F.col("k") > 1, F.col("n") / (F.col("k") - 1)).otherwise(F.col("n"))
-    return others.groupBy("tok").agg(F.round(F.sum(weight)).cast("long").alias("n"), F.approx_count_distinct("other").alias("partners"), F.approx_count_distinct("number").alias("n_numbers"))
+    return others.groupBy("tok").agg(F.round(F.sum(weight)).cast("long").alias("n"), F.approx_count_distinct("other").alias("partners"))
 
 
 def _abbreviations(addresses: DataFrame, counts: DataFrame) -> Table:
@@ -137,7 +141,8 @@ def spelling_candidates(counts: DataFrame) -> DataFrame:
     """
     words = counts.where("length(tok) >= 4").select("tok", "n", F.explode(_keys(F.col("tok"))).alias("key"))
     big = words.select("key", F.col("tok").alias("to"), F.col("n").alias("to_n"))
-    pairs = words.join(big, "key").where((F.col("to") != F.col("tok")) & (F.col("to_n") >= FREQUENT * F.col("n"))).select("tok", "to", "n", "to_n").distinct()
+    # there are a dozen keys for each word: never broadcast by the size of the words
+    pairs = words.join(big.hint("merge"), "key").where((F.col("to") != F.col("tok")) & (F.col("to_n") >= FREQUENT * F.col("n"))).select("tok", "to", "n", "to_n").distinct()
     swapped = (F.length("tok") == F.length("to")) & (F.levenshtein("tok", "to") == 2) & (F.array_sort(F.split("tok", "")) == F.array_sort(F.split("to", "")))
     bones = lambda c: F.concat(F.substring(c, 1, 1), F.regexp_replace(F.substring(F.col(c), F.lit(2), F.length(c)), "[aeiou]", ""))
     edited = ((F.levenshtein("tok", "to") == 1) | swapped) & (F.length("tok") >= 5) & (bones("tok") != F.col("tok"))
@@ -180,24 +185,36 @@ def _complete(addresses: DataFrame) -> DataFrame:
     lead = short.join(rare, "tok").groupBy("aid", "number", "part", "part_n").agg(F.min_by("tok", "tok_n").alias("tok"))
     full = sized.where("size(bag) > 1").groupBy("number", "bag", "street_n").agg(F.sum("n").alias("here_n")).select("number", F.col("bag").alias("whole"), F.col("street_n").alias("whole_n"), "here_n", F.explode("bag").alias("tok"))
     met = lead.join(full, ["number", "tok"]).where((F.size("part") < F.size("whole")) & (F.size(F.array_except("part", "whole")) == 0) & (F.col("part_n") < OWN_STREET * F.col("whole_n")))
-    # candidates which others of them contain are no rivals
-    choice = met.groupBy("aid").agg(F.collect_set("whole").alias("all"), F.max_by("whole", F.struct(F.size("whole"), "here_n")).alias("whole"))
-    alone = F.forall("all", lambda x: F.size(F.array_except(x, F.col("whole"))) == 0)
-    return choice.where(alone).select("aid", "whole")
+    choice = met.groupBy("aid").agg(F.collect_set(F.struct("whole", "whole_n")).alias("all"), F.max(F.struct(F.size("whole").alias("k"), "here_n", "whole", "whole_n")).alias("best"))
+    # a candidate that the best one contains is no rival, unless it is a street of its own
+    part_of = lambda x: (F.size(F.array_except(x["whole"], F.col("best.whole"))) == 0) & (x["whole_n"] < OWN_STREET * F.col("best.whole_n"))
+    alone = F.forall("all", lambda x: (x["whole"] == F.col("best.whole")) | part_of(x))
+    return choice.where(alone).select("aid", F.col("best.whole").alias("whole"))
+
+
+def _chained(rules: DataFrame) -> DataFrame:
+    """Rules whose results are themselves rewritten go to the end at once, two steps at a time."""
+    general = rules.where("number is null").select(F.col("tok").alias("to"), F.col("to").alias("then"))
+    return rules.join(general, "to", "left").select("number", "tok", F.coalesce("then", "to").alias("to"))
 
 
-def canonical_addresses(records: DataFrame, house_col: str, street_col: str) -> DataFrame:
-    """``number, words, location``: a key of the location of each parsed address.
+def locate(records: DataFrame, house_col: str, street_col: str, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and ``location`` of the records that have a location.
 
-    Addresses without a number or without a street have none and are left out. Mining stops when a
-    round brings no new rewrite.
+    Records without a number or without a street have none and are left out. Mining stops when a
+    round brings no new rewrite. Extra columns are ignored, repeated rows stay; an empty table
+    gives no rows.
     """
-    number, words = parse_address(F.col(house_col), F.col(street_col))
-    raw: Table = write(records.select(number.alias("number"), words.alias("words")).where("number <> '' and words <> ''").groupBy("number", "words").agg(F.count(F.lit(1)).alias("n")), "raw")
+    if clash := {"number", "words", "location"} & set(keep):
+        raise ValueError(f"these column names are taken: {sorted(clash)}")
+    parsed = write(parse_addresses(records.select(*keep, F.col(house_col).alias("__house"), F.col(street_col).alias("__street")), "__house", "__street").drop("__house", "__street"), "parsed")
+    rows = parsed.df.where("number <> '' and words <> ''")
+    raw: Table = write(rows.groupBy("number", "words").agg(F.count(F.lit(1)).alias("n")), "raw")
     forms = raw.df.groupBy("words").agg(F.sum("n").alias("n"))
     cut = raw.df.join(_cut_alike(forms), "words", "left").withColumn("cut", F.coalesce("cut", "words"))
-    base: Table = write(cut.select(F.xxhash64("number", "words").alias("aid"), "number", _bag(F.col("cut")).alias("bag"), "n"), "base")
-    now = base
+    aid = F.xxhash64("number", "words").alias("aid")
+    now: Table = write(cut.select(aid, "number", _bag(F.col("cut")).alias("bag"), "n"), "addresses")
+    raw.drop()
     for _ in range(MAX_ROUNDS):
         counts = write(_token_counts(now.df), "counts")
         abbreviations = _abbreviations(now.df, counts.df)
@@ -205,24 +222,19 @@ def canonical_addresses(records: DataFrame, house_col: str, street_col: str) ->
         nowhere = F.lit(None).cast("string").alias("number")
         spelled = everywhere.join(abbreviations.df, "tok", "left_anti")
         rules = write(abbreviations.df.select(nowhere, "tok", "to").unionByName(spelled.select(nowhere, "tok", "to")).unionByName(at_number.join(abbreviations.df, "tok", "left_anti")), "rules")
-        rewritten = write(_rewrite(now.df, rules.df), "rewritten")
+        rewritten = write(_rewrite(now.df, _chained(_chained(rules.df))), "rewritten")
         filled = write(_complete(rewritten.df), "filled")
-        after = write(rewritten.df.join(filled.df, "aid", "left").select("aid", "number", F.coalesce("whole", "bag").alias("bag"), "n"), "addresses")
         new = not (rules.df.isEmpty() and filled.df.isEmpty())
-        for x in (counts, abbreviations, rules, rewritten, filled, now):
+        after = write(rewritten.df.join(filled.df, "aid", "left").select("aid", "number", F.coalesce("whole", "bag").alias("bag"), "n"), "addresses") if new else rewritten
+        for x in (counts, abbreviations, rules, filled, now, *([rewritten] if new else [])):
             x.drop()
         now = after
         if not new:
             break
     else:
         raise RuntimeError("the rewrites did not settle")
-    return raw.df.select("number", "words", F.xxhash64("number", "words").alias("aid")).join(now.df.select("aid", F.concat_ws("|", F.col("number"), F.array_join("bag", " ")).alias("location")), "aid").drop("aid")
-
-
-def with_location(records: DataFrame, keys: DataFrame, house_col: str, street_col: str) -> DataFrame:
-    """The records that have a location, with ``location``."""
-    number, words = parse_address(F.col(house_col), F.col(street_col))
-    return records.withColumn("number", number).withColumn("words", words).join(keys, ["number", "words"]).drop("number", "words")
+    places = now.df.select("aid", F.concat_ws("|", F.col("number"), F.array_join("bag", " ")).alias("location"))
+    return rows.select(*keep, aid).join(places, "aid").drop("aid")
 
 
 def location_pairs(a: DataFrame, b: DataFrame, total_rows: int) -> DataFrame:

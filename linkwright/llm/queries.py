@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.functions.text import bare
-from linkwright.llm.addresses import canonical_addresses, location_pairs, with_location
+from linkwright.llm.addresses import locate, location_pairs
 from linkwright.llm.components import connected_components
 from linkwright.llm.dedup import formatting_duplicates
 from linkwright.llm.matching import match_entities
@@ -68,18 +68,11 @@ def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d)
 
 
-def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a, b = table(spark, d, "df_a"), table(spark, d, "df_b")
-    cols = ["idx", "house_number", "street_name"]
-    keys = write(canonical_addresses(a.select(*cols).unionByName(b.select(*cols)), "house_number", "street_name"), "locations").df
-    written = F.concat(bare("house_number"), bare("street_name")).alias("bare")
-    return tuple(with_location(x.select(*cols), keys, "house_number", "street_name").select("idx", "location", written) for x in (a, b))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _located(spark, d)
-    total = table(spark, d, "df_a").count() + table(spark, d, "df_b").count()
-    return location_pairs(a, b, total)
+    side = lambda t: table(spark, d, t).select("idx", "house_number", "street_name", F.lit(t).alias("side"))
+    rows = side("df_a").unionByName(side("df_b")).withColumn("bare", F.concat(bare("house_number"), bare("street_name")))
+    located = write(locate(rows, "house_number", "street_name", ["idx", "side", "bare"]), "located").df
+    return location_pairs(located.where("side = 'df_a'"), located.where("side = 'df_b'"), located.count())
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

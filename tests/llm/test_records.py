@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkwright.functions.text import bare
-from linkwright.llm.addresses import canonical_addresses, location_pairs, parse_address, with_location
+from linkwright.llm.addresses import locate, location_pairs, parse_addresses
 from linkwright.llm.components import connected_components
 from linkwright.llm.dedup import formatting_duplicates
 from linkwright.llm.matching import WINDOW, assign_one_to_one, match_entities
@@ -129,7 +129,7 @@ def test_name_variants(spark):
 def test_parse_address(spark):
     rows = [("12", "Main Street"), (None, "74 N Main Ct"), ("0168B", "Main St, Flat 3"), ("no 9", "Main Rd #25"), (None, "Main Rd., No No. 305"), ("", "190Main Hgwy"), (None, None), ("5", None), ("7", "Main-StUnit12")]
     df = spark.createDataFrame(rows, "h string, s string")
-    got = [tuple(r) for r in df.select(*parse_address(F.col("h"), F.col("s"))).collect()]
+    got = [tuple(r) for r in parse_addresses(df, "h", "s").select("number", "words").collect()]
     assert got == [("12", "main street"), ("74", "n main ct"), ("168b", "main st"), ("9", "main rd"), ("305", "main rd"), ("190", "main hgwy"), ("", ""), ("5", ""), ("7", "mainst")]
 
 
@@ -139,14 +139,15 @@ def test_locations(spark):
     rows = [(i, str(1 + i % 40), streets[i // 40]) for i in range(40 * len(streets))] * 2
     rows += [(0, str(n), "Tobrucroft Rd") for n in (1, 2, 3, 4, 5)] + [(0, "6", "Skidoworth Rd"), (0, "7", "Skidworth Road"), (0, "8", "Brsfld Street Upper"), (0, "9", "Gifuham"), (0, "10", "tobrucroftroad"), (0, "11", "Mikesford Rd Apt 4"), (0, None, "Gifuham Square"), (0, "3", None)]
     df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "idx long, house string, street string").withColumn("number", F.lit("clash"))
-    keys = canonical_addresses(df, "house", "street")
-    place = {r["idx"]: r["location"] for r in with_location(df.drop("number"), keys, "house", "street").collect()}
+    place = {r["idx"]: r["location"] for r in locate(df, "house", "street", ["idx"]).collect()}
     at = {(r[1], r[2]): place.get(i) for i, r in enumerate(rows)}
     for (house, new), old in {("1", "Tobrucroft Rd"): "Tobrucroft Road", ("6", "Skidoworth Rd"): "Skidoworth Road", ("7", "Skidworth Road"): "Skidoworth Road", ("8", "Brsfld Street Upper"): "Upper Brasufield Street", ("9", "Gifuham"): "Gifuham Square", ("10", "tobrucroftroad"): "Tobrucroft Road", ("11", "Mikesford Rd Apt 4"): "Mikesford Road"}.items():
         assert at[house, new] == at[house, old] is not None
     assert len({v for v in at.values() if v}) == 40 * len(streets)
     assert at[None, "Gifuham Square"] is None and at["3", None] is None
-    assert canonical_addresses(df.where("idx < 0"), "house", "street").count() == 0
+    assert locate(df.where("idx < 0"), "house", "street", ["idx"]).count() == 0
+    with pytest.raises(ValueError):
+        locate(df, "house", "street", ["number"])
 
 
 @pytest.mark.parametrize("total", [10, 10**9])
@@ -198,6 +199,8 @@ def test_windows_go_over_borders(spark):
     from linkwright.llm import matching
 
     class Always:
+        placeholders: list = []
+
         def of(self, x, y):
             return 1.0
 
