@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.addresses import parse_address
+from linkwright.llm.addresses import parse_addresses
 from linkwright.llm.components import connected_components
 from linkwright.llm.names import INITIAL, NONE, SAME, SLIP, Forms, Name, compare_family, compare_given, edits, same_letters
 from linkwright.llm.variants import name_knowledge, strata
@@ -60,8 +60,6 @@ def _street_core(words: str) -> str | None:
 
 def _prepare(records: DataFrame, known: list[tuple[str, str]], given: list[str]) -> DataFrame:
     """The compared features of each record."""
-    number, street = parse_address(F.col("house_number"), F.col("street_name"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = Forms(known, given)
         for batch in batches:
@@ -79,7 +77,7 @@ def _prepare(records: DataFrame, known: list[tuple[str, str]], given: list[str])
             text = lambda x: pa.array(x, pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], text(fam), text(giv), text(ini), batch.column(4), batch.column(5), text(num), text(street)], _NAMES)
 
-    rows = records.select("idx", "side", "last_name", "first_name", F.col("birth_year").cast("int"), "gender", number.alias("number"), street.alias("street"))
+    rows = parse_addresses(records, "house_number", "street_name").select("idx", "side", "last_name", "first_name", F.col("birth_year").cast("int"), "gender", "number", "words")
     return rows.mapInArrow(run, _FIELDS)
 
 
@@ -94,6 +92,15 @@ class Evidence:
 
     def __init__(self, shares: dict[str, dict], forms: Forms, strong: float) -> None:
         self.shares, self.forms, self.strong = shares, forms, strong
+        self.placeholders = sorted(y for y, share in shares["year"].items() if share >= PLACEHOLDER)
+        self.names: dict[int, Name] = {}
+
+    def name(self, row: Sequence) -> Name:
+        """A row's name, parsed once while the rows of a partition are compared."""
+        found = self.names.get(row[0])
+        if found is None:
+            found = self.names[row[0]] = Name(row[2], row[3], self.forms)
+        return found
 
     def bits(self, column: str, value: object) -> float:
         share = self.shares[column].get(value)
@@ -101,8 +108,8 @@ class Evidence:
 
     def of(self, a: Sequence, b: Sequence) -> float:
         """The sum for two rows of features; -inf if they contradict each other."""
-        _, _, last_a, first_a, fam_a, giv_a, _, year_a, sex_a, num_a, street_a = a
-        _, _, last_b, first_b, fam_b, giv_b, _, year_b, sex_b, num_b, street_b = b
+        _, _, _, _, fam_a, giv_a, _, year_a, sex_a, num_a, street_a = a
+        _, _, _, _, fam_b, giv_b, _, year_b, sex_b, num_b, street_b = b
         total = 0.0
         if year_a is not None and year_b is not None:
             if year_a == year_b:
@@ -121,7 +128,7 @@ class Evidence:
         if fam_a is not None and fam_a == fam_b and giv_a is not None and giv_a == giv_b:
             family = given = SAME
         else:
-            x, y = Name(last_a, first_a, self.forms), Name(last_b, first_b, self.forms)
+            x, y = self.name(a), self.name(b)
             family, given = compare_family(x, y, self.forms), compare_given(x, y, self.forms)
             if min(family, given) == NONE and same_letters(x, y, self.forms):
                 family = given = SLIP
@@ -153,6 +160,12 @@ def _year_slip(a: int, b: int) -> bool:
     return abs(a - b) <= 3 or abs(a - b) == 10 or (a // 100 == b // 100 and a % 10 == b // 10 % 10 and b % 10 == a // 10 % 10)
 
 
+def _year_slips(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of many pairs, equal years included."""
+    gap = np.abs(a - b)
+    return (gap <= 3) | (gap == 10) | ((a // 100 == b // 100) & (a % 10 == b // 10 % 10) & (b % 10 == a // 10 % 10))
+
+
 def _streets(a: str, b: str) -> bool:
     return a == b or a.startswith(b) or b.startswith(a) or edits(a, b, 1) <= 1
 
@@ -175,6 +188,9 @@ def _compare_sorted(rows: list[tuple], place: np.ndarray, part: np.ndarray, evid
     skeleton = _codes([None if f is None else _skeleton(f)[:4] for f in get("fam")])
     begin = _codes([None if f is None else f[:2] for f in get("fam")])
     num, ini = _codes(get("num")), _codes(get("ini"))
+    born = np.array([y or 0 for y in get("year")], np.int64)
+    unsure = (born == 0) | np.isin(born, evidence.placeholders)
+    evidence.names = {}
     out = []
     n = len(rows)
     for step in range(1, min(WINDOW, n)):
@@ -184,7 +200,9 @@ def _compare_sorted(rows: list[tuple], place: np.ndarray, part: np.ndarray, evid
         sf, sg, sy, sn = same(fam) | same(skeleton), same(giv), same(year), same(num)
         address = sn & same(street)
         name = (sf | same(begin)) & (sg | same(ini))
-        chosen = near & ((name & (sy | sn)) | (address & (sg | sf | sy)) | (sf & sg) | (sn & sy & (sg | sf)))
+        # years that contradict each other need no look at the names
+        possible = unsure[a] | unsure[b] | _year_slips(born[a], born[b])
+        chosen = near & possible & ((name & (sy | sn)) | (address & (sg | sf | sy)) | (sf & sg) | (sn & sy & (sg | sf)))
         for i in np.flatnonzero(chosen):
             score = evidence.of(rows[i], rows[i + step])
             if score >= threshold:
