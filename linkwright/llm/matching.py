@@ -2,8 +2,9 @@
 
 Records of all sources stand in order of several composite keys; in each order every record is
 compared with its neighbours in a sliding window. A comparison adds up bits of evidence: an
-agreement counts the more, the rarer the value. Strong matches join records into entities; entities
-are then matched by the weaker ones, one to one, so that the confidence adds up to the most.
+agreement counts the more, the rarer the value. Strong matches join records into entities, weaker ones
+within a source join those of repeated records; entities are then matched by the weaker ones between
+the sources, one to one, so that the confidence adds up to the most.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def _skeleton(word: str) -> str:
     return word[:1] + "".join(c for c in word[1:] if c not in "aeiou")
 
 
+def _shortened(word: str) -> set[str]:
+    """The word and what is left of it without one letter; words one edit apart share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 @functools.lru_cache(100_000)
 def _common(word: str) -> bool:
     """The word, or what it is a slip of, is none that tells streets apart."""
@@ -94,6 +100,16 @@ class Evidence:
         self.shares, self.forms, self.strong = shares, forms, strong
         self.placeholders = sorted(y for y, share in shares["year"].items() if share >= PLACEHOLDER)
         self.names: dict[int, Name] = {}
+        self.typed: dict[str, list[str]] = {}
+        for word in shares["fam"]:
+            for short in _shortened(word):
+                self.typed.setdefault(short, []).append(word)
+
+    def slip_bits(self, a: str, b: str) -> float:
+        """Of two family names that differ by a slip: both may be slips of one usual name."""
+        of = lambda x: {w for short in _shortened(x) for w in self.typed.get(short, ()) if edits(x, w, 1) <= 1}
+        usual = of(a) & of(b)
+        return min(map(lambda w: self.bits("fam", w), usual), default=MOST_BITS)
 
     def name(self, row: Sequence) -> Name:
         """A row's name, parsed once while the rows of a partition are compared."""
@@ -137,7 +153,10 @@ class Evidence:
             if family == NONE and x.family and y.family:
                 total -= 7
         if family:
-            total += self.bits("fam", fam_a if fam_a in self.shares["fam"] else fam_b) - (SAME - family) * 0.7
+            bits = self.bits("fam", fam_a if fam_a in self.shares["fam"] else fam_b)
+            if family == SLIP and fam_a and fam_b and bits == MOST_BITS:
+                bits = self.slip_bits(fam_a, fam_b)
+            total += bits - (SAME - family) * 0.7
         if given:
             total += 2.5 if given == INITIAL else self.bits("giv", giv_a if giv_a in self.shares["giv"] else giv_b) - (SAME - given) * 0.7
         if given <= INITIAL and year_a != year_b:
@@ -297,6 +316,28 @@ def assign_one_to_one(edges: DataFrame) -> DataFrame:
     return out
 
 
+def join_weak(weak: DataFrame) -> DataFrame:
+    """``entity, to, weak``: the entities that weak matches join to others, and the least score that does.
+
+    ``weak`` has ``u0, v0, side_i, side_j, score``. Entities tied by records of one source are the
+    repeated records of a person: all that hang together become one. Only matches between the two
+    sources compete, one to one, and between what has been joined so far, so that a person's
+    repeated records come along whichever of them is matched.
+    """
+    between = lambda rows: rows.groupBy(F.least("u0", "v0").alias("u"), F.greatest("u0", "v0").alias("v")).agg(F.max("score").alias("score"))
+    repeated = write(between(weak.where("side_i = side_j")), "repeated").df
+    groups = connected_components(repeated, "u", "v")
+    tie = repeated.select(F.explode(F.array("u", "v")).alias("idx"), "score").groupBy("idx").agg(F.max("score").alias("tie"))
+    joined = write(groups.join(tie, "idx").select(F.col("idx").alias("entity"), F.col("group_idx").alias("person"), "tie"), "joined").df
+    to = lambda x: joined.select(F.col("entity").alias(x), F.col("person").alias(f"{x}_to"))
+    across = weak.where("side_i <> side_j").join(to("u0"), "u0", "left").join(to("v0"), "v0", "left").select(F.coalesce("u0_to", "u0").alias("u0"), F.coalesce("v0_to", "v0").alias("v0"), "score").where("u0 <> v0")
+    chosen = write(assign_one_to_one(between(across)), "chosen").df
+    # what the assignment joins takes the smaller id
+    moved = chosen.select(F.explode(F.array("u", "v")).alias("person"), F.col("u").alias("to"), "score")
+    alone = moved.join(joined.select("person").distinct(), "person", "left_anti").select(F.col("person").alias("entity"), "to", F.col("score").alias("weak"))
+    return joined.join(moved, "person", "left").select("entity", F.coalesce("to", "person").alias("to"), F.least("tie", "score").alias("weak")).unionByName(alone)
+
+
 def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float = 1.0) -> DataFrame:
     """``idx_a, idx_b, confidence``: the pairs of records of two sources that are of one entity.
 
@@ -328,12 +369,9 @@ def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float =
     entity = features.select("idx", "side").join(groups, "idx", "left").select("idx", "side", F.coalesce("group_idx", "idx").alias("entity"))
     entities = write(entity, "entity").df
     ent = lambda x, name: entities.select(F.col("idx").alias(x), F.col("entity").alias(name))
-    weak = scored.join(ent("i", "u0"), "i").join(ent("j", "v0"), "j").where("u0 <> v0")
-    edges = weak.groupBy(F.least("u0", "v0").alias("u"), F.greatest("u0", "v0").alias("v")).agg(F.max("score").alias("score"))
-    chosen = write(assign_one_to_one(edges), "chosen").df
-    # entities joined by the assignment take the smaller id
-    moved = chosen.select(F.col("v").alias("entity"), F.col("u").alias("to"), F.col("score").alias("weak"))
-    final = entities.join(moved, "entity", "left").select("idx", "side", F.coalesce("to", "entity").alias("entity"), "weak")
+    weak = write(scored.join(ent("i", "u0"), "i").join(ent("j", "v0"), "j").where("u0 <> v0"), "weak").df
+    persons = write(join_weak(weak.select("u0", "v0", "side_i", "side_j", "score")), "persons").df
+    final = entities.join(persons, "entity", "left").select("idx", "side", F.coalesce("to", "entity").alias("entity"), "weak")
     best = scored.join(ent("i", "entity"), "i").groupBy("entity").agg(F.max("score").alias("score"))
     left = final.where("side = 0").select(F.col("idx").alias("idx_a"), "entity", F.col("weak").alias("wa"))
     right = final.where("side = 1").select(F.col("idx").alias("idx_b"), "entity", F.col("weak").alias("wb"))

@@ -12,7 +12,7 @@ from linkwright.functions.text import bare
 from linkwright.llm.addresses import locate, location_pairs, parse_addresses
 from linkwright.llm.components import connected_components
 from linkwright.llm.dedup import formatting_duplicates
-from linkwright.llm.matching import WINDOW, assign_one_to_one, match_entities
+from linkwright.llm.matching import WINDOW, assign_one_to_one, join_weak, match_entities
 from linkwright.llm.names import CUT, FORM, INITIAL, NONE, SAME, SLIP, Forms, Name, compare_family, compare_given, edits, words
 from linkwright.llm.variants import metric_variants, name_variants
 
@@ -167,6 +167,26 @@ def test_assignment(spark):
     assert assign_one_to_one(edges.where("u < 0")).count() == 0
 
 
+@pytest.mark.parametrize("heaviest", [(1, 2), (1, 11), (2, 11)])
+def test_weakly_repeated_records_stay_together(spark, heaviest):
+    """Records 1 and 2 of one source and 11 of the other are one person; 3 competes for 11, 12 has no other."""
+    edges = [(1, 2, 0, 0), (1, 11, 0, 1), (2, 11, 0, 1), (3, 11, 0, 1), (3, 12, 0, 1), (12, 13, 1, 1), (13, 14, 1, 1)]
+    rows = [(*e, 9.0 if e[:2] == heaviest else 7.0 if e[:2] == (3, 11) else 8.0) for e in edges]
+    weak = spark.createDataFrame(rows, "u0 long, v0 long, side_i int, side_j int, score double")
+    got = {r["entity"]: r["to"] for r in join_weak(weak).collect()}
+    assert got == {1: 1, 2: 1, 11: 1, 3: 3, 12: 3, 13: 3, 14: 3}
+    assert all(8.0 <= r["weak"] <= 9.0 for r in join_weak(weak).collect())
+    assert join_weak(weak.where("u0 < 0")).count() == 0
+
+
+def test_two_slips_of_a_usual_name_are_not_rare():
+    from linkwright.llm.matching import Evidence
+
+    evidence = Evidence({"fam": {"menilm": 0.1}, "giv": {"barbara": 0.01}, "year": {1961: 0.01}, "place": {}}, Forms([], ["barbara"]), 24.0)
+    row = lambda i, last, num: (i, 0, last, "Barbara", last, "barbara", "b", 1961, "F", num, "str")
+    assert evidence.of(row(1, "meenilm", "1"), row(2, "menlm", "2")) < 17 < evidence.of(row(3, "sihert", "1"), row(4, "sihrt", "2"))
+
+
 def test_matching(spark):
     rng = random.Random(9)
     letters = "bcdfghklmnprstvz"
