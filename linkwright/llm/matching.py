@@ -29,11 +29,13 @@ from linkwright.store import write
 WINDOW, PARTITION_ROWS = 12, 200_000
 #: Evidence above the threshold which makes a match strong.
 STRONG = 6.0
-#: Most bits for one field, and the share of a birth year from which on it may be a placeholder.
+#: Most bits for a birth year, whose values grow no rarer with the table, and the share of a birth year from which on it may be a placeholder.
 MOST_BITS, PLACEHOLDER = 12.0, 0.04
 
 _FIELDS = "idx bigint, side int, last string, first string, fam string, giv string, ini string, year int, gender string, num string, street string"
 _NAMES = [x.split(" ")[0] for x in _FIELDS.split(", ")]
+#: How many rows have a row's own family name, given name and place; they stand behind the fields.
+_COUNTS = ("n_fam", "n_giv", "n_place")
 #: The composite keys by which records are sorted; records that lack the first part stand in another order.
 SORT_KEYS = (("fam", "giv", "year", "num"), ("num", "street", "giv", "fam"), ("year", "giv", "fam", "num"))
 
@@ -93,11 +95,19 @@ def _shares(features: DataFrame, column: str, total: int, least: float) -> dict:
     return {r[column]: r["count"] / total for r in common.collect()}
 
 
+def _counted(features: DataFrame) -> DataFrame:
+    """The features with the exact numbers of rows that have each record's values."""
+    out = features
+    for name, of in zip(_COUNTS, (["fam"], ["giv"], ["num", "street"])):
+        out = out.join(features.dropna(subset=of).groupBy(*of).agg(F.count(F.lit(1)).alias(name)), of, "left")
+    return out.select(*_NAMES, *_COUNTS)
+
+
 class Evidence:
     """Bits for and against two records being of one entity."""
 
-    def __init__(self, shares: dict[str, dict], forms: Forms, strong: float) -> None:
-        self.shares, self.forms, self.strong = shares, forms, strong
+    def __init__(self, shares: dict[str, dict], forms: Forms, strong: float, total: int = 1) -> None:
+        self.shares, self.forms, self.strong, self.total = shares, forms, strong, total
         self.placeholders = sorted(y for y, share in shares["year"].items() if share >= PLACEHOLDER)
         self.names: dict[int, Name] = {}
         self.typed: dict[str, list[str]] = {}
@@ -109,7 +119,14 @@ class Evidence:
         """Of two family names that differ by a slip: both may be slips of one usual name."""
         of = lambda x: {w for short in _shortened(x) for w in self.typed.get(short, ()) if edits(x, w, 1) <= 1}
         usual = of(a) & of(b)
-        return min(map(lambda w: self.bits("fam", w), usual), default=MOST_BITS)
+        return min(map(lambda w: self.bits("fam", w), usual), default=math.inf)
+
+    def rarity(self, column: str, a: Sequence, b: Sequence) -> float:
+        """Bits of an agreement, by the more usual one of the two rows' values; by shares for rows without counts."""
+        at = len(_NAMES) + _COUNTS.index(f"n_{column}")
+        if len(a) > at:
+            return math.log2(self.total / max(a[at] or 1, b[at] or 1))
+        return min(self.bits(column, r[_NAMES.index(column)]) for r in (a, b))
 
     def name(self, row: Sequence) -> Name:
         """A row's name, parsed once while the rows of a partition are compared."""
@@ -124,8 +141,8 @@ class Evidence:
 
     def of(self, a: Sequence, b: Sequence) -> float:
         """The sum for two rows of features; -inf if they contradict each other."""
-        _, _, _, _, fam_a, giv_a, _, year_a, sex_a, num_a, street_a = a
-        _, _, _, _, fam_b, giv_b, _, year_b, sex_b, num_b, street_b = b
+        _, _, _, _, fam_a, giv_a, _, year_a, sex_a, num_a, street_a, *_ = a
+        _, _, _, _, fam_b, giv_b, _, year_b, sex_b, num_b, street_b, *_ = b
         total = 0.0
         if year_a is not None and year_b is not None:
             if year_a == year_b:
@@ -153,19 +170,19 @@ class Evidence:
             if family == NONE and x.family and y.family:
                 total -= 7
         if family:
-            bits = self.bits("fam", fam_a if fam_a in self.shares["fam"] else fam_b)
-            if family == SLIP and fam_a and fam_b and bits == MOST_BITS:
-                bits = self.slip_bits(fam_a, fam_b)
+            bits = self.rarity("fam", a, b)
+            if family == SLIP and fam_a and fam_b and fam_a not in self.shares["fam"] and fam_b not in self.shares["fam"]:
+                bits = min(bits, self.slip_bits(fam_a, fam_b))
             total += bits - (SAME - family) * 0.7
         if given:
-            total += 2.5 if given == INITIAL else self.bits("giv", giv_a if giv_a in self.shares["giv"] else giv_b) - (SAME - given) * 0.7
+            total += 2.5 if given == INITIAL else self.rarity("giv", a, b) - (SAME - given) * 0.7
         if given <= INITIAL and year_a != year_b:
             total -= 8
         if sex_a is not None and sex_b is not None:
             total += 1 if sex_a == sex_b else -4
         if num_a is not None and num_b is not None and street_a is not None and street_b is not None:
             if num_a == num_b and _streets(street_a, street_b):
-                total += self.bits("place", f"{num_a}|{street_a}")
+                total += self.rarity("place", a, b)
                 if not near:
                     total -= 1
             else:
@@ -201,7 +218,7 @@ def _compare_sorted(rows: list[tuple], place: np.ndarray, part: np.ndarray, evid
     ``place`` is a row's place in the whole order. With ``inside`` pairs are of one partition, else
     of two.
     """
-    columns = list(zip(*rows)) if rows else [()] * len(_NAMES)
+    columns = list(zip(*rows)) if rows else [()] * (len(_NAMES) + len(_COUNTS))
     get = lambda name: columns[_NAMES.index(name)]
     fam, giv, year, street = (_codes(get(c)) for c in ("fam", "giv", "year", "street"))
     skeleton = _codes([None if f is None else _skeleton(f)[:4] for f in get("fam")])
@@ -248,7 +265,8 @@ def _window_pairs(features: DataFrame, key: Sequence[str], n_rows: int, evidence
     """
     spark = features.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // PARTITION_ROWS))
-    edge = f"{_PAIRS}, part int, pos bigint, n bigint, {_FIELDS}"
+    fields = features.columns
+    edge = f"{_PAIRS}, part int, pos bigint, n bigint, " + ", ".join(f"{c} {kind}" for c, kind in features.dtypes)
     kinds = [f.dataType for f in features.schema.fields]
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     field_types = [arrow[k.simpleString()] for k in kinds]
@@ -260,7 +278,7 @@ def _window_pairs(features: DataFrame, key: Sequence[str], n_rows: int, evidence
         n, part = len(rows), TaskContext.get().partitionId()
         found = _compare_sorted(rows, np.arange(n), np.zeros(n), evidence, threshold, True)
         blank = lambda kind, m: pa.nulls(m, kind)
-        names = [*[x.split(" ")[0] for x in _PAIRS.split(", ")], "part", "pos", "n", *_NAMES]
+        names = [*[x.split(" ")[0] for x in _PAIRS.split(", ")], "part", "pos", "n", *fields]
         yield pa.RecordBatch.from_arrays([*_pair_batch(found), *[blank(k, len(found)) for k in (pa.int32(), pa.int64(), pa.int64(), *field_types)]], names)
         at = [i for i in range(n) if i < WINDOW - 1 or i >= n - WINDOW + 1]
         edges = [pa.array([rows[i][c] for i in at], k) for c, k in enumerate(field_types)]
@@ -284,7 +302,7 @@ def _window_pairs(features: DataFrame, key: Sequence[str], n_rows: int, evidence
     table = write(placed.mapInArrow(run, edge), "window").df
     pairs = table.where("i is not null").select("i", "j", "side_i", "side_j", "score")
     # at most two windows of rows for each partition
-    borders = table.where("part is not null").select("part", "pos", "n", *_NAMES).coalesce(1).mapInArrow(over, _PAIRS)
+    borders = table.where("part is not null").select("part", "pos", "n", *fields).coalesce(1).mapInArrow(over, _PAIRS)
     return pairs.unionByName(borders)
 
 
@@ -352,13 +370,13 @@ def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float =
     records = a.select(*cols).withColumn("side", F.lit(0)).unionByName(b.select(*cols).withColumn("side", F.lit(1)))
     together = records.where("birth_year is not null").select(strata().alias("stratum"), "last_name", "first_name")
     known, given = name_knowledge(records, together, forms)
-    features = write(_prepare(records, known, given), "features").df
+    parsed = write(_prepare(records, known, given), "parsed")
+    features = write(_counted(parsed.df), "features").df
+    parsed.drop()
     total = max(1, features.count())
-    shares = {c: _shares(features, c, total, least) for c, least in (("fam", 2e-4), ("giv", 2e-4), ("year", 1e-3))}
-    place = features.where("num is not null and street is not null").select(F.concat_ws("|", "num", "street").alias("place"))
-    shares["place"] = _shares(place, "place", total, 2e-4)
+    shares = {c: _shares(features, c, total, least) for c, least in (("fam", 2e-4), ("year", 1e-3))}
     threshold = math.log2(total) + margin
-    evidence = Evidence(shares, Forms(known, given), threshold + STRONG)
+    evidence = Evidence(shares, Forms(known, given), threshold + STRONG, total)
     found = None
     for key in SORT_KEYS:
         pairs = _window_pairs(features, key, total, evidence, threshold)

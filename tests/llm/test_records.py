@@ -187,6 +187,18 @@ def test_two_slips_of_a_usual_name_are_not_rare():
     assert evidence.of(row(1, "meenilm", "1"), row(2, "menlm", "2")) < 17 < evidence.of(row(3, "sihert", "1"), row(4, "sihrt", "2"))
 
 
+def test_evidence_grows_with_the_table():
+    """A unique family name without year and address holds against a threshold that grows with the rows."""
+    import math
+
+    from linkwright.llm.matching import Evidence
+
+    row = lambda i, total: (i, 0, "sihert", "Barbara", "sihert", "barbara", "b", None if i == 1 else 1961, "F", None, None, 2, total // 128, None)
+    for total in (96_000, 960_000, 9_600_000):
+        evidence = Evidence({"fam": {}, "year": {1961: 0.01}}, Forms([], ["barbara"]), 99.0, total)
+        assert evidence.of(row(1, total), row(2, total)) >= math.log2(total) + 1
+
+
 def test_matching(spark):
     rng = random.Random(9)
     letters = "bcdfghklmnprstvz"
