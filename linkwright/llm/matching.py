@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -45,6 +46,9 @@ COMMON_FULL = "street road avenue square drive boulevard terrace place court hig
 COMMON_SHORT = "st str strt rd ave av avn sq dr drv blvd bd boul ter terr pl plc ct crt hwy hgwy ln cres cr upp low n s e w ft mt".split()
 
 
+_SEVERAL = re.compile(r"\w\W+\w")
+
+
 def _skeleton(word: str) -> str:
     return word[:1] + "".join(c for c in word[1:] if c not in "aeiou")
 
@@ -126,7 +130,7 @@ class Evidence:
         at = len(_NAMES) + _COUNTS.index(f"n_{column}")
         if len(a) > at:
             return math.log2(self.total / max(a[at] or 1, b[at] or 1))
-        return min(self.bits(column, r[_NAMES.index(column)]) for r in (a, b))
+        return MOST_BITS if column == "place" else min(self.bits(column, r[_NAMES.index(column)]) for r in (a, b))
 
     def name(self, row: Sequence) -> Name:
         """A row's name, parsed once while the rows of a partition are compared."""
@@ -212,6 +216,14 @@ def _codes(values: list) -> np.ndarray:
     return np.array([-i - 1 if v is None else seen.setdefault(v, len(seen)) for i, v in enumerate(values)], np.int64)
 
 
+def _letters(word: str | None) -> int:
+    """The set of a word's letters, as bits."""
+    bits = 0
+    for c in word or "":
+        bits |= 1 << ord(c) % 61
+    return bits
+
+
 def _compare_sorted(rows: list[tuple], place: np.ndarray, part: np.ndarray, evidence: Evidence, threshold: float, inside: bool) -> list[tuple]:
     """The pairs of sorted rows less than a window apart that reach the threshold.
 
@@ -223,6 +235,9 @@ def _compare_sorted(rows: list[tuple], place: np.ndarray, part: np.ndarray, evid
     fam, giv, year, street = (_codes(get(c)) for c in ("fam", "giv", "year", "street"))
     skeleton = _codes([None if f is None else _skeleton(f)[:4] for f in get("fam")])
     begin = _codes([None if f is None else f[:2] for f in get("fam")])
+    letters = np.array([_letters(f) for f in get("fam")], np.uint64)
+    # more than one word in a field: names may agree in parts
+    several = np.array([bool(_SEVERAL.search(f"{x or ''}")) or bool(_SEVERAL.search(f"{y or ''}")) for x, y in zip(get("last"), get("first"))], bool)
     num, ini = _codes(get("num")), _codes(get("ini"))
     born = np.array([y or 0 for y in get("year")], np.int64)
     unsure = (born == 0) | np.isin(born, evidence.placeholders)
@@ -236,9 +251,12 @@ def _compare_sorted(rows: list[tuple], place: np.ndarray, part: np.ndarray, evid
         sf, sg, sy, sn = same(fam) | same(skeleton), same(giv), same(year), same(num)
         address = sn & same(street)
         name = (sf | same(begin)) & (sg | same(ini))
+        # one given name and year: all families but those of single words that differ by more than two letters, which no slip, cut or prefix explains
+        x, y = letters[a], letters[b]
+        like = several[a] | several[b] | (np.minimum(np.bitwise_count(x & ~y), np.bitwise_count(y & ~x)) <= 2)
         # years that contradict each other need no look at the names
         possible = unsure[a] | unsure[b] | _year_slips(born[a], born[b])
-        chosen = near & possible & ((name & (sy | sn)) | (address & (sg | sf | sy)) | (sf & sg) | (sn & sy & (sg | sf)))
+        chosen = near & possible & ((name & (sy | sn)) | (address & (sg | sf | sy)) | (sf & sg) | (sn & sy & (sg | sf)) | (sg & sy & like))
         for i in np.flatnonzero(chosen):
             score = evidence.of(rows[i], rows[i + step])
             if score >= threshold:

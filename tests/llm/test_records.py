@@ -199,6 +199,18 @@ def test_evidence_grows_with_the_table():
         assert evidence.of(row(1, total), row(2, total)) >= math.log2(total) + 1
 
 
+def test_slips_at_the_start_of_a_family_name_are_compared():
+    import numpy as np
+
+    from linkwright.llm.matching import Evidence, _compare_sorted
+
+    names = [("Chuchashond", "Cuchashond", "Mary", 1984), ("Oshawegilm", "Okshawegilm", "Jurgen", 1990), ("Dakrokrabourn", "Dnakrokrabourn", "Gregory", 1978), ("Sihert-Menbury", "Menbury", "Mary", 1950)]
+    rows = [(2 * k + i, i, x, giv, x.lower().replace("-", ""), giv.lower(), giv[0].lower(), year, "F", str(i), f"street{i}", 1, 800, 1) for k, (*fam, giv, year) in enumerate(names) for i, x in enumerate(fam)]
+    evidence = Evidence({"fam": {}, "year": {}}, Forms([], ["mary", "jurgen", "gregory"]), 24.0, 96_000)
+    found = _compare_sorted(rows, np.arange(8), np.zeros(8), evidence, 17.6, True)
+    assert {p[:2] for p in found} == {(0, 1), (2, 3), (4, 5), (6, 7)}
+
+
 def test_matching(spark):
     rng = random.Random(9)
     letters = "bcdfghklmnprstvz"
