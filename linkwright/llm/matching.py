@@ -1,7 +1,8 @@
 """Entities matched across sources without keys (problem 5).
 
 Records of all sources stand in order of several composite keys; in each order every record is
-compared with its neighbours in a sliding window. A comparison adds up bits of evidence: an
+compared with its neighbours in a sliding window; records of one birth year and given name whose family
+names differ by one slip are joined exactly, however many stand between them. A comparison adds up bits of evidence: an
 agreement counts the more, the rarer the value. Strong matches join records into entities, weaker ones
 within a source join those of repeated records; entities are then matched by the weaker ones between
 the sources, one to one, so that the confidence adds up to the most.
@@ -324,6 +325,39 @@ def _window_pairs(features: DataFrame, key: Sequence[str], n_rows: int, evidence
     return pairs.unionByName(borders)
 
 
+def _slip_pairs(features: DataFrame, total: int, evidence: Evidence, threshold: float) -> DataFrame:
+    """Scored pairs of one birth year and given name whose family names are at most one edit apart, all of them.
+
+    Two such names share a form without one letter, by which they are joined. Records whose names
+    and year can't reach the threshold without an agreeing place, which the order by places finds,
+    are left out; of the others one record or less is expected to share all three values, so that
+    the pairs grow as the rows.
+    """
+    fields = features.columns
+    n_year = features.where("year is not null").groupBy("year").agg(F.count(F.lit(1)).alias("n_year"))
+    bits = lambda n: F.log2(F.lit(total) / F.col(n))
+    year = F.when(F.col("n_year") >= max(2, 1e-3 * total), F.least(F.lit(MOST_BITS), bits("n_year"))).otherwise(MOST_BITS)
+    able = features.where("fam is not null and giv is not null").join(n_year, "year").where(bits("n_fam") + bits("n_giv") + year + 1 >= threshold - 1e-6)
+    forms = F.expr("transform(sequence(0, length(fam)), x -> xxhash64(year, giv, if(x = 0, fam, concat(substring(fam, 1, x - 1), substring(fam, x + 1)))))")
+    shared = able.select("idx", F.explode(F.array_distinct(forms)).alias("form")).groupBy("form").agg(F.sort_array(F.collect_list("idx")).alias("all")).where("size(all) > 1")
+    of = shared.select(F.posexplode("all").alias("at", "i"), "all").select("i", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("j"))
+    side = lambda s: features.select(F.col("idx").alias("i" if s == "x" else "j"), *[F.col(c).alias(f"{s}_{c}") for c in fields])
+    pairs = of.distinct().join(side("x"), "i").join(side("y"), "j").select(*[f"{s}_{c}" for s in "xy" for c in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence.names = {}
+            found = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                x, y = row[: len(fields)], row[len(fields) :]
+                # hashes may collide
+                if x[7] == y[7] and x[5] == y[5] and (score := evidence.of(x, y)) >= threshold:
+                    found.append((x[0], y[0], x[1], y[1], score))
+            yield pa.RecordBatch.from_arrays(_pair_batch(found), [x.split(" ")[0] for x in _PAIRS.split(", ")])
+
+    return pairs.mapInArrow(run, _PAIRS)
+
+
 def assign_one_to_one(edges: DataFrame) -> DataFrame:
     """``u, v, score``: each node in at most one edge, the heaviest edges first.
 
@@ -395,10 +429,9 @@ def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float =
     shares = {c: _shares(features, c, total, least) for c, least in (("fam", 2e-4), ("year", 1e-3))}
     threshold = math.log2(total) + margin
     evidence = Evidence(shares, Forms(known, given), threshold + STRONG, total)
-    found = None
+    found = _slip_pairs(features, total, evidence, threshold)
     for key in SORT_KEYS:
-        pairs = _window_pairs(features, key, total, evidence, threshold)
-        found = pairs if found is None else found.unionByName(pairs)
+        found = found.unionByName(_window_pairs(features, key, total, evidence, threshold))
     scored = write(found.groupBy("i", "j").agg(F.first("side_i").alias("side_i"), F.first("side_j").alias("side_j"), F.max("score").alias("score")), "scored").df
     strong = scored.where((F.col("score") >= threshold + STRONG))
     groups = write(connected_components(strong, "i", "j"), "entities").df

@@ -211,6 +211,21 @@ def test_slips_at_the_start_of_a_family_name_are_compared():
     assert {p[:2] for p in found} == {(0, 1), (2, 3), (4, 5), (6, 7)}
 
 
+def test_slips_are_found_beyond_the_window(spark):
+    from linkwright.llm import matching
+
+    rng = random.Random(5)
+    fams = ["".join(rng.choice("defg") + rng.choice("aeiou") for _ in range(5)) for _ in range(60)] + ["chuchashond", "huchashond", "chuchashind"]
+    rows = [(i, i % 2, fam, "Mary", fam, "mary", "m", 1984, "F", str(i), f"street{i}") for i, fam in enumerate(fams)]
+    df = matching._counted(spark.createDataFrame(rows, matching._FIELDS))
+    total, threshold = 100_000, 17.6
+    evidence = matching.Evidence({"fam": {}, "year": {}}, Forms([], ["mary"]), 99.0, total)
+    pairs = lambda found: {(r["i"], r["j"]) for r in found.collect()}
+    assert pairs(matching._slip_pairs(df, total, evidence, threshold)) == {(60, 61), (60, 62)}
+    assert (60, 61) not in pairs(matching._window_pairs(df, matching.SORT_KEYS[2], len(rows), evidence, threshold))
+    assert pairs(matching._slip_pairs(df, total, evidence, 99.0)) == set()
+
+
 def test_matching(spark):
     rng = random.Random(9)
     letters = "bcdfghklmnprstvz"
