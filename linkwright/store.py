@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Spark's own setting by which the shuffle files of a run go with its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder which all executors share")
-        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="linkwright-"))
+        if "root" not in _LOCAL:
+            _LOCAL["root"] = tempfile.mkdtemp(prefix="linkwright-")
+        root = _LOCAL["root"]
     return f"{root.rstrip('/')}/linkwright/{spark.sparkContext.applicationId}"
 
 
@@ -44,19 +48,20 @@ class Table:
 
 
 def write(df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()) -> Table:
-    """Run ``df`` once and keep its rows as a table of the shared folder."""
+    """Run ``df`` once and keep its rows as a table of the shared folder.
+
+    The shuffle files of the run are removed as soon as it has ended: the rows are in the table.
+    """
     spark = df.sparkSession
     table = Table(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
     table.schema = df.schema
-    df.write.partitionBy(*partition_by).parquet(table.path)
-    release(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(table.path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return table
-
-
-def release(spark: SparkSession) -> None:
-    """Let the executors delete shuffle files which nothing refers to any more.
-
-    Spark removes them once the driver collects its garbage, which a small driver heap may put off
-    until the disks are full.
-    """
-    spark._jvm.System.gc()

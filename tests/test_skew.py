@@ -64,3 +64,25 @@ def test_annotate_groups(spark):
         got = {(r["id"], r["group_rows"], r["m"]) for r in annotate_groups(df, ["k"], [F.min("id").alias("m")], total).collect()}
         n = Counter(k for _, k in data)
         assert got == {(i, n[k], min(j for j, x in data if x == k)) for i, k in data if n[k] > 1}
+
+
+def test_skew_join_salts_what_is_too_large_to_broadcast(spark, rows):
+    data, df = rows
+    right = spark.createDataFrame([("hot", i) for i in range(7)] + [("k1", 8)], "k string, w int")
+    got = skew_join(df, right, "k", min_share=0.1, max_broadcast_mb=0)
+    plain = df.join(right, "k")
+    assert sorted(map(tuple, got.select("id", "w").collect())) == sorted(map(tuple, plain.select("id", "w").collect()))
+
+
+def test_annotate_heavy_groups(spark, monkeypatch):
+    """Groups beyond the limit meet their aggregates by broadcast."""
+    df = spark.range(130_000).select("id", F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id") % 1000).alias("k"))
+    for by_hash in (False, True):
+        got = annotate_groups(df, ["k"], [F.min("id").alias("m")], 130_000, by_hash=by_hash)
+        assert got.agg(F.count("*"), F.countDistinct("k")).first()[:] == (130_000, 101)
+        assert got.where("k = 1").agg(F.min("m"), F.max("m"), F.max("group_rows")).first()[:] == (0, 0, 117_000)
+
+
+def test_shares_too_small_for_the_sketch(spark, rows):
+    with pytest.raises(ValueError):
+        heavy_candidates(rows[1], ["k"], 1e-6)
