@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkwright.store import Table, write
 
 #: Vertices that hold more than one part in so many of all edges are joined by broadcast.
 HOT_PARTS = 2_000
+#: A vertex with fewer edges is never treated as a hub.
+LEAST_HUB = 50_000
 
 
 def _with_minimum(edges: DataFrame, n_edges: int) -> DataFrame:
@@ -19,7 +21,7 @@ def _with_minimum(edges: DataFrame, n_edges: int) -> DataFrame:
     their minima are broadcast; the other vertices meet theirs by a shuffle.
     """
     minima = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("d"))
-    limit = max(50_000, n_edges // HOT_PARTS)
+    limit = max(LEAST_HUB, n_edges // HOT_PARTS)
     if n_edges <= limit:
         return edges.join(minima.drop("d"), "u")
     hubs = minima.where(F.col("d") > limit).drop("d")
@@ -38,35 +40,28 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.unionByName(seen.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
 def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """``idx, group_idx`` for every id in ``a`` or ``b``: the smallest id that it is linked with.
 
     Large-star and small-star rewrites alternate, each a distributed join, until a round leaves the
-    edges unchanged; then every vertex hangs on its component's minimum. Edges between rounds are
-    tables of the shared folder and go as soon as the next one is written. A pair with a missing
-    end, or of a record with itself, names a vertex but no link; repeated pairs count once; either
-    order of the ends will do. No rows give no rows. Rounds grow with the logarithm of the longest
-    chain; ``max_rounds`` only guards against an error and raises.
+    edges unchanged; then every vertex hangs on its component's minimum. That they are unchanged is
+    seen by their number and by two sums of their hashes, which the writing of the edges gathers on
+    the way. Edges between rounds are tables of the shared folder and go as soon as the next one is
+    written. A pair with a missing end, or of a record with itself, names a vertex but no link;
+    repeated pairs count once; either order of the ends will do. No rows give no rows. Rounds grow
+    with the logarithm of the longest chain; ``max_rounds`` only guards against an error and raises.
     """
     ends = pairs.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))
     links = ends.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-    edges: Table = write(links, "edges")
-    state = _state(edges.df)
+    edges, state = _written(links, "edges")
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        large = write(_large_star(edges.df, state[0]), "large")
-        n = large.df.count()
-        small = write(_small_star(large.df, n), "small")
+        large, (n, *_) = _written(_large_star(edges.df, state[0]), "large")
+        small, after = _written(_small_star(large.df, n), "small")
         large.drop()
         edges.drop()
-        edges, before = small, state
-        state = _state(edges.df)
+        edges, before, state = small, state, after
         if state == before:
             break
     else:
@@ -74,3 +69,13 @@ def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 200
     vertices = ends.select(F.explode(F.array("x", "y")).alias("idx")).where("idx is not null").distinct()
     stars = edges.df.select(F.col("u").alias("idx"), F.col("v").alias("m"))
     return vertices.join(stars, "idx", "left").select("idx", F.coalesce("m", "idx").alias("group_idx"))
+
+
+def _written(edges: DataFrame, name: str) -> tuple[Table, tuple]:
+    """The edges as a table, with their number and two sums of hashes, from one run."""
+    seen = Observation()
+    wide = "decimal(38,0)"
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast(wide)).alias("h1"), F.sum(F.xxhash64("v", "u", F.lit(1)).cast(wide)).alias("h2"))
+    table = write(watched, name)
+    got = seen.get
+    return table, (got["n"], got["h1"], got["h2"])

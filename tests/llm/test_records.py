@@ -39,6 +39,27 @@ def test_formatting_duplicates(spark):
     assert len(_found(df.where("id = 6").unionByName(df.where("id = 6").withColumn("id", F.lit(9).cast("long"))))) == 2
 
 
+@pytest.mark.parametrize("bits", [1, 3])
+def test_formatting_duplicates_with_collisions(spark, bits):
+    """Hashes of a bit or three throw unequal records together, which the verification parts again."""
+    rng = random.Random(bits)
+    rows = [(i, rng.choice("abc"), rng.choice("abc"), rng.choice(["s", "t", None])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a string, b string, s string")
+    groups: dict = {}
+    for i, a, b, s in rows:
+        groups.setdefault((tuple(sorted((a, b))), s), []).append(i)
+    expected = {(min(g), i, len(g)) for g in groups.values() if len(g) > 1 for i in g}
+    found = formatting_duplicates(df, "id", {"s": F.col("s")}, {"n": [F.col("a"), F.col("b")]}, hash_bits=bits)
+    assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_formatting_duplicates_sort_nothing(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, "b", "a")], "id long, a string, b string")
+    found = formatting_duplicates(df, "id", {}, {"n": [F.col("a"), F.col("b")]})
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 2
+
+
 # ---- components
 
 
@@ -65,6 +86,16 @@ def test_components(spark, seed):
     assert {r["idx"]: r["group_idx"] for r in connected_components(df, "a", "b").collect()} == _components(pairs)
 
 
+def test_components_of_a_star_with_hubs(spark, monkeypatch):
+    """A hub with most of the edges goes the way of broadcast minima."""
+    from linkwright.llm import components
+
+    monkeypatch.setattr(components, "LEAST_HUB", 20)
+    pairs = [(500, i) for i in range(300)] + [(500, 1000), (1000, 1001), (2000, 2001)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert {r["idx"]: r["group_idx"] for r in connected_components(df, "a", "b").collect()} == _components(pairs)
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
