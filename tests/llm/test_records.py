@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from linkwright.llm.components import connected_components
 from linkwright.llm.dedup import formatting_duplicates
 from linkwright.llm.matching import WINDOW, assign_one_to_one, join_weak, match_entities
 from linkwright.llm.names import CUT, FORM, INITIAL, NONE, SAME, SLIP, Forms, Name, compare_family, compare_given, edits, words
-from linkwright.llm.variants import metric_variants, name_variants
+from linkwright.llm import variants
+from linkwright.llm.metric import Words, close_words
+from linkwright.llm.variants import metric_cells, metric_variants, name_variants
 
 PERSON = "idx long, last_name string, first_name string, house_number string, street_name string, birth_year int, gender string"
 FORMS = [("Robert", "Bob"), ("Katherine", "Kate")]
@@ -154,6 +157,59 @@ def test_name_variants(spark):
     assert name_variants(df.where("idx < 0"), _forms(spark)).count() == 0
 
 
+def test_distances_of_many_pairs():
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abé") for _ in range(rng.randrange(n))) for n in (1, 5, 9, 12, 20, 70) for _ in range(12)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(some)), np.arange(len(some))))
+    assert Words(some).distances(i, j).tolist() == [_lev(some[a], some[b]) for a, b in zip(i, j)]
+
+
+def test_cells_in_memory_are_exact():
+    rng = random.Random(7)
+    points = sorted({(rng.randrange(9) ** 2, "".join(rng.choice("abcd") for _ in range(rng.randint(1, 8)))) for _ in range(900)})
+    x, y, cells = close_words([w for _, w in points], np.array([g for g, _ in points]), 2)
+    want = {(a, b) for a, b in itertools.combinations(range(len(points)), 2) if points[a][0] == points[b][0] and _lev(points[a][1], points[b][1]) <= 2}
+    assert set(zip(x.tolist(), y.tolist())) == want and cells > 9
+    assert close_words([], np.zeros(0), 2)[2] == 0
+
+
+def test_large_stratum_makes_a_tree_of_cells(spark, monkeypatch):
+    """Five thousand words of one stratum; the plain result comes from shared forms without one letter."""
+    monkeypatch.setattr(variants, "CELL_WORDS", 200)
+    monkeypatch.setattr(variants, "SALT_WORK", 20_000)
+    rng = random.Random(8)
+    # words of some families that lie far from each other
+    stems = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 60))) for _ in range(200)]
+    made = set()
+    while len(made) < 5_000:
+        w = list(rng.choice(stems))
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefghijklmnop")
+        made.add("".join(w))
+    df = spark.createDataFrame([("s", w) for w in made], "stratum string, word string").repartition(4)
+    got = {(r["x"], r["y"]) for r in metric_variants(df, 1).collect()}
+    forms: dict = {}
+    for w in made:
+        for f in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            forms.setdefault(f, []).append(w)
+    want = {p for group in forms.values() for p in itertools.combinations(sorted(group), 2) if _lev(*p) == 1}
+    assert got == want
+    assert metric_cells(df, 1).agg(F.count_distinct("cell")).first()[0] > 20
+
+
+def test_name_variants_by_rows_and_by_joins(spark):
+    """Strata in rows and strata by joins give the same pairs; a crowd is no reason to drop one."""
+    rng = random.Random(9)
+    last = ["Sihert", "Sihret", "Mujalk", "Mujalk-Sihert", "O'Brel", "Obrel", "Ng", "N", "", None, "Zz"]
+    first = ["Robert", "Bob", "Katherine", "Kate", "Al", "A.", "", None, "Robrt"]
+    rows = [(i, rng.choice(last), rng.choice(first), "1", "High St" if i % 3 else None, 1970, rng.choice(["M", "F", None])) for i in range(160)]
+    df = spark.createDataFrame(rows, PERSON)
+    found = [{tuple(sorted(r)) for r in name_variants(df, _forms(spark), row_records=n).collect()} for n in (256, 0)]
+    assert found[0] == found[1] and len(found[0]) > 200
+    short = spark.createDataFrame([(1, "Ng", "Al", "1", "High St", 1970, None), (2, "Ng", "A", "1", "High St", 1970, None)], PERSON)
+    assert {tuple(r) for r in name_variants(short, _forms(spark)).collect()} == {(1, 2)}
+
+
 # ---- addresses
 
 
