@@ -129,6 +129,33 @@ def test_spans_are_exact(spark, k, seed):
     assert part[103]["shared_chars"] == sum(b - a for i, a, b in got if i == 103)
 
 
+@pytest.mark.parametrize("bits", [2, 6])
+def test_spans_with_colliding_hashes(spark, monkeypatch, bits):
+    """Hashes of a few bits take unequal texts for equal ones; the texts themselves tell, and other hashes are taken."""
+    from linkwright.llm import spans
+
+    tried = []
+    differ = spans._differ
+    monkeypatch.setattr(spans, "_differ", lambda *x: tried.append(differ(*x)) or tried[-1])
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("abcde") for _ in range(rng.randrange(30, 90))) for _ in range(12)]
+    docs = [(i, "".join(rng.choice(parts) + rng.choice("xyz") * rng.randrange(3) for _ in range(6))) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in shared_spans(df, min_chars=30, hash_bits=bits).collect()} == _brute(docs, 30)
+    assert tried == [True, False]
+
+
+def test_paths_are_compacted_between_branches(spark):
+    """a-b-c is found twice and c-d once more: one path ends where the third record comes in."""
+    from linkwright.llm.spans import compact_paths
+
+    edges = {"a": (0, 9), "b": (10, 19), "c": (20, 29), "d": (30, 39)}
+    rows = [(doc, *edges[x], edges[x][1] + 5, ord(x), ord(x), n, lo, edges[x][0]) for x, n, lo, docs in (("a", 2, 1, (1, 2)), ("b", 2, 1, (1, 2)), ("c", 3, 1, (1, 2, 3)), ("d", 3, 1, (1, 2, 3))) for doc in docs]
+    df = spark.createDataFrame(rows, "doc long, s int, e int, b int, v long, eid long, n long, lo long, at int")
+    got = {tuple(r) for r in compact_paths(df).collect()}
+    assert got == {(d, *x, 1, x[0]) for d in (1, 2) for x in ((0, 24), (20, 44))} | {(3, 20, 44, 1, 20)}
+
+
 def test_spans_of_pieces(spark, monkeypatch):
     """Texts longer than a piece are cut without losing windows."""
     from linkwright.llm import spans
@@ -140,7 +167,7 @@ def test_spans_of_pieces(spark, monkeypatch):
     monkeypatch.setattr(spans, "PIECE", 100)
     whole = set()
     for codes, number, where in spans._pieces(texts, 50):
-        first, last, _, at, _ = spans.paths_of(codes, number, 50, 20)
+        first, last, _, at, *_ = spans.edges_of(codes, number, 50, 20, spans._BASES[0])
         assert ((at >= first) & (at <= first + 49)).all()
         for f, e in zip(first, last):
             text, shift = where[number[f]]
