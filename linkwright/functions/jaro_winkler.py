@@ -2,13 +2,13 @@
 
 The window is half the longer length less one and may be empty, so that two equal strings of one
 character score 0; the prefix bonus always counts. ``similarity`` is the plain scalar; ``Block``
-compares one string with many at once, keeping for each of these one bit mask of positions for each
-character.
+compares strings of one length with many others at once, keeping for each of these one bit mask of
+positions for each character.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -62,96 +62,120 @@ def length_range(n: int, threshold: float, p: float) -> tuple[int, int | None]:
     return max(1, int(np.ceil(n * ratio))), int(np.floor(n / ratio))
 
 
+#: Pairs whose masks are held at once, so that they stay in the cache.
+CHUNK_PAIRS = 32_768
+
+
 class Block:
-    """Strings of up to 63 characters, ready to be compared with one string at a time."""
+    """Strings of up to 63 characters, ready to be compared with many others of one length at a time."""
 
     def __init__(self, values: Sequence[str]) -> None:
         self.values = list(values)
         self.lengths = np.array([len(v) for v in self.values], np.int64)
-        flat = "".join(self.values)
-        codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = _codes(self.values)
         alphabet, letter = np.unique(codes, return_inverse=True)
         row = np.repeat(np.arange(len(self.values)), self.lengths)
         at = np.arange(len(codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        # the last row is that of letters which no string has
         self.masks = np.zeros((len(alphabet) + 1, len(self.values)), np.uint64)
         np.bitwise_or.at(self.masks, (letter, row), np.uint64(1) << at.astype(np.uint64))
-        self.number = {chr(x): i for i, x in enumerate(alphabet.tolist())}
-
-    def against(self, a: str, p: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and similarities of the strings that reach the threshold."""
-        n = len(a)
-        if not n or not self.values:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        lengths = self.lengths
-        low, high = length_range(n, threshold, p)
-        ok = lengths >= low if high is None else (lengths >= low) & (lengths <= high)
+        self.alphabet = alphabet
+
+    def against(self, xs: Sequence[str], p: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers in ``xs`` and here, and similarities, of the pairs that reach the threshold; ``xs`` are of one length."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        n = len(xs[0]) if len(xs) else 0
+        low, high = length_range(n, threshold, p) if n else (1, 0)
+        ok = (self.lengths >= low) if high is None else (self.lengths >= low) & (self.lengths <= high)
         chosen = np.flatnonzero(ok)
-        if not len(chosen):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        letters = [self.number.get(ch, -1) for ch in a]
-        masks = self.masks if len(chosen) == len(lengths) else self.masks[:, chosen]
-        m = lengths[chosen]
+        if not n or not len(chosen):
+            return none
+        codes = _codes(xs)
+        letters = np.searchsorted(self.alphabet, codes)
+        letters[(letters == len(self.alphabet)) | (self.alphabet[np.minimum(letters, len(self.alphabet) - 1)] != codes)] = len(self.alphabet)
+        letters = letters.reshape(len(xs), n)
+        masks, m = self.masks[:, chosen], self.lengths[chosen]
         kinds, kind = np.unique(m, return_inverse=True)
         reach = np.maximum(n, kinds) // 2 - 1
-        used = np.zeros(len(chosen), np.uint64)
-        hits = []
-        for i, x in enumerate(letters):
-            if x < 0:
-                hits.append(None)
-                continue
+        one = np.uint64(1)
+        windows = []
+        for i in range(n):
             begin, end = np.maximum(0, i - reach), np.maximum(0, np.minimum(kinds, i + reach + 1))
-            one = np.uint64(1)
-            window = np.where(end > begin, (one << end.astype(np.uint64)) - (one << np.minimum(begin, end).astype(np.uint64)), np.uint64(0))
-            free = masks[x] & window[kind] & ~used
-            bit = free & (~free + one)
-            used |= bit
-            hits.append(bit)
-        c = np.bitwise_count(used).astype(np.int64)
-        # what is left to gain: no transposition, four equal first characters
-        bound = (c / n + c / m + (c > 0)) / 3
-        best = np.flatnonzero((c > 0) & (bound + 4 * p * (1 - bound) >= threshold - 1e-4))
-        if not len(best):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        rest, c, m = used[best], c[best], m[best]
-        wrong = np.zeros(len(best), np.int64)
-        same = np.zeros(len(best), np.int64)
-        going = np.ones(len(best), bool)
-        for i, x in enumerate(letters):
-            own = masks[x][best] if x >= 0 else np.zeros(len(best), np.uint64)
-            if i < 4:
-                going &= (own >> np.uint64(i)) & np.uint64(1) == 1
-                same += going
-            if hits[i] is None:
+            windows.append(np.where(end > begin, (one << end.astype(np.uint64)) - (one << np.minimum(begin, end).astype(np.uint64)), np.uint64(0))[kind])
+        out = []
+        step = max(1, CHUNK_PAIRS // len(chosen))
+        for first in range(0, len(xs), step):
+            part = letters[first : first + step]
+            used, hits = np.zeros((len(part), len(chosen)), np.uint64), []
+            for i in range(n):
+                free = masks[part[:, i]] & windows[i]
+                free &= ~used
+                bit = free & (~free + one)
+                used |= bit
+                hits.append(bit)
+            c = np.bitwise_count(used).astype(np.int64)
+            # what is left to gain: no transposition, four equal first characters
+            bound = (c / n + c / m + (c > 0)) / 3
+            x, y = np.nonzero((c > 0) & (bound + 4 * p * (1 - bound) >= threshold - 1e-4))
+            if not len(x):
                 continue
-            hit = hits[i][best] != 0
-            first = rest & (~rest + np.uint64(1))
-            wrong += hit & ((own & first) == 0)
-            rest = np.where(hit, rest ^ first, rest)
-        f = lambda x: x.astype(np.float32)
-        score = _finish(f(c), _F(n), f(m), f(wrong), f(same), p)
-        keep = np.flatnonzero(score >= _F(threshold))
-        return chosen[best[keep]], score[keep]
-
-
-def block_pairs(xs: Sequence[str], ys: Sequence[str], p: float, threshold: float) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """For each ``x``: positions in ``ys`` with a similarity of at least the threshold, and these.
+            rest, c = used[x, y], c[x, y]
+            wrong, same, going = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.ones(len(x), bool)
+            for i in range(n):
+                own = masks[part[x, i], y]
+                if i < 4:
+                    going &= (own >> np.uint64(i)) & one == 1
+                    same += going
+                hit = hits[i][x, y] != 0
+                lowest = rest & (~rest + one)
+                wrong += hit & ((own & lowest) == 0)
+                rest = np.where(hit, rest ^ lowest, rest)
+            f = lambda v: v.astype(np.float32)
+            score = _finish(f(c), _F(n), f(m[y]), f(wrong), f(same), p)
+            keep = np.flatnonzero(score >= _F(threshold))
+            out.append((x[keep] + first, chosen[y[keep]], score[keep]))
+        return tuple(np.concatenate(v) for v in zip(*out)) if out else none
+
+
+def _codes(values: Sequence[str]) -> np.ndarray:
+    return np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def block_pairs(xs: Sequence[str], ys: Sequence[str], p: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers in ``xs`` and ``ys``, and similarities, of all pairs with at least the threshold.
 
     Strings beyond 63 characters are compared one by one.
     """
     short = [i for i, y in enumerate(ys) if len(y) <= MASK_BITS]
     long = [i for i, y in enumerate(ys) if len(y) > MASK_BITS]
     block, at = Block([ys[i] for i in short]), np.array(short, np.int64)
-    for x in xs:
+    by_length: dict[int, list[int]] = {}
+    single: list[tuple[int, int, np.float32]] = []
+    for i, x in enumerate(xs):
         if len(x) <= MASK_BITS:
-            found, score = block.against(x, p, threshold)
-            found, others = at[found], long
-        else:
-            found, score, others = np.zeros(0, np.int64), np.zeros(0, np.float32), range(len(ys))
-        more = [(i, s) for i in others if (s := _F(similarity(x, ys[i], p))) >= _F(threshold)]
-        if more:
-            found = np.concatenate([found, np.array([i for i, _ in more], np.int64)])
-            score = np.concatenate([score, np.array([s for _, s in more], np.float32)])
-        yield x, found, score
+            by_length.setdefault(len(x), []).append(i)
+        others = long if len(x) <= MASK_BITS else range(len(ys))
+        single += [(i, j, s) for j in others if (s := _F(similarity(x, ys[j], p))) >= _F(threshold)]
+    found = [(np.array([i for i, _, _ in single], np.int64), np.array([j for _, j, _ in single], np.int64), np.array([s for *_, s in single], np.float32))]
+    for numbers in by_length.values():
+        x, y, score = block.against([xs[i] for i in numbers], p, threshold)
+        found.append((np.array(numbers, np.int64)[x], at[y], score))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def pair_scores(a: Sequence[str | None], b: Sequence[str | None], p: float) -> np.ndarray:
+    """The similarity of each pair of two lists, NaN where a side is null; equal pairs are compared once."""
+    missing = np.array([not isinstance(u, str) or not isinstance(v, str) for u, v in zip(a, b)], bool)
+    partners: dict[str, dict[str, float]] = {}
+    for u, v, gone in zip(a, b, missing):
+        if not gone:
+            partners.setdefault(u, {})[v] = 0.0
+    for u, of in partners.items():
+        ys = list(of)
+        _, j, score = block_pairs([u], ys, p, 0.0) if len(ys) > 4 else (None, range(len(ys)), [similarity(u, y, p) for y in ys])
+        for at, s in zip(j, score):
+            of[ys[at]] = float(s)
+    return np.array([np.nan if gone else partners[u][v] for u, v, gone in zip(a, b, missing)], np.float32)
 
 
 def jw_similarity(a: Column, b: Column, p: float = 0.1) -> Column:
@@ -159,20 +183,24 @@ def jw_similarity(a: Column, b: Column, p: float = 0.1) -> Column:
 
     @pandas_udf("float")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(u if isinstance(u, str) else None, v if isinstance(v, str) else None, p) for u, v in zip(x, y)], dtype="float32")
+        return _as_series(pair_scores(x.tolist(), y.tolist(), p))
 
     return run(a, b)
 
 
+def _as_series(scores: np.ndarray) -> pd.Series:
+    return pd.Series(scores, dtype="float32").where(~np.isnan(scores), None)
+
+
 def register(spark: SparkSession, p: float = 0.1, lower: float = 0.88, upper: float = 0.94) -> None:
     """Make ``jw_similarity(a, b)`` and ``jw_level(a, b)`` functions of SQL."""
 
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(u if isinstance(u, str) else None, v if isinstance(v, str) else None, p) for u, v in zip(x, y)], dtype="float32")
+        return _as_series(pair_scores(x.tolist(), y.tolist(), p))
 
     def level(x: pd.Series, y: pd.Series) -> pd.Series:
-        s = score(x, y)
-        return ((s >= _F(lower)).astype("int32") + (s >= _F(upper)).astype("int32")).where(s.notna(), 0)
+        s = pair_scores(x.tolist(), y.tolist(), p)
+        return pd.Series((s >= _F(lower)).astype("int32") + (s >= _F(upper)).astype("int32"))
 
     spark.udf.register("jw_similarity", pandas_udf(score, "float"))
     spark.udf.register("jw_level", pandas_udf(level, "int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import cached_property, reduce
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from linkwright.config import LOWER, PREFIX_WEIGHT, UPPER, CompareConfig
 from linkwright.operators.indexing import INDEX, with_index
-from linkwright.operators.levels import exact_levels, fuzzy_levels
-from linkwright.operators.patterns import combine, dense_counts, gamma_table, n_patterns, radices
+from linkwright.operators.levels import distinct_levels, exact_levels, fuzzy_levels
+from linkwright.operators.patterns import combine, gamma_table, n_patterns, radices, strides
+from linkwright.store import write
 
 
 def _known(df: DataFrame, names: Sequence[str]) -> None:
@@ -22,27 +24,42 @@ def _known(df: DataFrame, names: Sequence[str]) -> None:
 
 
 class _Pairs:
-    """What both comparisons share: pairs, counts and their guards."""
+    """What both comparisons share: value pairs, record pairs, counts and their guards.
+
+    Counts need no record pairs. Records equal in all variables are one tuple with a multiplicity.
+    Pairs that agree in two variables or more are found between tuples, by joins on two variables at
+    once; how many agree in one variable alone follows from products of the numbers of rows of two
+    values, less those that agree in others, too.
+    """
 
     def __init__(self, n_fuzzy: int, n_exact: int, compat: bool, block_on: Sequence[str]) -> None:
         radices(n_fuzzy, n_exact)
         self.n_fuzzy, self.n_exact, self.compat, self.block_on = n_fuzzy, n_exact, compat, list(block_on)
-        self._pairs: DataFrame | None = None
+        self._cfg: CompareConfig | None = None
 
-    def _set(self, levels: list[DataFrame]) -> None:
-        self._pairs = combine(levels, self.n_fuzzy, self.n_exact).persist()
-
-    def _begin(self, p: float, lower: float, upper: float) -> CompareConfig:
-        if self._pairs is not None:
+    def _begin(self, p: float, lower: float, upper: float) -> None:
+        if self._cfg is not None:
             raise RuntimeError("the comparison has already been made")
-        return CompareConfig(p, lower, upper, self.compat)
+        self._cfg = CompareConfig(p, lower, upper, self.compat)
+
+    def _fitted(self) -> CompareConfig:
+        if self._cfg is None:
+            raise RuntimeError("fit must be called first")
+        return self._cfg
+
+    @cached_property
+    def _values(self) -> list[DataFrame]:
+        """The value pairs of each fuzzy variable, written once."""
+        cfg, other = self._fitted(), None if self._own else self.b
+        return [write(distinct_levels(self.a, other, x, y, cfg, self.block_on), "values").df for x, y in self._fuzzy]
 
-    @property
+    @cached_property
     def pairs(self) -> DataFrame:
         """``idx_a, idx_b, pattern_id`` of all pairs that agree somewhere."""
-        if self._pairs is None:
-            raise RuntimeError("fit must be called first")
-        return self._pairs
+        cfg, block, other = self._fitted(), self.block_on, None if self._own else self.b
+        levels = [fuzzy_levels(self.a, other, x, y, cfg, block_on=block, values=v) for (x, y), v in zip(self._fuzzy, self._values)]
+        levels += [exact_levels(self.a, other, x, y, block_on=block) for x, y in self._exact]
+        return combine(levels, self.n_fuzzy, self.n_exact)
 
     def indices(self, pattern_id: int) -> DataFrame:
         """The pairs of one pattern."""
@@ -50,25 +67,109 @@ class _Pairs:
 
     @cached_property
     def gamma(self) -> DataFrame:
-        return gamma_table(self.pairs.sparkSession, self.n_fuzzy, self.n_exact)
+        self._fitted()
+        return gamma_table(self.a.sparkSession, self.n_fuzzy, self.n_exact)
+
+    def _tuples(self, side: str) -> DataFrame:
+        """``block_on, x0, x1, ..., t, n``: the distinct records of a side, each by its smallest number, with their rows."""
+        df, at = (self.a, 0) if side == "a" else (self.b, 1)
+        cols = [F.col(v[at]).alias(f"x{k}") for k, v in enumerate([*self._fuzzy, *self._exact])]
+        keyed = df.select(*self.block_on, *cols, F.col(INDEX).alias("idx"))
+        for c in self.block_on:
+            keyed = keyed.where(F.col(c).isNotNull())
+        return keyed.groupBy(*[c for c in keyed.columns if c != "idx"]).agg(F.min("idx").alias("t"), F.count(F.lit(1)).alias("n"))
 
     @cached_property
-    def counts(self) -> DataFrame:
-        """``pattern_id, count`` of every pattern."""
-        return dense_counts(self.pairs, self.n_fuzzy, self.n_exact, self._total())
+    def _sides(self) -> tuple[DataFrame, DataFrame]:
+        a = write(self._tuples("a"), "tuples").df
+        return a, a if self._own else write(self._tuples("b"), "tuples").df
+
+    @cached_property
+    def _matching(self) -> list[DataFrame | None]:
+        """The value pairs in both directions; None stands for equality."""
+        turned = lambda v: v.unionByName(v.where("v <> w").select(*self.block_on, F.col("w").alias("v"), F.col("v").alias("w"), "level"))
+        return [turned(v) if self._own else v for v in self._values] + [None] * self.n_exact
+
+    def _several(self) -> DataFrame:
+        """``ta, tb, na, nb, pattern_id``: pairs of tuples that agree in two variables or more; of one table in both orders, each with itself."""
+        a, b = self._sides
+        weights = strides(radices(self.n_fuzzy, self.n_exact))
+        block, size = self.block_on, len(weights)
+        parts = []
+        for i, j in combinations(range(size), 2):
+            left = a.where(f"x{i} is not null and x{j} is not null").select(*block, F.col("t").alias("ta"), F.col("n").alias("na"), f"x{i}", f"x{j}")
+            for k in (j, i):
+                match = self._matching[k]
+                if match is None:
+                    left = left.withColumns({f"y{k}": F.col(f"x{k}"), f"l{k}": F.lit(1)})
+                else:
+                    left = left.join(match.select(*block, F.col("v").alias(f"x{k}"), F.col("w").alias(f"y{k}"), F.col("level").alias(f"l{k}")), [*block, f"x{k}"])
+            right = b.select(*block, F.col("t").alias("tb"), F.col("n").alias("nb"), F.col(f"x{i}").alias(f"y{i}"), F.col(f"x{j}").alias(f"y{j}"))
+            levels = [F.col(f"l{k}") if k in (i, j) else F.lit(0) for k in range(size)]
+            parts.append(left.join(right, [*block, f"y{i}", f"y{j}"]).select("ta", "tb", "na", "nb", *[x.alias(f"l{k}") for k, x in enumerate(levels)]))
+        union = reduce(DataFrame.unionByName, parts)
+        found = union.groupBy("ta", "tb", "na", "nb").agg(*[F.max(f"l{k}").alias(f"l{k}") for k in range(size)])
+        return found.select("ta", "tb", "na", "nb", sum((F.col(f"l{k}") * w for k, w in enumerate(weights)), F.lit(0)).cast("int").alias("pattern_id"))
+
+    def _alone(self) -> DataFrame:
+        """``variable, level, n``: how many pairs of records reach each level of each variable."""
+        a, b = self._sides
+        parts, product = [], F.col("na").cast("decimal(38,0)") * F.col("nb")
+        for k, match in enumerate(self._matching):
+            keys = [*self.block_on, f"x{k}"]
+            rows = lambda t, name: t.where(F.col(f"x{k}").isNotNull()).groupBy(*keys).agg(F.sum("n").alias(name))  # noqa: E731, B023
+            if match is None:
+                met = rows(a, "na").join(rows(b, "nb"), keys).withColumn("level", F.lit(1))
+            else:
+                met = match.withColumnRenamed("v", f"x{k}").join(rows(a, "na"), keys).drop(f"x{k}").withColumnRenamed("w", f"x{k}").join(rows(b, "nb"), keys)
+            parts.append(met.groupBy("level").agg(F.sum(product).alias("n")).select(F.lit(k).alias("variable"), "level", "n"))
+        return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def Counts(self) -> np.ndarray:  # noqa: N802
         """The counts as a vector in order of patterns."""
-        out = np.zeros(n_patterns(self.n_fuzzy, self.n_exact), np.int64)
-        for r in self.counts.collect():
-            out[r["pattern_id"]] = r["count"]
-        return out
+        self._fitted()
+        levels = radices(self.n_fuzzy, self.n_exact)
+        weights, size = strides(levels), n_patterns(self.n_fuzzy, self.n_exact)
+        found = [0] * size
+        if len(levels) > 1:
+            for r in self._several().groupBy("pattern_id").agg(F.sum(F.col("na").cast("decimal(38,0)") * F.col("nb")).alias("n")).collect():
+                found[r["pattern_id"]] = int(r["n"])
+        digit = lambda p, k: p // weights[k] % levels[k]
+        alone = {(r["variable"], r["level"]): int(r["n"]) for r in self._alone().collect()}
+        for (k, level), n in alone.items():
+            found[level * weights[k]] = n - sum(found[p] for p in range(size) if digit(p, k) == level and p != level * weights[k])
+        if self._own:
+            # every pair has come twice, and every record with itself
+            top = sum((F.when(F.col(f"x{k}").isNotNull(), (n - 1) * w).otherwise(0) for k, (n, w) in enumerate(zip(levels, weights))), F.lit(0))
+            for r in self._sides[0].groupBy(top.alias("p")).agg(F.sum("n").alias("n")).collect():
+                found[r["p"]] -= r["n"]
+            found = [n // 2 for n in found]
+        found[0] = int(self._total().first()[0]) - sum(found[1:])
+        return np.array(found, np.int64)
 
-    def close(self) -> None:
-        """Give the kept pairs' memory back."""
-        if self._pairs is not None:
-            self._pairs.unpersist()
+    @cached_property
+    def counts(self) -> DataFrame:
+        """``pattern_id, count`` of every pattern."""
+        return self.a.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(self.Counts)], "pattern_id int, count long")
+
+    def chosen(self, patterns: Sequence[int]) -> DataFrame:
+        """``idx_a, idx_b, pattern_id`` of the pairs of some patterns; the pairs of others are not made if all of these agree in two variables or more."""
+        levels = radices(self.n_fuzzy, self.n_exact)
+        if not patterns or any(sum(p // w % n > 0 for w, n in zip(strides(levels), levels)) < 2 for p in patterns):
+            return self.pairs.where(F.col("pattern_id").isin(list(patterns)))
+        tuples = self._several().where(F.col("pattern_id").isin(list(patterns))).select("ta", "tb", "pattern_id")
+        a, b = self._members("a"), self._members("b")
+        out = tuples.join(a.select(F.col("t").alias("ta"), F.col("idx").alias("idx_a")), "ta").join(b.select(F.col("t").alias("tb"), F.col("idx").alias("idx_b")), "tb")
+        return (out.where("idx_a > idx_b") if self._own else out).select("idx_a", "idx_b", "pattern_id")
+
+    def _members(self, side: str) -> DataFrame:
+        """``t, idx``: the records of each tuple."""
+        df, at = (self.a, 0) if side == "a" else (self.b, 1)
+        tuples = self._sides[at]
+        rows = df.select(*self.block_on, *[F.col(v[at]).alias(f"__x{k}") for k, v in enumerate([*self._fuzzy, *self._exact])], F.col(INDEX).alias("idx"))
+        same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(tuples[c]) for c in self.block_on] + [rows[f"__x{k}"].eqNullSafe(tuples[f"x{k}"]) for k in range(self.n_fuzzy + self.n_exact)])
+        return rows.join(tuples, same).select(tuples["t"], rows["idx"])
 
 
 class Comparison(_Pairs):
@@ -90,12 +191,11 @@ class Comparison(_Pairs):
         self.a = df_a.withColumn(INDEX, F.col(index_a).cast("long")) if index_a else with_index(df_a, order_by_a)
         self.b = df_b.withColumn(INDEX, F.col(index_b).cast("long")) if index_b else with_index(df_b, order_by_b)
         self.fuzzy, self.exact = list(zip(fuzzy_a, fuzzy_b)), list(zip(exact_a, exact_b))
+        self._fuzzy, self._exact, self._own = self.fuzzy, self.exact, False
 
     def fit(self, p: float = PREFIX_WEIGHT, lower: float = LOWER, upper: float = UPPER, num_threads: int = 256, max_chunk_size: float = 2.0) -> Comparison:
         """Plan the comparison; the last two parameters are accepted and have no meaning here."""
-        cfg = self._begin(p, lower, upper)
-        block = self.block_on
-        self._set([fuzzy_levels(self.a, self.b, x, y, cfg, block_on=block) for x, y in self.fuzzy] + [exact_levels(self.a, self.b, x, y, block_on=block) for x, y in self.exact])
+        self._begin(p, lower, upper)
         return self
 
     def _total(self) -> DataFrame:
@@ -118,16 +218,15 @@ class Deduplication(_Pairs):
         self.a = df.withColumn(INDEX, F.col(index).cast("long")) if index else with_index(df, order_by)
         self.b = self.a
         self.fuzzy, self.exact = list(fuzzy), list(exact)
+        self._fuzzy, self._exact, self._own = [(x, x) for x in fuzzy], [(x, x) for x in exact], True
 
     def fit(self, p: float = PREFIX_WEIGHT, lower: float = LOWER, upper: float = UPPER, num_threads: int = 256, max_chunk_size: float = 2.0) -> Deduplication:
         """Plan the comparison; the last two parameters are accepted and have no meaning here."""
-        cfg = self._begin(p, lower, upper)
-        block = self.block_on
-        self._set([fuzzy_levels(self.a, None, x, x, cfg, block_on=block) for x in self.fuzzy] + [exact_levels(self.a, None, x, x, block_on=block) for x in self.exact])
+        self._begin(p, lower, upper)
         return self
 
     def _total(self) -> DataFrame:
-        sizes = self.a.groupBy(*self.block_on).agg(F.count(F.lit(1)).alias("n"))
+        sizes = self.a.dropna(subset=self.block_on).groupBy(*self.block_on).agg(F.count(F.lit(1)).alias("n")) if self.block_on else self.a.agg(F.count(F.lit(1)).alias("n"))
         more = F.lit(1 if self.compat else -1)
         return sizes.agg(F.coalesce(F.sum(F.expr("n") * (F.col("n") + more)), F.lit(0)).alias("twice")).select(F.expr("twice div 2").alias("total"))
 

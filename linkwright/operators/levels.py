@@ -1,9 +1,9 @@
 """Agreement levels of record pairs, one variable at a time.
 
-Fuzzy levels are found between distinct values. These are packed into blocks by length; a block
-meets only blocks whose lengths can still reach the threshold (an equi-join on length), and each
-such pair of blocks is one row for the vectorised kernel. Only value pairs of level 1 or 2 leave it,
-and they are expanded to records by joins on the values.
+Fuzzy levels are found between distinct values. These are packed into blocks, small ones whole and
+large ones by length; a block meets only blocks whose lengths can still reach the threshold, and
+each such pair of blocks is one row for the vectorised kernel. Only value pairs of level 1 or 2
+leave it, and they are expanded to records by joins on the values.
 """
 
 from __future__ import annotations
@@ -17,19 +17,24 @@ from pyspark.sql import functions as F
 
 from linkwright.config import CompareConfig
 from linkwright.functions.jaro_winkler import block_pairs, length_range
+from linkwright.store import write
 
-#: Distinct values in a block.
-BLOCK_VALUES = 2048
+#: Distinct values in a block, and comparisons in a task.
+BLOCK_VALUES, TASK_PAIRS = 2048, 8_000_000
 
 
 def _blocks(values: DataFrame, block_on: Sequence[str], side: str) -> DataFrame:
-    """Values packed by block key and length: ``block_on, len, no, values``."""
-    keys = [*block_on, "len"]
-    sized = values.withColumn("len", F.length("v"))
-    counts = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
-    parts = F.ceil(F.col("n_values") / BLOCK_VALUES)
-    split = sized.join(counts, keys).withColumn("no", F.pmod(F.xxhash64("v"), parts).cast("int"))
-    return split.groupBy(*keys, "no").agg(F.collect_list("v").alias("values")).withColumnsRenamed({"len": f"len_{side}", "no": f"no_{side}", "values": f"values_{side}"})
+    """Values packed by block key: ``block_on, len, no, size, values``; a block of any length has ``len`` 0."""
+    keys = list(block_on)
+    counts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
+    # without keys there is one row of counts
+    sized = values.join(counts, keys) if keys else values.join(F.broadcast(counts), F.lit(True))
+    sized = sized.withColumn("len", F.when(F.col("n_values") <= BLOCK_VALUES, 0).otherwise(F.length("v")))
+    large = sized.where("len > 0").groupBy(*keys, "len").agg(F.count(F.lit(1)).alias("n_len"))
+    parts = F.greatest(F.lit(1), F.ceil(F.coalesce("n_len", F.lit(0)) / BLOCK_VALUES))
+    split = sized.join(large, [*keys, "len"], "left").withColumn("no", F.pmod(F.xxhash64("v"), parts).cast("int"))
+    packed = split.groupBy(*keys, "len", "no").agg(F.collect_list("v").alias("values")).withColumn("size", F.size("values").cast("long"))
+    return packed.withColumnsRenamed({c: f"{c}_{side}" for c in ("len", "no", "values", "size")})
 
 
 def value_levels(left: DataFrame, right: DataFrame | None, cfg: CompareConfig, block_on: Sequence[str] = ()) -> DataFrame:
@@ -39,22 +44,33 @@ def value_levels(left: DataFrame, right: DataFrame | None, cfg: CompareConfig, b
     of ``left`` are compared with each other: each pair once, ``v > w``, and every value with itself
     at similarity 1.
     """
-    a = _blocks(left.where("length(v) > 0"), block_on, "a")
+    spark = left.sparkSession
     own = right is None
-    b = a.withColumnsRenamed({"len_a": "len_b", "no_a": "no_b", "values_a": "values_b"}) if own else _blocks(right.where("length(v) > 0"), block_on, "b")
-    kernel = _kernel(cfg, own)
-    # there are at most as many lengths as the longest value has characters; a block is repeated for the compatible ones
-    lengths = [r[0] for r in b.select("len_b").distinct().collect()]
-    ranges = {n: length_range(n, cfg.lower, cfg.p) for n in {*lengths, *([r[0] for r in a.select("len_a").distinct().collect()])}}
-    fits = [(n, m) for n, (low, high) in ranges.items() for m in lengths if low <= m and (high is None or m <= high) and (not own or m <= n)]
-    pairs = left.sparkSession.createDataFrame(fits, "len_a int, len_b int") if fits else left.sparkSession.createDataFrame([], "len_a int, len_b int")
-    met = a.join(F.broadcast(pairs), "len_a").join(b, [*block_on, "len_b"])
+    a = write(_blocks(left.where("length(v) > 0"), block_on, "a"), "packed").df
+    b = a.withColumnsRenamed({f"{c}_a": f"{c}_b" for c in ("len", "no", "values", "size")}) if own else write(_blocks(right.where("length(v) > 0"), block_on, "b"), "packed").df
+    keys = lambda s: [*block_on, f"len_{s}", f"no_{s}", f"size_{s}"]
+    # the lengths are at most as many as the longest value has characters
+    lengths = lambda df, s: [r[0] for r in df.select(f"len_{s}").distinct().collect()]
+    of_b = lengths(b, "b")
+    fits = []
+    for n in lengths(a, "a"):
+        low, high = length_range(n, cfg.lower, cfg.p) if n else (0, None)
+        fits += [(n, m) for m in of_b if m == 0 or (low <= m and (high is None or m <= high))]
+    pairs = spark.createDataFrame(fits, "len_a int, len_b int")
+    # numbers of blocks meet first, the lists come later
+    met = a.select(*keys("a")).join(F.broadcast(pairs), "len_a").join(b.select(*keys("b")), [*block_on, "len_b"])
     if own:
-        met = met.where("len_a > len_b or no_a >= no_b")
+        met = met.where("len_a > len_b or (len_a = len_b and no_a >= no_b)")
+    met = write(met.withColumn("same", (F.col("len_a") == F.col("len_b")) & (F.col("no_a") == F.col("no_b"))), "meetings").df
+    work = met.agg(F.coalesce(F.sum(F.col("size_a") * F.col("size_b")), F.lit(0))).first()[0]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, work // TASK_PAIRS)
+    lists = lambda df, s: df.select(*block_on, f"len_{s}", f"no_{s}", f"values_{s}")
+    at = lambda s: [*block_on, f"len_{s}", f"no_{s}"]
+    full = met.join(lists(a, "a"), at("a")).join(lists(b, "b"), at("b"))
     schema = ", ".join([*(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in block_on), "v string, w string, level int, similarity float"])
-    # the rows are few and heavy: spread them over all tasks
-    spread = met.select(*block_on, F.col("values_a"), F.col("values_b"), ((F.col("len_a") == F.col("len_b")) & (F.col("no_a") == F.col("no_b"))).alias("same")).repartition(4 * left.sparkSession.sparkContext.defaultParallelism)
-    found = spread.mapInArrow(kernel, schema)
+    # the rows are few and heavy: spread them over all tasks, by what they are
+    spread = full.select(*block_on, "values_a", "values_b", "same", F.xxhash64(*block_on, "len_a", "no_a", "len_b", "no_b").alias("h")).repartition(tasks, "h").drop("h")
+    found = spread.mapInArrow(_kernel(cfg, own), schema)
     if own:
         found = found.unionByName(left.select(*block_on, "v", F.col("v").alias("w"), F.lit(2).alias("level"), F.lit(1.0).cast("float").alias("similarity")))
     return found
@@ -69,28 +85,20 @@ def _kernel(cfg: CompareConfig, own: bool):  # noqa: ANN202
             n_keys = len(names) - 3
             for row in range(batch.num_rows):
                 xs, ys, same = (batch.column(n_keys + i)[row].as_py() for i in range(3))
-                order = np.argsort(np.array(ys, object)) if own and same else None
-                if order is not None:
-                    ys = [ys[i] for i in order]
-                v, w, s = [], [], []
-                for x, at, score in block_pairs(xs, ys, p, lower):
-                    if own:
-                        keep = [i for i, j in enumerate(at) if not same or ys[j] < x]
-                        at, score = at[keep], score[keep]
-                    v += [x] * len(at)
-                    w += [ys[j] for j in at]
-                    s.append(score)
-                if not own and not compat:
-                    both = set(xs) & set(ys)
-                    one = [x for x in both if len(x) == 1]
-                    v, w, s = v + one, w + one, [*s, np.ones(len(one), np.float32)]
-                score = np.concatenate(s) if s else np.zeros(0, np.float32)
-                if own and not same:
-                    flip = [a < b for a, b in zip(v, w)]
-                    v, w = [b if f else a for a, b, f in zip(v, w, flip)], [a if f else b for a, b, f in zip(v, w, flip)]
+                i, j, score = block_pairs(xs, ys, p, lower)
+                v, w = np.array(xs, object)[i], np.array(ys, object)[j]
+                if own:
+                    # each pair once, the greater value first
+                    keep = v > w if same else v != w
+                    v, w, score = v[keep], w[keep], score[keep]
+                    flip = v < w
+                    v, w = np.where(flip, w, v), np.where(flip, v, w)
+                elif not compat:
+                    one = [x for x in set(xs) & set(ys) if len(x) == 1]
+                    v, w, score = np.append(v, one), np.append(w, one), np.append(score, np.ones(len(one), np.float32))
                 level = (score >= np.float32(lower)).astype(np.int32) + (score >= np.float32(upper)).astype(np.int32)
-                keys = [pa.array([batch.column(i)[row].as_py()] * len(v), batch.schema.field(i).type) for i in range(n_keys)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(v, pa.string()), pa.array(w, pa.string()), pa.array(level), pa.array(score)], [*names[:n_keys], "v", "w", "level", "similarity"])
+                keys = [pa.array([batch.column(c)[row].as_py()] * len(v), batch.schema.field(c).type) for c in range(n_keys)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(v.tolist(), pa.string()), pa.array(w.tolist(), pa.string()), pa.array(level), pa.array(score.astype(np.float32))], [*names[:n_keys], "v", "w", "level", "similarity"])
 
     return run
 
@@ -99,25 +107,31 @@ def _rows(df: DataFrame, idx: str, column: str, block_on: Sequence[str], names:
     return df.where(F.col(column).isNotNull()).select(F.col(idx).alias(names[0]), F.col(column).alias(names[1]), *block_on)
 
 
-def fuzzy_levels(a: DataFrame, b: DataFrame | None, column_a: str, column_b: str, cfg: CompareConfig, idx: str = "__idx", block_on: Sequence[str] = ()) -> DataFrame:
+def fuzzy_levels(a: DataFrame, b: DataFrame | None, column_a: str, column_b: str, cfg: CompareConfig, idx: str = "__idx", block_on: Sequence[str] = (), values: DataFrame | None = None) -> DataFrame:
     """``idx_a, idx_b, level``: record pairs whose values reach level 1 or 2; nulls reach none.
 
     Without ``b`` the pairs of ``a`` with ``idx_a > idx_b``; equal values, also empty ones, are then
-    of level 2. Between tables an empty string reaches no level.
+    of level 2. Between tables an empty string reaches no level. ``values`` are the value pairs, if
+    they are known already.
     """
     left = _rows(a, idx, column_a, block_on, ("idx_a", "v"))
     right = _rows(a if b is None else b, idx, column_b, block_on, ("idx_b", "w"))
-    distinct = left.select(*block_on, "v").distinct()
-    other = None if b is None else right.select(*block_on, F.col("w").alias("v")).distinct()
-    values = value_levels(distinct, other, cfg, block_on).drop("similarity")
-    if b is not None:
-        return values.join(left, [*block_on, "v"]).join(right, [*block_on, "w"]).select("idx_a", "idx_b", "level")
+    if values is None:
+        values = distinct_levels(a, b, column_a, column_b, cfg, block_on)
     pairs = values.join(left, [*block_on, "v"]).join(right, [*block_on, "w"])
+    if b is not None:
+        return pairs.select("idx_a", "idx_b", "level")
     within = pairs.where("v = w and idx_a > idx_b")
     across = pairs.where("v <> w").withColumns({"idx_a": F.greatest("idx_a", "idx_b"), "idx_b": F.least("idx_a", "idx_b")})
     return within.unionByName(across).select("idx_a", "idx_b", "level")
 
 
+def distinct_levels(a: DataFrame, b: DataFrame | None, column_a: str, column_b: str, cfg: CompareConfig, block_on: Sequence[str] = ()) -> DataFrame:
+    """``block_on, v, w, level`` of the distinct values of two columns, or of one column with itself."""
+    values = lambda df, c: df.where(F.col(c).isNotNull()).select(*block_on, F.col(c).alias("v")).distinct()
+    return value_levels(values(a, column_a), None if b is None else values(b, column_b), cfg, block_on).drop("similarity")
+
+
 def exact_levels(a: DataFrame, b: DataFrame | None, column_a: str, column_b: str, idx: str = "__idx", block_on: Sequence[str] = ()) -> DataFrame:
     """``idx_a, idx_b, level``: record pairs with equal values, at level 1; null equals nothing, NaN itself."""
     left = _rows(a, idx, column_a, block_on, ("idx_a", "v"))

@@ -52,20 +52,6 @@ def combine(levels: Sequence[DataFrame], n_fuzzy: int, n_exact: int) -> DataFram
     return union.groupBy("idx_a", "idx_b").agg(F.sum("weight").cast("int").alias("pattern_id"))
 
 
-def dense_counts(pairs: DataFrame, n_fuzzy: int, n_exact: int, total: DataFrame | int) -> DataFrame:
-    """``pattern_id, count`` of all patterns; pattern 0 has what the total leaves.
-
-    ``total`` is a number or a one-row table with the column ``total``.
-    """
-    spark = pairs.sparkSession
-    seen = pairs.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("count"))
-    whole = spark.createDataFrame([(total,)], "total long") if isinstance(total, int) else total
-    rest = seen.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("linked"))
-    zero = whole.join(F.broadcast(rest), F.lit(True)).select(F.lit(0).alias("pattern_id"), (F.col("total") - F.col("linked")).alias("count"))
-    all_ = spark.range(n_patterns(n_fuzzy, n_exact)).select(F.col("id").cast("int").alias("pattern_id"))
-    return all_.join(F.broadcast(seen.unionByName(zero)), "pattern_id", "left").select("pattern_id", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-
-
 def add_counts(*counts: DataFrame) -> DataFrame:
     """The sum of several tables of counts, as of blocks compared on their own."""
     out = counts[0]

@@ -12,7 +12,7 @@ from linkwright.functions.jaro_winkler import register
 from linkwright.functions.pairs import exact_dedup, exact_pairs, jaro_winkler_dedup, jaro_winkler_pairs, jaro_winkler_values
 from linkwright.operators.compare import Comparison, Deduplication, intersect_pairs, setdiff_pairs, union_pairs
 from linkwright.operators.estimate import Estimation
-from linkwright.operators.evaluate import Evaluation, frontier
+from linkwright.operators.evaluate import Evaluation, frontier, precision_recall
 from linkwright.operators.indexing import INDEX, with_index
 from linkwright.operators.link import Linkage
 from linkwright.operators.patterns import add_counts, gamma_table
@@ -110,8 +110,8 @@ def link_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_indices(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of each pattern, in short: their number and sums of both ends."""
-    return _dedup(spark, d).pairs.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("idx_a").alias("sum_a"), F.sum("idx_b").alias("sum_b"))
+    """The pairs of parts that agree somewhere, each with its pattern."""
+    return _dedup(spark, d).pairs
 
 
 def dedup_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -131,25 +131,88 @@ def em_ksi(spark: SparkSession, d: str) -> DataFrame:
     return _example().ksi_table(spark).select("pattern_id", F.round("ksi", 4).alias("ksi"))
 
 
+VOTER_FIELDS = ["last_name", "first_name", "house_number", "street_name"]
+# A start of the model of four fuzzy variables and an exact one.
+VOTER_START = ([[0.8, 0.15, 0.05]] * 4 + [[0.9, 0.1]], [[0.05, 0.15, 0.8]] * 4 + [[0.1, 0.9]])
+
+
+def _voters(spark: SparkSession, d: str) -> Comparison:
+    """Both voter files, all pairs: four fuzzy variables and the exact birth year."""
+    cols = ["idx", *VOTER_FIELDS, "birth_year", "gender", "ncid"]
+    a, b = (table(spark, d, t).select(*cols) for t in ("df_a", "df_b"))
+    return Comparison(a, b, VOTER_FIELDS, VOTER_FIELDS, ["birth_year"], ["birth_year"], index_a="idx", index_b="idx").fit()
+
+
+def _voter_model(spark: SparkSession, d: str) -> Estimation:
+    return Estimation(4, 1, _voters(spark, d).Counts, init=VOTER_START).fit()
+
+
 def linked_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Voter records linked by the given match probabilities, blocked by birth year."""
-    cols = ["last_name", "first_name", "house_number", "street_name"]
-    a, b = table(spark, d, "df_a").select("idx", "birth_year", *cols), table(spark, d, "df_b").select("idx", "birth_year", *cols)
-    made = Comparison(a, b, cols, cols, ["birth_year"], ["birth_year"], block_on=["birth_year"], index_a="idx", index_b="idx").fit()
-    return Linkage(made.a, made.b, made.pairs, table(spark, d, "ksi").select("pattern_id", "ksi")).transform(include_score=True, compat=False)
+    """Voter records linked by the given match probabilities, of all pairs of the two files."""
+    made = _voters(spark, d)
+    return Linkage(made.a, made.b, made, table(spark, d, "ksi").select("pattern_id", "ksi")).transform(include_score=True, compat=False)
+
+
+def linked_rows_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """The same, compared within birth years only."""
+    cols = ["idx", "birth_year", *VOTER_FIELDS]
+    a, b = (table(spark, d, t).select(*cols) for t in ("df_a", "df_b"))
+    made = Comparison(a, b, VOTER_FIELDS, VOTER_FIELDS, ["birth_year"], ["birth_year"], block_on=["birth_year"], index_a="idx", index_b="idx").fit()
+    return Linkage(made.a, made.b, made, table(spark, d, "ksi").select("pattern_id", "ksi")).transform(include_score=True, compat=False)
 
 
 def voter_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pattern counts of the voter files within birth years."""
-    cols = ["last_name", "first_name", "house_number", "street_name"]
     a, b = table(spark, d, "df_a"), table(spark, d, "df_b")
-    return Comparison(a, b, cols, cols, block_on=["birth_year"], index_a="idx", index_b="idx").fit().counts
+    return Comparison(a, b, VOTER_FIELDS, VOTER_FIELDS, block_on=["birth_year"], index_a="idx", index_b="idx").fit().counts
+
+
+def voter_all_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pattern counts of all pairs of the voter files."""
+    return _voters(spark, d).counts
+
+
+def voter_em_params(spark: SparkSession, d: str) -> DataFrame:
+    """The model fitted to the counts of all pairs."""
+    return _voter_model(spark, d).params_table(spark).select("class", "variable", "level", F.round("prob", 4).alias("prob"))
+
+
+def voter_ksi(spark: SparkSession, d: str) -> DataFrame:
+    """The match probability of every pattern under that model."""
+    return _voter_model(spark, d).ksi_table(spark).select("pattern_id", F.round("ksi", 3).alias("ksi"))
+
+
+def voter_linked(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way: voter files compared, the model fitted, probable pairs linked."""
+    made = _voters(spark, d)
+    model = Estimation(4, 1, made.Counts, init=VOTER_START).fit()
+    return Linkage(made.a, made.b, made, model.ksi_table(spark)).transform(compat=False).select("Index_A", "Index_B", "last_name_A", "last_name_B", "birth_year_A", "birth_year_B")
+
+
+def voter_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """Error rates of the fitted model at every threshold."""
+    model = _voter_model(spark, d)
+    curve = Evaluation(model.Lambda, model.Ksi, model.counts, compat=False).frontier(spark)
+    return curve.select("s", F.round(F.nanvl("fdr", F.lit(-1.0)), 3).alias("fdr"), F.round("fnr", 3).alias("fnr"))
+
+
+def voter_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold with the least sum of both rates."""
+    model = _voter_model(spark, d)
+    return spark.createDataFrame([(Evaluation(model.Lambda, model.Ksi, model.counts, compat=False).optimal_threshold(spark, 1.0),)], "s double")
+
+
+def voter_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the linked voter records by the number of their forms."""
+    a, b = table(spark, d, "df_a"), table(spark, d, "df_b")
+    rates = precision_recall(linked_rows(spark, d), a, b, "ncid")
+    return rates.select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 def dedup_linked(spark: SparkSession, d: str) -> DataFrame:
     """Duplicates of suppliers' nations, linked with themselves."""
     made = Deduplication(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), [], ["s_nationkey"], index="s_suppkey").fit()
-    return Linkage(made.a, made.b, made.pairs, [0.0, 0.9]).transform()
+    return Linkage(made.a, made.b, made, [0.0, 0.9]).transform()
 
 
 def hard_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -165,11 +228,11 @@ def overlap_count(spark: SparkSession, d: str) -> DataFrame:
     return names("df_a").intersect(names("df_b")).agg(F.count(F.lit(1)).alias("n_common"))
 
 
-def precision_recall(spark: SparkSession, d: str) -> DataFrame:
-    """The hard merge measured by gender as if it were the truth."""
-    common = table(spark, d, "df_a").select("gender").intersect(table(spark, d, "df_b").select("gender")).agg(F.count(F.lit(1)).alias("n"))
-    same = F.coalesce((F.col("gender_a") == F.col("gender_b")).cast("int"), F.lit(0))
-    return hard_merge(spark, d).agg(F.avg(same).alias("precision"), F.sum(same).alias("n_same")).join(common, F.lit(True)).select(F.round("precision", 6).alias("precision"), F.round(F.col("n_same") / F.col("n"), 6).alias("per_common"))
+def hard_merge_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the hard merge by gender."""
+    a, b = table(spark, d, "df_a"), table(spark, d, "df_b")
+    rates = precision_recall(hard_merge(spark, d), a, b, "gender", ("_a", "_b"))
+    return rates.select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 def _patterns(spark: SparkSession) -> DataFrame:
@@ -184,7 +247,7 @@ def fdr_fnr_frontier(spark: SparkSession, d: str) -> DataFrame:
 
 def optimal_threshold(spark: SparkSession, d: str) -> DataFrame:
     e = _example()
-    rows = [(compat, Evaluation(e.Lambda, e.Ksi, e.counts, compat).optimal_threshold(1.0)) for compat in (False, True)]
+    rows = [(compat, Evaluation(e.Lambda, e.Ksi, e.counts, compat).optimal_threshold(spark, 1.0)) for compat in (False, True)]
     return spark.createDataFrame(rows, "compat boolean, s double")
 
 
@@ -229,6 +292,6 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         jw_similarity_pairs, jw_unique_levels, jw_link_levels, exact_pairs_by_nation, jw_dedup_levels, exact_dedup_pairs,
         intersect_of_pairs, setdiff_of_pairs, union_of_pairs, link_indices, link_counts, dedup_indices, dedup_counts,
-        gamma_of_example, em_params, em_ksi, linked_rows, voter_counts, dedup_linked, hard_merge, overlap_count,
-        precision_recall, fdr_fnr_frontier, optimal_threshold, blocked_counts, added_counts, indexed_rows,
+        gamma_of_example, em_params, em_ksi, linked_rows, linked_rows_by_year, voter_counts, voter_all_counts, voter_em_params,
+        voter_ksi, voter_linked, voter_frontier, voter_threshold, voter_accuracy, dedup_linked, hard_merge, overlap_count, hard_merge_accuracy, fdr_fnr_frontier, optimal_threshold, blocked_counts, added_counts, indexed_rows,
         p4_found, p4_by_last_name, p4_join_by_birth_year)}

@@ -20,7 +20,6 @@ def link_batches(stream: DataFrame, table: DataFrame, fuzzy: Sequence[str], exac
 
     def run(batch: DataFrame, number: int) -> None:
         made = Comparison(batch, table, fuzzy, fuzzy, exact, exact, block_on=block_on, order_by_a=order_by, order_by_b=order_by).fit()
-        sink(Linkage(made.a, made.b, made.pairs, ksi).transform(threshold, compat=False), number)
-        made.close()
+        sink(Linkage(made.a, made.b, made, ksi).transform(threshold, compat=False), number)
 
     return stream.writeStream.foreachBatch(run)

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linkwright.functions.jaro_winkler import block_pairs, jw_similarity, length_range, register, similarity
+from linkwright.functions.jaro_winkler import block_pairs, jw_similarity, length_range, pair_scores, register, similarity
 
 # Pairs, similarities and levels.
 GOLDEN = [
@@ -32,15 +32,22 @@ def test_null():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(WORDS, max_size=8), st.lists(WORDS, max_size=8), st.sampled_from([0.3, 0.7, 0.88]))
 def test_block_is_the_scalar(xs, ys, threshold):
-    for x, at, score in block_pairs(xs, ys, 0.1, threshold):
-        want = {i: np.float32(similarity(x, y)) for i, y in enumerate(ys) if np.float32(similarity(x, y)) >= np.float32(threshold)}
-        assert dict(zip(at.tolist(), score)) == want
+    i, j, score = block_pairs(xs, ys, 0.1, threshold)
+    want = {(i, j): s for i, x in enumerate(xs) for j, y in enumerate(ys) if (s := np.float32(similarity(x, y))) >= np.float32(threshold)}
+    assert dict(zip(zip(i.tolist(), j.tolist()), score)) == want and len(i) == len(want)
 
 
 def test_long_strings():
     xs, ys = ["a" * 70, "b" * 10, "ab" * 40], ["a" * 69, "b" * 10, "ab" * 39 + "a"]
-    got = {(x, int(i)) for x, at, _ in block_pairs(xs, ys, 0.1, 0.88) for i in at}
-    assert got == {(xs[0], 0), (xs[1], 1), (xs[2], 2)}
+    i, j, _ = block_pairs(xs, ys, 0.1, 0.88)
+    assert set(zip(i.tolist(), j.tolist())) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_scores_of_many_pairs():
+    xs, ys = ["john"] * 7 + [None, "", "éa", "x" * 70], ["jon", "john", "", "jhon", "zzz", "jo", "j", "a", "a", "éb", "x" * 70]
+    got = pair_scores(xs, ys, 0.1)
+    assert np.isnan(got[7])
+    assert all(got[i] == np.float32(similarity(x, y)) for i, (x, y) in enumerate(zip(xs, ys)) if i != 7)
 
 
 @settings(max_examples=200, deadline=None)

@@ -89,6 +89,25 @@ def test_brute_force(spark, kf, ke, own, seed):
     assert made.Counts.sum() == total
 
 
+@pytest.mark.parametrize("own", [False, True])
+def test_pairs_of_chosen_patterns(spark, own):
+    """Pairs of probable patterns, found without the pairs of all others."""
+    rng = random.Random(12)
+    draw = lambda: (rng.choice(["smith", "smyth", "jones", "janes", None]), rng.choice(["john", "jon", "maria", ""]), rng.choice([1980, 1981, None]), rng.choice("xy"))
+    schema = "i long, l string, f string, y int, b string"
+    a = spark.createDataFrame([(i, *draw()) for i in range(60)], schema)
+    b = spark.createDataFrame([(i, *draw()) for i in range(40)], schema)
+    for block in ([], ["b"]):
+        made = Deduplication(a, ["l", "f"], ["y"], index="i", block_on=block).fit() if own else Comparison(a, b, ["l", "f"], ["l", "f"], ["y"], ["y"], index_a="i", index_b="i", block_on=block).fit()
+        everything = {tuple(r) for r in made.pairs.select("idx_a", "idx_b", "pattern_id").collect()}
+        for wanted in ([13, 17, 15, 5], [17, 12], []):
+            assert {tuple(r) for r in made.chosen(wanted).select("idx_a", "idx_b", "pattern_id").collect()} == {p for p in everything if p[2] in wanted}
+        seen = [0] * 18
+        for *_, p in everything:
+            seen[p] += 1
+        assert made.Counts[1:].tolist() == seen[1:]
+
+
 def test_blocking_is_a_loop_over_blocks(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice(["smith", "smyth", "garcia"]), rng.choice([1, 2]), rng.choice("MF")) for i in range(24)]
@@ -194,7 +213,7 @@ def test_evaluation_golden(spark):
     assert all(pytest.approx(0.0034316, abs=1e-6) == documented.FDR(s) for s in (0.5, 0.85, 0.95))
     assert pytest.approx(0.0253176, abs=1e-6) == documented.FNR(0.5)
     assert pytest.approx(2531763.87, rel=1e-6) == as_coded.FNR(0.5)
-    assert (documented.optimal_threshold(1), as_coded.optimal_threshold(1)) == (0.168, 0.0)
+    assert (documented.optimal_threshold(spark, 1), as_coded.optimal_threshold(spark, 1)) == (0.168, 0.0)
     assert math.isnan(documented.FDR(1.1))
     curve = {round(r["s"] * 1000): r for r in documented.frontier(spark).collect()}
     assert len(curve) == 1001 and pytest.approx(documented.FDR(0.5)) == curve[500]["fdr"] and math.isnan(curve[1000]["fdr"])
