@@ -4,15 +4,17 @@ Records of all sources stand in order of several composite keys; in each order e
 compared with its neighbours in a sliding window; records of one birth year and given name whose family
 names differ by one slip are joined exactly, however many stand between them. A comparison adds up bits of evidence: an
 agreement counts the more, the rarer the value. Strong matches join records into entities, weaker ones
-within a source join those of repeated records; entities are then matched by the weaker ones between
-the sources, one to one, so that the confidence adds up to the most.
+within a source join those of repeated records; the parts of entities in either source are then matched
+by the weaker ones between the sources, one to one, so that the evidence adds up to the most.
+
+Why windows need not grow with the tables: names and a year that many records share are no evidence.
+What may match without an agreeing place is expected to be alone, or nearly so, with its three values.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.addresses import parse_addresses
 from linkwright.llm.components import connected_components
+from linkwright.llm.metric import Words
 from linkwright.llm.names import INITIAL, NONE, SAME, SLIP, Forms, Name, compare_family, compare_given, edits, same_letters
 from linkwright.llm.variants import name_knowledge, strata
 from linkwright.store import write
@@ -38,16 +41,18 @@ _FIELDS = "idx bigint, side int, last string, first string, fam string, giv stri
 _NAMES = [x.split(" ")[0] for x in _FIELDS.split(", ")]
 #: How many rows have a row's own family name, given name and place; they stand behind the fields.
 _COUNTS = ("n_fam", "n_giv", "n_place")
+#: Numbers by which whole windows are looked through at once; 0 stands for null.
+_CODES = ("h_fam", "h_skel", "h_begin", "h_giv", "h_ini", "h_num", "h_street")
 #: The composite keys by which records are sorted; records that lack the first part stand in another order.
 SORT_KEYS = (("fam", "giv", "year", "num"), ("num", "street", "giv", "fam"), ("year", "giv", "fam", "num"))
 
 
-# Words that many streets have in common, as written in full and in short.
+#: Words that many streets have in common, in full and in short; they don't tell streets apart.
 COMMON_FULL = "street road avenue square drive boulevard terrace place court highway lane crescent upper lower north south east west saint fort mount old".split()
 COMMON_SHORT = "st str strt rd ave av avn sq dr drv blvd bd boul ter terr pl plc ct crt hwy hgwy ln cres cr upp low n s e w ft mt".split()
 
 
-_SEVERAL = re.compile(r"\w\W+\w")
+_SEVERAL = r"(?U)\w\W+\w"
 
 
 def _skeleton(word: str) -> str:
@@ -100,12 +105,18 @@ def _shares(features: DataFrame, column: str, total: int, least: float) -> dict:
     return {r[column]: r["count"] / total for r in common.collect()}
 
 
-def _counted(features: DataFrame) -> DataFrame:
-    """The features with the exact numbers of rows that have each record's values."""
-    out = features
+def _counted(parsed: DataFrame) -> DataFrame:
+    """The features with the exact numbers of rows that have each record's values, and with codes."""
+    out = parsed
     for name, of in zip(_COUNTS, (["fam"], ["giv"], ["num", "street"])):
-        out = out.join(features.dropna(subset=of).groupBy(*of).agg(F.count(F.lit(1)).alias(name)), of, "left")
-    return out.select(*_NAMES, *_COUNTS)
+        counts = parsed.dropna(subset=of).groupBy(*of).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(counts.hint("shuffle_hash"), of, "left")
+    skeleton = F.concat(F.substring("fam", 1, 1), F.translate(F.expr("substring(fam, 2)"), "aeiou", ""))
+    values = {"h_fam": F.col("fam"), "h_skel": F.substring(skeleton, 1, 4), "h_begin": F.substring("fam", 1, 2), "h_giv": F.col("giv"), "h_ini": F.col("ini"), "h_num": F.col("num"), "h_street": F.col("street")}
+    code = lambda c: F.when(c.isNull(), 0).when(F.hash(c) == 0, 1).otherwise(F.hash(c))
+    # more than one word in a field: names may agree in parts
+    several = F.coalesce(F.col("last").rlike(_SEVERAL), F.lit(False)) | F.coalesce(F.col("first").rlike(_SEVERAL), F.lit(False))
+    return out.select(*_NAMES, *_COUNTS, *[code(values[c]).alias(c) for c in _CODES], several.alias("several"))
 
 
 class Evidence:
@@ -211,64 +222,91 @@ def _streets(a: str, b: str) -> bool:
     return a == b or a.startswith(b) or b.startswith(a) or edits(a, b, 1) <= 1
 
 
-def _codes(values: list) -> np.ndarray:
-    """A number for each value, a number of its own for each null."""
-    seen: dict = {}
-    return np.array([-i - 1 if v is None else seen.setdefault(v, len(seen)) for i, v in enumerate(values)], np.int64)
-
-
-def _letters(word: str | None) -> int:
-    """The set of a word's letters, as bits."""
-    bits = 0
-    for c in word or "":
-        bits |= 1 << ord(c) % 61
-    return bits
-
-
-def _compare_sorted(rows: list[tuple], place: np.ndarray, part: np.ndarray, evidence: Evidence, threshold: float, inside: bool) -> list[tuple]:
+def _possible(x: dict[str, np.ndarray], fam: Words, a: np.ndarray, b: np.ndarray, evidence: Evidence, threshold: float) -> np.ndarray:
+    """Which pairs of rows can reach the threshold at all: those whose evidence would do if all that is not known yet agreed."""
+    bits = lambda c: np.log2(evidence.total / np.maximum(np.maximum(x[c][a], x[c][b]), 1))
+    both = lambda c: (x[c][a] != 0) & (x[c][b] != 0)
+    ya, yb = x["year"][a], x["year"][b]
+    known = (ya != 0) & (yb != 0)
+    year = np.where(known, np.where(ya == yb, x["year_bits"][a], np.where(_year_slips(ya, yb), -3.0, -1.0)), 0.0)
+    sex = np.where((x["sex"][a] != 0) & (x["sex"][b] != 0), np.where(x["sex"][a] == x["sex"][b], 1.0, -4.0), 0.0)
+    apart = np.where(known & (ya == yb), -1.0, -4.0)
+    place = np.where(both("h_num") & both("h_street"), np.where(x["h_num"][a] == x["h_num"][b], np.maximum(bits("n_place"), apart), apart), 0.0)
+    family = bits("n_fam")
+    most = year + sex + place + family + np.maximum(bits("n_giv"), 2.5)
+    ok = most >= threshold - 1e-6
+    # single words: if all hangs on the family names, these must be alike
+    look = np.flatnonzero(ok & both("h_fam") & (x["h_fam"][a] != x["h_fam"][b]) & (x["h_giv"][a] == x["h_giv"][b]) & ~x["several"][a] & ~x["several"][b] & (most - family - 7 < threshold - 1e-6))
+    if len(look):
+        p, q = a[look], b[look]
+        near = np.abs(fam.lengths[p] - fam.lengths[q]) >= 2
+        far = np.flatnonzero(~near)
+        near[far] = fam.distances(p[far], q[far]) <= 4
+        ok[look] = near
+    return ok
+
+
+def _compare_sorted(rows: pa.Table, place: np.ndarray, part: np.ndarray, group: np.ndarray, evidence: Evidence, threshold: float, inside: bool) -> list[tuple]:
     """The pairs of sorted rows less than a window apart that reach the threshold.
 
     ``place`` is a row's place in the whole order. With ``inside`` pairs are of one partition, else
-    of two.
+    of two; they are of one ``group``.
     """
-    columns = list(zip(*rows)) if rows else [()] * (len(_NAMES) + len(_COUNTS))
-    get = lambda name: columns[_NAMES.index(name)]
-    fam, giv, year, street = (_codes(get(c)) for c in ("fam", "giv", "year", "street"))
-    skeleton = _codes([None if f is None else _skeleton(f)[:4] for f in get("fam")])
-    begin = _codes([None if f is None else f[:2] for f in get("fam")])
-    letters = np.array([_letters(f) for f in get("fam")], np.uint64)
-    # more than one word in a field: names may agree in parts
-    several = np.array([bool(_SEVERAL.search(f"{x or ''}")) or bool(_SEVERAL.search(f"{y or ''}")) for x, y in zip(get("last"), get("first"))], bool)
-    num, ini = _codes(get("num")), _codes(get("ini"))
-    born = np.array([y or 0 for y in get("year")], np.int64)
+    n = rows.num_rows
+    if n < 2:
+        return []
+    number = lambda c: rows.column(c).fill_null(0).to_numpy()
+    x = {c: number(c) for c in (*_CODES, *_COUNTS, "year")}
+    x["several"] = rows.column("several").to_numpy()
+    born = x["year"] = x["year"].astype(np.int64)
+    sexes = {"": 0}
+    x["sex"] = np.array([sexes.setdefault(g or "", len(sexes)) for g in rows.column("gender").to_pylist()])
+    bits = {y: evidence.bits("year", y) for y in np.unique(born).tolist()}
+    x["year_bits"] = np.array([bits[y] for y in born.tolist()])
+    fam = Words([f or "" for f in rows.column("fam").to_pylist()])
+    letters = fam.letters()
     unsure = (born == 0) | np.isin(born, evidence.placeholders)
-    evidence.names = {}
-    out = []
-    n = len(rows)
+    one, other = [], []
     for step in range(1, min(WINDOW, n)):
         a, b = slice(0, n - step), slice(step, n)
-        near = (place[b] - place[a] < WINDOW) & ((part[a] == part[b]) == inside)
-        same = lambda x: x[a] == x[b]
-        sf, sg, sy, sn = same(fam) | same(skeleton), same(giv), same(year), same(num)
-        address = sn & same(street)
-        name = (sf | same(begin)) & (sg | same(ini))
+        near = (place[b] - place[a] < WINDOW) & ((part[a] == part[b]) == inside) & (group[a] == group[b])
+        same = lambda c: (x[c][a] == x[c][b]) & (x[c][a] != 0)
+        sf, sg, sn = same("h_fam") | same("h_skel"), same("h_giv"), same("h_num")
+        sy = (born[a] == born[b]) & (born[a] != 0)
+        address = sn & same("h_street")
+        name = (sf | same("h_begin")) & (sg | same("h_ini"))
         # one given name and year: all families but those of single words that differ by more than two letters, which no slip, cut or prefix explains
-        x, y = letters[a], letters[b]
-        like = several[a] | several[b] | (np.minimum(np.bitwise_count(x & ~y), np.bitwise_count(y & ~x)) <= 2)
+        u, v = letters[a], letters[b]
+        like = x["several"][a] | x["several"][b] | (np.minimum(np.bitwise_count(u & ~v), np.bitwise_count(v & ~u)) <= 2)
         # years that contradict each other need no look at the names
         possible = unsure[a] | unsure[b] | _year_slips(born[a], born[b])
-        chosen = near & possible & ((name & (sy | sn)) | (address & (sg | sf | sy)) | (sf & sg) | (sn & sy & (sg | sf)) | (sg & sy & like))
-        for i in np.flatnonzero(chosen):
-            score = evidence.of(rows[i], rows[i + step])
-            if score >= threshold:
-                x, y = rows[i], rows[i + step]
-                if x[0] > y[0]:
-                    x, y = y, x
-                out.append((x[0], y[0], x[1], y[1], score))
-    return out
+        found = np.flatnonzero(near & possible & ((name & (sy | sn)) | (address & (sg | sf | sy)) | (sf & sg) | (sn & sy & (sg | sf)) | (sg & sy & like)))
+        one.append(found)
+        other.append(found + step)
+    a, b = np.concatenate(one), np.concatenate(other)
+    ok = _possible(x, fam, a, b, evidence, threshold)
+    a, b = a[ok], b[ok]
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    held = list(zip(*[c.to_pylist() for c in rows.take(pa.array(used)).columns]))
+    evidence.names = {}
+    return [p for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()) if (p := _judged(held[i], held[j], evidence, threshold))]
+
+
+def _judged(x: Sequence, y: Sequence, evidence: Evidence, threshold: float) -> tuple | None:
+    score = evidence.of(x, y)
+    if score < threshold:
+        return None
+    if x[0] > y[0]:
+        x, y = y, x
+    return x[0], y[0], x[1], y[1], score
+
+
+def _table(batches: list[pa.RecordBatch], empty: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches(batches).combine_chunks() if batches else empty.empty_table()
 
 
 _PAIRS = "i bigint, j bigint, side_i int, side_j int, score double"
+_PAIR_NAMES = [x.split(" ")[0] for x in _PAIRS.split(", ")]
 
 
 def _pair_batch(pairs: list[tuple]) -> list[pa.Array]:
@@ -280,135 +318,208 @@ def _window_pairs(features: DataFrame, key: Sequence[str], n_rows: int, evidence
     """Scored pairs of one sorted neighbourhood.
 
     The rows are range-partitioned and sorted by the key. Every partition compares its own windows
-    and hands on its first and last rows, from which the windows over borders are completed.
+    and hands on its first and last rows; those about each border, at most two windows of rows, are
+    compared on their own.
     """
     spark = features.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // PARTITION_ROWS))
     fields = features.columns
-    edge = f"{_PAIRS}, part int, pos bigint, n bigint, " + ", ".join(f"{c} {kind}" for c, kind in features.dtypes)
-    kinds = [f.dataType for f in features.schema.fields]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    field_types = [arrow[k.simpleString()] for k in kinds]
+    typed = ", ".join(f"{c} {kind}" for c, kind in features.dtypes)
+    edge = f"{_PAIRS}, part int, pos bigint, n bigint, {typed}"
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    field_types = [arrow[kind] for _, kind in features.dtypes]
+    empty = pa.schema(list(zip(fields, field_types)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            rows += zip(*[c.to_pylist() for c in batch.columns])
-        n, part = len(rows), TaskContext.get().partitionId()
-        found = _compare_sorted(rows, np.arange(n), np.zeros(n), evidence, threshold, True)
+        rows = _table(list(batches), empty)
+        n, part = rows.num_rows, TaskContext.get().partitionId()
+        alike = np.zeros(n, np.int64)
+        found = _compare_sorted(rows, np.arange(n), alike, alike, evidence, threshold, True)
         blank = lambda kind, m: pa.nulls(m, kind)
-        names = [*[x.split(" ")[0] for x in _PAIRS.split(", ")], "part", "pos", "n", *fields]
+        names = [*_PAIR_NAMES, "part", "pos", "n", *fields]
         yield pa.RecordBatch.from_arrays([*_pair_batch(found), *[blank(k, len(found)) for k in (pa.int32(), pa.int64(), pa.int64(), *field_types)]], names)
         at = [i for i in range(n) if i < WINDOW - 1 or i >= n - WINDOW + 1]
-        edges = [pa.array([rows[i][c] for i in at], k) for c, k in enumerate(field_types)]
-        empty = [blank(k, len(at)) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array([n] * len(at), pa.int64()), *edges], names)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            rows += zip(*[c.to_pylist() for c in batch.columns])
-        rows.sort(key=lambda r: (r[0], r[1]))
-        start, seen = {}, 0
-        for p, _, n, *_ in rows:
-            if p not in start:
-                start[p], seen = seen, seen + n
-        place = np.array([start[r[0]] + r[1] for r in rows], np.int64)
-        found = _compare_sorted([r[3:] for r in rows], place, np.array([r[0] for r in rows]), evidence, threshold, False)
-        yield pa.RecordBatch.from_arrays(_pair_batch(found), [x.split(" ")[0] for x in _PAIRS.split(", ")])
+        edges = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.take(pa.array(at, pa.int64())).columns]
+        edges = [e.chunk(0) if isinstance(e, pa.ChunkedArray) else e for e in edges]
+        nothing = [blank(k, len(at)) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array([n] * len(at), pa.int64()), *edges], names)
 
     placed = features.where(F.col(key[0]).isNotNull()).repartitionByRange(parts, *key, "idx").sortWithinPartitions(*key, "idx")
     table = write(placed.mapInArrow(run, edge), "window").df
     pairs = table.where("i is not null").select("i", "j", "side_i", "side_j", "score")
-    # at most two windows of rows for each partition
-    borders = table.where("part is not null").select("part", "pos", "n", *fields).coalesce(1).mapInArrow(over, _PAIRS)
-    return pairs.unionByName(borders)
+    borders = table.where("part is not null").select("part", "pos", "n", *fields)
+    # one number for each partition
+    sizes = sorted((r["part"], r["n"]) for r in borders.where("pos = 0").select("part", "n").collect())
+    starts = dict(zip([p for p, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist()))
+    cuts = np.array(sorted(starts.values())[1:], np.int64)
+    # only partitions smaller than a window have rows near several borders
+    near = lambda place: cuts[np.searchsorted(cuts, place - WINDOW + 1) : np.searchsorted(cuts, place + WINDOW)].tolist()
+
+    def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = [starts[p] + i for p, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            hits = [(row, g) for row, x in enumerate(place) for g in near(x)]
+            rows = batch.take(pa.array([r for r, _ in hits], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([g for _, g in hits], pa.int64()), pa.array([place[r] for r, _ in hits], pa.int64()), rows.column(0), *rows.columns[3:]], ["cut", "place", "part", *fields])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _table(list(batches), pa.schema([("cut", pa.int64()), ("place", pa.int64()), ("part", pa.int32()), *empty])).sort_by([("cut", "ascending"), ("place", "ascending")]).combine_chunks()
+        cut, place, part = (rows.column(i).to_numpy() for i in range(3))
+        yield pa.RecordBatch.from_arrays(_pair_batch(_compare_sorted(rows.select(fields), place, part, cut, evidence, threshold, False)), _PAIR_NAMES)
+
+    tasks = max(1, min(parts, spark.sparkContext.defaultParallelism))
+    met = borders.mapInArrow(about, f"cut bigint, place bigint, part int, {typed}").repartition(tasks, "cut").mapInArrow(over, _PAIRS)
+    return pairs.unionByName(met)
 
 
 def _slip_pairs(features: DataFrame, total: int, evidence: Evidence, threshold: float) -> DataFrame:
     """Scored pairs of one birth year and given name whose family names are at most one edit apart, all of them.
 
-    Two such names share a form without one letter, by which they are joined. Records whose names
-    and year can't reach the threshold without an agreeing place, which the order by places finds,
-    are left out; of the others one record or less is expected to share all three values, so that
-    the pairs grow as the rows.
+    One edit leaves the first or the last half of a name as it is, by which they are joined. Records
+    whose names and year can't reach the threshold without an agreeing place, which the order by
+    places finds, are left out; of the others one record or less is expected to share all three
+    values, so that the pairs grow as the rows.
     """
     fields = features.columns
     n_year = features.where("year is not null").groupBy("year").agg(F.count(F.lit(1)).alias("n_year"))
     bits = lambda n: F.log2(F.lit(total) / F.col(n))
     year = F.when(F.col("n_year") >= max(2, 1e-3 * total), F.least(F.lit(MOST_BITS), bits("n_year"))).otherwise(MOST_BITS)
-    able = features.where("fam is not null and giv is not null").join(n_year, "year").where(bits("n_fam") + bits("n_giv") + year + 1 >= threshold - 1e-6)
-    forms = F.expr("transform(sequence(0, length(fam)), x -> xxhash64(year, giv, if(x = 0, fam, concat(substring(fam, 1, x - 1), substring(fam, x + 1)))))")
-    shared = able.select("idx", F.explode(F.array_distinct(forms)).alias("form")).groupBy("form").agg(F.sort_array(F.collect_list("idx")).alias("all")).where("size(all) > 1")
-    of = shared.select(F.posexplode("all").alias("at", "i"), "all").select("i", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("j"))
+    able = features.where("fam is not null and giv is not null").select("idx", "year", "giv", "fam", "n_fam", "n_giv").join(n_year.hint("broadcast") if total < 1 << 40 else n_year, "year").where(bits("n_fam") + bits("n_giv") + year + 1 >= threshold - 1e-6)
+    half = "transform(array_distinct(array(length(fam) div 2, (length(fam) - 1) div 2)), n -> xxhash64(year, giv, {side}, n, {text}))"
+    halves = F.concat(F.expr(half.format(side=0, text="left(fam, cast(n as int))")), F.expr(half.format(side=1, text="right(fam, cast(n as int))")))
+    shared = able.select("idx", "fam", F.explode(halves).alias("half")).groupBy("half").agg(F.sort_array(F.collect_list(F.struct("idx", "fam"))).alias("all")).where("size(all) > 1")
+    met = shared.select(F.posexplode("all").alias("at", "x"), "all").select("x", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("y"))
+    # exchanged letters are two edits of this metric
+    of = met.where(F.levenshtein("x.fam", "y.fam", 2) >= 0).select(F.col("x.idx").alias("i"), F.col("y.idx").alias("j"))
     side = lambda s: features.select(F.col("idx").alias("i" if s == "x" else "j"), *[F.col(c).alias(f"{s}_{c}") for c in fields])
     pairs = of.distinct().join(side("x"), "i").join(side("y"), "j").select(*[f"{s}_{c}" for s in "xy" for c in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             evidence.names = {}
-            found = []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                x, y = row[: len(fields)], row[len(fields) :]
-                # hashes may collide
-                if x[7] == y[7] and x[5] == y[5] and (score := evidence.of(x, y)) >= threshold:
-                    found.append((x[0], y[0], x[1], y[1], score))
-            yield pa.RecordBatch.from_arrays(_pair_batch(found), [x.split(" ")[0] for x in _PAIRS.split(", ")])
+            rows = zip(*[c.to_pylist() for c in batch.columns])
+            # hashes may collide
+            alike = ((r[: len(fields)], r[len(fields) :]) for r in rows)
+            found = [p for x, y in alike if x[7] == y[7] and x[5] == y[5] and (p := _judged(x, y, evidence, threshold))]
+            yield pa.RecordBatch.from_arrays(_pair_batch(found), _PAIR_NAMES)
 
     return pairs.mapInArrow(run, _PAIRS)
 
 
-def assign_one_to_one(edges: DataFrame) -> DataFrame:
-    """``u, v, score``: each node in at most one edge, the heaviest edges first.
+#: Edges of a component that may stand in one row, and most rounds of the auction for larger ones.
+ROW_EDGES, MOST_ROUNDS = 256, 500
+#: The least raise of a bid, in bits: the auction's total is below the greatest by no more than this for each node.
+RAISE = 0.05
+
 
-    In each round every edge that is the best of both its ends is taken and the edges beside it go;
-    rounds end when no edge is left. The total is at least half of the greatest possible, and equal
-    to it where no edge has two competing neighbours. Ties go to the smaller ids.
+def best_matching(edges: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Of the edges ``(u, v, score)`` between two sides, those of a matching with the greatest total.
+
+    Paths that gain the most are added one by one: from a free ``u`` over edges to be taken and
+    edges to be given up, alternately, to a free ``v``.
     """
-    left = write(edges.select("u", "v", "score"), "edges")
-    taken = []
-    while True:  # the heaviest edge left is taken in every round
-        ends = left.df.select(F.col("u").alias("x"), "u", "v", "score").unionByName(left.df.select(F.col("v").alias("x"), "u", "v", "score"))
-        best = ends.groupBy("x").agg(F.max(F.struct("score", (-F.col("u")).alias("mu"), (-F.col("v")).alias("mv"))).alias("b")).select("x", (-F.col("b.mu")).alias("u"), (-F.col("b.mv")).alias("v"), F.col("b.score").alias("score"))
-        both = best.groupBy("u", "v", "score").agg(F.count(F.lit(1)).alias("k")).where("k = 2")
-        won = write(both.select("u", "v", "score"), "won")
-        taken.append(won.df)
-        used = won.df.select(F.explode(F.array("u", "v")).alias("x"))
-        rest = left.df.join(used.withColumnRenamed("x", "u"), "u", "left_anti").join(used.withColumnRenamed("x", "v"), "v", "left_anti")
-        after = write(rest.select("u", "v", "score"), "edges")
-        left.drop()
-        left = after
-        if left.df.isEmpty():
+    weight = {(u, v): w for u, v, w in sorted(edges, key=lambda e: (e[2], -e[0], -e[1]))}
+    mate_u: dict[int, int] = {}
+    mate_v: dict[int, int] = {}
+    while True:
+        gain = {u: 0.0 for u, _ in weight if u not in mate_u}
+        came: dict[int, int] = {}
+        reach: dict[int, float] = {}
+        moved = True
+        while moved:
+            moved = False
+            for (u, v), w in weight.items():
+                if u in gain and mate_u.get(u) != v and gain[u] + w > reach.get(v, 0.0) + 1e-12:
+                    reach[v], came[v], moved = gain[u] + w, u, True
+                    if v in mate_v:
+                        gain[mate_v[v]] = reach[v] - weight[mate_v[v], v]
+        ends = [(g, -v) for v, g in reach.items() if v not in mate_v]
+        if not ends:
             break
-    out = taken[0]
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return out
+        v = -max(ends)[1]
+        while True:
+            u = came[v]
+            before = mate_u.get(u)
+            mate_u[u], mate_v[v] = v, u
+            if before is None:
+                break
+            v = before
+    return [(u, v, weight[u, v]) for u, v in mate_u.items()]
+
+
+def assign_one_to_one(edges: DataFrame, row_edges: int = ROW_EDGES) -> DataFrame:
+    """``u, v, score``: each ``u`` and each ``v`` in at most one edge, so that the scores add up to the most.
+
+    ``u`` and ``v`` are two sides, whatever their numbers. Components of at most ``row_edges`` edges
+    are solved one by one, exactly. In larger ones the ``u`` bid for the ``v`` by joins, round by
+    round: a bid is the old price and what the best offer is better than the second best, or than
+    none at all, and a raise, so that the total is within ``RAISE`` for each node of the greatest.
+    More than ``MOST_ROUNDS`` rounds are an error. Ties go to the smaller ids.
+    """
+    # the sides' numbers may be the same: even and odd tell them apart
+    known = write(edges.groupBy("u", "v").agg(F.max("score").alias("score")), "edges").df
+    group = connected_components(known.select((F.col("u") * 2).alias("x"), (F.col("v") * 2 + 1).alias("y")), "x", "y")
+    whole = write(known.join(group.select((F.col("idx") / 2).cast("long").alias("u"), "group_idx", "idx").where("idx % 2 = 0").drop("idx"), "u"), "grouped").df
+    sizes = whole.groupBy("group_idx").agg(F.count(F.lit(1)).alias("n"))
+    small = whole.join(sizes.where(F.col("n") <= row_edges).drop("n").hint("shuffle_hash"), "group_idx").groupBy("group_idx").agg(F.collect_list(F.struct("u", "v", "score")).alias("all"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [e for group in batch.column(0).to_pylist() for e in best_matching([(x["u"], x["v"], x["score"]) for x in group])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["u", "v", "score"])
+
+    out = small.select("all").mapInArrow(solve, "u bigint, v bigint, score double")
+    large = whole.join(sizes.where(F.col("n") > row_edges).drop("n"), "group_idx").select("u", "v", "score")
+    return out if large.isEmpty() else out.unionByName(_auction(write(large, "large").df))
+
+
+def _auction(edges: DataFrame) -> DataFrame:
+    """The assignment of large components by bids, each round one join and two aggregates."""
+    spark = edges.sparkSession
+    state = write(spark.createDataFrame([], "v bigint, u bigint, price double"), "prices")
+    for _ in range(MOST_ROUNDS):
+        prices = state.df
+        free = edges.join(prices.select("u"), "u", "left_anti").join(prices.select("v", "price"), "v", "left")
+        value = free.select("u", "v", (F.col("score") - F.coalesce("price", F.lit(0.0))).alias("value"), F.coalesce("price", F.lit(0.0)).alias("price"))
+        # the best offer and the value of the second best; none at all is worth 0
+        first = value.where("value > 0").groupBy("u").agg(F.max(F.struct("value", (-F.col("v")).alias("mv"), "price")).alias("b"))
+        second = value.join(first.select("u", (-F.col("b.mv")).alias("best")), "u").where("v <> best").groupBy("u").agg(F.max("value").alias("next"))
+        bids = first.join(second, "u", "left").select("u", (-F.col("b.mv")).alias("v"), (F.col("b.price") + F.col("b.value") - F.greatest(F.coalesce("next", F.lit(0.0)), F.lit(0.0)) + RAISE).alias("price"))
+        won = bids.groupBy("v").agg(F.max(F.struct("price", (-F.col("u")).alias("mu"))).alias("w")).select("v", (-F.col("w.mu")).alias("u"), F.col("w.price").alias("price"))
+        won = write(won, "won")
+        if won.df.isEmpty():
+            return state.df.join(edges, ["u", "v"]).select("u", "v", "score")
+        after = write(prices.join(won.df.select("v"), "v", "left_anti").select("v", "u", "price").unionByName(won.df), "prices")
+        state.drop()
+        won.drop()
+        state = after
+    raise RuntimeError("the auction did not settle")
 
 
 def join_weak(weak: DataFrame) -> DataFrame:
-    """``entity, to, weak``: the entities that weak matches join to others, and the least score that does.
+    """``entity, to``: the entities that weak matches join to others.
 
     ``weak`` has ``u0, v0, side_i, side_j, score``. Entities tied by records of one source are the
     repeated records of a person: all that hang together become one. Only matches between the two
-    sources compete, one to one, and between what has been joined so far, so that a person's
-    repeated records come along whichever of them is matched.
+    sources compete: the part of an entity in one source with the part of another in the other
+    source, one to one, between what has been joined so far, so that a person's repeated records
+    come along whichever of them is matched.
     """
-    between = lambda rows: rows.groupBy(F.least("u0", "v0").alias("u"), F.greatest("u0", "v0").alias("v")).agg(F.max("score").alias("score"))
-    repeated = write(between(weak.where("side_i = side_j")), "repeated").df
-    groups = connected_components(repeated, "u", "v")
-    tie = repeated.select(F.explode(F.array("u", "v")).alias("idx"), "score").groupBy("idx").agg(F.max("score").alias("tie"))
-    joined = write(groups.join(tie, "idx").select(F.col("idx").alias("entity"), F.col("group_idx").alias("person"), "tie"), "joined").df
-    to = lambda x: joined.select(F.col("entity").alias(x), F.col("person").alias(f"{x}_to"))
-    across = weak.where("side_i <> side_j").join(to("u0"), "u0", "left").join(to("v0"), "v0", "left").select(F.coalesce("u0_to", "u0").alias("u0"), F.coalesce("v0_to", "v0").alias("v0"), "score").where("u0 <> v0")
-    chosen = write(assign_one_to_one(between(across)), "chosen").df
-    # what the assignment joins takes the smaller id
-    moved = chosen.select(F.explode(F.array("u", "v")).alias("person"), F.col("u").alias("to"), "score")
-    alone = moved.join(joined.select("person").distinct(), "person", "left_anti").select(F.col("person").alias("entity"), "to", F.col("score").alias("weak"))
-    return joined.join(moved, "person", "left").select("entity", F.coalesce("to", "person").alias("to"), F.least("tie", "score").alias("weak")).unionByName(alone)
-
-
-def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float = 1.0) -> DataFrame:
+    repeated = weak.where("side_i = side_j").select(F.least("u0", "v0").alias("u"), F.greatest("u0", "v0").alias("v")).distinct()
+    joined = write(connected_components(repeated, "u", "v"), "joined").df
+    to = lambda x: joined.select(F.col("idx").alias(x), F.col("group_idx").alias(f"{x}_to")).hint("shuffle_hash")
+    across = weak.where("side_i <> side_j").join(to("u0"), "u0", "left").join(to("v0"), "v0", "left").select(F.coalesce("u0_to", "u0").alias("u0"), F.coalesce("v0_to", "v0").alias("v0"), "side_i", "score").where("u0 <> v0")
+    first = F.col("side_i") == 0
+    chosen = assign_one_to_one(across.select(F.when(first, F.col("u0")).otherwise(F.col("v0")).alias("u"), F.when(first, F.col("v0")).otherwise(F.col("u0")).alias("v"), "score"))
+    # parts of one entity may be joined to two others
+    final = write(connected_components(chosen, "u", "v"), "chosen").df
+    moved = final.select(F.col("idx").alias("person"), F.col("group_idx").alias("to"))
+    kept = joined.select(F.col("idx").alias("entity"), F.col("group_idx").alias("person"))
+    alone = moved.join(kept.select("person").distinct(), "person", "left_anti").select(F.col("person").alias("entity"), "to")
+    return kept.join(moved, "person", "left").select("entity", F.coalesce("to", "person").alias("to")).unionByName(alone)
+
+
+def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float = 1.0, with_confidence: bool = True) -> DataFrame:
     """``idx_a, idx_b, confidence``: the pairs of records of two sources that are of one entity.
 
     Both tables have ``idx`` (unique over both), ``last_name, first_name, house_number, street_name,
@@ -416,15 +527,18 @@ def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float =
     extra columns are ignored, repeated rows are records. The threshold in bits is the logarithm of
     the larger table's rows, plus ``margin``: so much evidence makes a match more likely than not if
     every record of the smaller table has about one partner. The confidence is the probability that
-    goes with the evidence.
+    goes with the evidence of the pair itself or, for a pair that was not compared, with the weaker
+    one of the best matches that bind the two records to their entity; without ``with_confidence``
+    the column is left out.
     """
     cols = ["idx", "last_name", "first_name", "house_number", "street_name", "birth_year", "gender"]
     records = a.select(*cols).withColumn("side", F.lit(0)).unionByName(b.select(*cols).withColumn("side", F.lit(1)))
     together = records.where("birth_year is not null").select(strata().alias("stratum"), "last_name", "first_name")
     known, given = name_knowledge(records, together, forms)
     parsed = write(_prepare(records, known, given), "parsed")
-    features = write(_counted(parsed.df), "features").df
+    made = write(_counted(parsed.df), "features")
     parsed.drop()
+    features = made.df
     total = max(1, features.count())
     shares = {c: _shares(features, c, total, least) for c, least in (("fam", 2e-4), ("year", 1e-3))}
     threshold = math.log2(total) + margin
@@ -432,18 +546,26 @@ def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float =
     found = _slip_pairs(features, total, evidence, threshold)
     for key in SORT_KEYS:
         found = found.unionByName(_window_pairs(features, key, total, evidence, threshold))
-    scored = write(found.groupBy("i", "j").agg(F.first("side_i").alias("side_i"), F.first("side_j").alias("side_j"), F.max("score").alias("score")), "scored").df
-    strong = scored.where((F.col("score") >= threshold + STRONG))
-    groups = write(connected_components(strong, "i", "j"), "entities").df
-    entity = features.select("idx", "side").join(groups, "idx", "left").select("idx", "side", F.coalesce("group_idx", "idx").alias("entity"))
-    entities = write(entity, "entity").df
-    ent = lambda x, name: entities.select(F.col("idx").alias(x), F.col("entity").alias(name))
-    weak = write(scored.join(ent("i", "u0"), "i").join(ent("j", "v0"), "j").where("u0 <> v0"), "weak").df
-    persons = write(join_weak(weak.select("u0", "v0", "side_i", "side_j", "score")), "persons").df
-    final = entities.join(persons, "entity", "left").select("idx", "side", F.coalesce("to", "entity").alias("entity"), "weak")
-    best = scored.join(ent("i", "entity"), "i").groupBy("entity").agg(F.max("score").alias("score"))
-    left = final.where("side = 0").select(F.col("idx").alias("idx_a"), "entity", F.col("weak").alias("wa"))
-    right = final.where("side = 1").select(F.col("idx").alias("idx_b"), "entity", F.col("weak").alias("wb"))
-    pairs = left.join(right, "entity").join(best, "entity", "left")
-    bits = F.coalesce(F.least("wa", "wb"), F.col("score"), F.lit(threshold)) - F.lit(threshold)
-    return pairs.select("idx_a", "idx_b", (1 / (1 + F.pow(F.lit(2.0), -bits))).alias("confidence"))
+    scored = write(found.groupBy("i", "j").agg(F.min("side_i").alias("side_i"), F.min("side_j").alias("side_j"), F.max("score").alias("score")), "scored").df
+    sides = write(features.select("idx", "side"), "sides").df
+    made.drop()
+    groups = write(connected_components(scored.where(F.col("score") >= threshold + STRONG), "i", "j"), "entities").df
+    ent = lambda x, name: groups.select(F.col("idx").alias(x), F.col("group_idx").alias(name)).hint("shuffle_hash")
+    ended = scored.join(ent("i", "u0"), "i", "left").join(ent("j", "v0"), "j", "left").select("i", "j", "side_i", "side_j", "score", F.coalesce("u0", "i").alias("u0"), F.coalesce("v0", "j").alias("v0"))
+    weak = write(ended.where("u0 <> v0").select("u0", "v0", "side_i", "side_j", "score"), "weak").df
+    persons = write(join_weak(weak), "persons").df
+    entity = sides.join(groups.hint("shuffle_hash"), "idx", "left").select("idx", "side", F.coalesce("group_idx", "idx").alias("entity"))
+    final = write(entity.join(persons.hint("shuffle_hash"), "entity", "left").select("idx", "side", F.coalesce("to", "entity").alias("entity")), "final").df
+    left = final.where("side = 0").select(F.col("idx").alias("idx_a"), "entity")
+    right = final.where("side = 1").select(F.col("idx").alias("idx_b"), "entity")
+    pairs = left.join(right, "entity")
+    if not with_confidence:
+        return pairs.select("idx_a", "idx_b")
+    of = lambda x: final.select(F.col("idx").alias(x), F.col("entity").alias(f"e_{x}"))
+    kept = scored.join(of("i"), "i").join(of("j"), "j").where("e_i = e_j")
+    best = write(kept.select(F.explode(F.array("i", "j")).alias("idx"), "score").groupBy("idx").agg(F.max("score").alias("best")), "best").df
+    own = scored.select(F.col("i").alias("lo"), F.col("j").alias("hi"), "score")
+    rated = pairs.withColumns({"lo": F.least("idx_a", "idx_b"), "hi": F.greatest("idx_a", "idx_b")}).join(own, ["lo", "hi"], "left")
+    rated = rated.join(best.select(F.col("idx").alias("idx_a"), F.col("best").alias("best_a")), "idx_a", "left").join(best.select(F.col("idx").alias("idx_b"), F.col("best").alias("best_b")), "idx_b", "left")
+    bits = F.coalesce("score", F.least("best_a", "best_b"), F.lit(threshold)) - F.lit(threshold)
+    return rated.select("idx_a", "idx_b", (1 / (1 + F.pow(F.lit(2.0), -bits))).alias("confidence"))

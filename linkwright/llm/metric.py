@@ -33,6 +33,13 @@ class Words:
             h ^= h >> _U(29)
         return (h >> _U(11)).astype(np.float64) / float(1 << 53)
 
+    def letters(self) -> np.ndarray:
+        """The set of each word's letters, as bits; several letters may share one."""
+        out = np.zeros(len(self.words), _U)
+        for j in range(self.codes.shape[1]):
+            out |= np.where(self.lengths > j, _U(1) << (self.codes[:, j] % 61).astype(_U), _U(0))
+        return out
+
     def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Levenshtein distances of the words ``i`` to the words ``j``, a bit for each letter of ``i``."""
         out = np.zeros(len(i), np.int64)

@@ -55,17 +55,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(table(spark, d, "linkage_indices"), "idx_a", "idx_b")
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
-    return match_entities(table(spark, d, "df_a"), table(spark, d, "df_b"), table(spark, d, "given_name_forms"))
+def _matches(spark: SparkSession, d: str, with_confidence: bool) -> DataFrame:
+    return match_entities(table(spark, d, "df_a"), table(spark, d, "df_b"), table(spark, d, "given_name_forms"), with_confidence=with_confidence)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).select("idx_a", "idx_b")
+    return _matches(spark, d, False)
 
 
 def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
     """The matches with their confidence."""
-    return _matches(spark, d)
+    return _matches(spark, d, True)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
