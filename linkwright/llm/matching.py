@@ -31,7 +31,9 @@ from linkwright.llm.variants import name_knowledge, strata
 from linkwright.store import write
 
 #: Records in a window, and most records of a sorted partition.
-WINDOW, PARTITION_ROWS = 12, 200_000
+WINDOW, PARTITION_ROWS = 12, 100_000
+#: Sorted rows whose candidates are judged at once.
+CHUNK_ROWS = 10_000
 #: Evidence above the threshold which makes a match strong.
 STRONG = 6.0
 #: Most bits for a birth year, whose values grow no rarer with the table, and the share of a birth year from which on it may be a placeholder.
@@ -70,6 +72,7 @@ def _common(word: str) -> bool:
     return word in COMMON_FULL or word in COMMON_SHORT or len(word) < 3 or any(edits(word, c, 2) <= (2 if len(c) >= 7 else 1) for c in COMMON_FULL if len(c) >= 4)
 
 
+@functools.lru_cache(100_000)
 def _street_core(words: str) -> str | None:
     """The consonants of the longest word that is the street's own."""
     own = [w for w in words.split(" ") if not _common(w)]
@@ -82,9 +85,10 @@ def _prepare(records: DataFrame, known: list[tuple[str, str]], given: list[str])
         forms = Forms(known, given)
         for batch in batches:
             last, first, words = (batch.column(i).to_pylist() for i in (2, 3, 7))
-            fam, giv, ini = [], [], []
+            fam, giv, ini, many = [], [], [], []
             for x, y in zip(last, first):
                 n = Name(x, y, forms)
+                many.append(len(n.family) > 1)
                 g = n.given[0] if n.given else ""
                 of = forms.of.get(g)
                 fam.append(n.bare or None)
@@ -93,10 +97,10 @@ def _prepare(records: DataFrame, known: list[tuple[str, str]], given: list[str])
             street = [_street_core(w) for w in words]
             num = [x or None for x in batch.column(6).to_pylist()]
             text = lambda x: pa.array(x, pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], text(fam), text(giv), text(ini), batch.column(4), batch.column(5), text(num), text(street)], _NAMES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], text(fam), text(giv), text(ini), batch.column(4), batch.column(5), text(num), text(street), pa.array(many, pa.bool_())], [*_NAMES, "several"])
 
     rows = parse_addresses(records, "house_number", "street_name").select("idx", "side", "last_name", "first_name", F.col("birth_year").cast("int"), "gender", "number", "words")
-    return rows.mapInArrow(run, _FIELDS)
+    return rows.mapInArrow(run, f"{_FIELDS}, several boolean")
 
 
 def _shares(features: DataFrame, column: str, total: int, least: float) -> dict:
@@ -114,8 +118,8 @@ def _counted(parsed: DataFrame) -> DataFrame:
     skeleton = F.concat(F.substring("fam", 1, 1), F.translate(F.expr("substring(fam, 2)"), "aeiou", ""))
     values = {"h_fam": F.col("fam"), "h_skel": F.substring(skeleton, 1, 4), "h_begin": F.substring("fam", 1, 2), "h_giv": F.col("giv"), "h_ini": F.col("ini"), "h_num": F.col("num"), "h_street": F.col("street")}
     code = lambda c: F.when(c.isNull(), 0).when(F.hash(c) == 0, 1).otherwise(F.hash(c))
-    # more than one word in a field: names may agree in parts
-    several = F.coalesce(F.col("last").rlike(_SEVERAL), F.lit(False)) | F.coalesce(F.col("first").rlike(_SEVERAL), F.lit(False))
+    # more than one word in the family name: such names may agree in parts
+    several = F.col("several") if "several" in parsed.columns else F.coalesce(F.col("last").rlike(_SEVERAL), F.lit(False))
     return out.select(*_NAMES, *_COUNTS, *[code(values[c]).alias(c) for c in _CODES], several.alias("several"))
 
 
@@ -239,10 +243,11 @@ def _possible(x: dict[str, np.ndarray], fam: Words, a: np.ndarray, b: np.ndarray
     look = np.flatnonzero(ok & both("h_fam") & (x["h_fam"][a] != x["h_fam"][b]) & (x["h_giv"][a] == x["h_giv"][b]) & ~x["several"][a] & ~x["several"][b] & (most - family - 7 < threshold - 1e-6))
     if len(look):
         p, q = a[look], b[look]
-        near = np.abs(fam.lengths[p] - fam.lengths[q]) >= 2
-        far = np.flatnonzero(~near)
-        near[far] = fam.distances(p[far], q[far]) <= 4
-        ok[look] = near
+        d, gap = fam.distances(p, q), np.abs(fam.lengths[p] - fam.lengths[q])
+        u, v = x["letters"][p], x["letters"][q]
+        odd = np.maximum(np.bitwise_count(u & ~v), np.bitwise_count(v & ~u))
+        # two slips, one or both of them exchanged letters; or a beginning or an end of the longer one, but for a slip
+        ok[look] = (d <= 2) | ((d == 3) & (odd <= 1)) | ((d == 4) & (odd == 0)) | ((gap >= 2) & (d <= gap + 1))
     return ok
 
 
@@ -264,32 +269,41 @@ def _compare_sorted(rows: pa.Table, place: np.ndarray, part: np.ndarray, group:
     bits = {y: evidence.bits("year", y) for y in np.unique(born).tolist()}
     x["year_bits"] = np.array([bits[y] for y in born.tolist()])
     fam = Words([f or "" for f in rows.column("fam").to_pylist()])
-    letters = fam.letters()
+    letters = x["letters"] = fam.letters()
     unsure = (born == 0) | np.isin(born, evidence.placeholders)
-    one, other = [], []
-    for step in range(1, min(WINDOW, n)):
-        a, b = slice(0, n - step), slice(step, n)
-        near = (place[b] - place[a] < WINDOW) & ((part[a] == part[b]) == inside) & (group[a] == group[b])
-        same = lambda c: (x[c][a] == x[c][b]) & (x[c][a] != 0)
-        sf, sg, sn = same("h_fam") | same("h_skel"), same("h_giv"), same("h_num")
-        sy = (born[a] == born[b]) & (born[a] != 0)
-        address = sn & same("h_street")
-        name = (sf | same("h_begin")) & (sg | same("h_ini"))
-        # one given name and year: all families but those of single words that differ by more than two letters, which no slip, cut or prefix explains
-        u, v = letters[a], letters[b]
-        like = x["several"][a] | x["several"][b] | (np.minimum(np.bitwise_count(u & ~v), np.bitwise_count(v & ~u)) <= 2)
-        # years that contradict each other need no look at the names
-        possible = unsure[a] | unsure[b] | _year_slips(born[a], born[b])
-        found = np.flatnonzero(near & possible & ((name & (sy | sn)) | (address & (sg | sf | sy)) | (sf & sg) | (sn & sy & (sg | sf)) | (sg & sy & like)))
-        one.append(found)
-        other.append(found + step)
-    a, b = np.concatenate(one), np.concatenate(other)
-    ok = _possible(x, fam, a, b, evidence, threshold)
-    a, b = a[ok], b[ok]
-    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    held = list(zip(*[c.to_pylist() for c in rows.take(pa.array(used)).columns]))
-    evidence.names = {}
-    return [p for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()) if (p := _judged(held[i], held[j], evidence, threshold))]
+    strings = rows.select([*_NAMES, *_COUNTS])
+    out: list[tuple] = []
+    # so many rows at a time that what is held of them stays small
+    for begin in range(0, n, CHUNK_ROWS):
+        one, other = [], []
+        for step in range(1, min(WINDOW, n)):
+            a, b = slice(begin, min(begin + CHUNK_ROWS, n - step)), slice(begin + step, min(begin + CHUNK_ROWS + step, n))
+            if a.start >= a.stop:
+                break
+            near = (place[b] - place[a] < WINDOW) & ((part[a] == part[b]) == inside) & (group[a] == group[b])
+            same = lambda c: (x[c][a] == x[c][b]) & (x[c][a] != 0)  # noqa: E731, B023
+            sf, sg, sn = same("h_fam") | same("h_skel"), same("h_giv"), same("h_num")
+            sy = (born[a] == born[b]) & (born[a] != 0)
+            address = sn & same("h_street")
+            name = (sf | same("h_begin")) & (sg | same("h_ini"))
+            # one given name and year: all families but those of single words that differ by more than two letters, which no slip, cut or prefix explains
+            u, v = letters[a], letters[b]
+            like = x["several"][a] | x["several"][b] | (np.minimum(np.bitwise_count(u & ~v), np.bitwise_count(v & ~u)) <= 2)
+            # years that contradict each other need no look at the names
+            possible = unsure[a] | unsure[b] | _year_slips(born[a], born[b])
+            found = np.flatnonzero(near & possible & ((name & (sy | sn)) | (address & (sg | sf | sy)) | (sf & sg) | (sn & sy & (sg | sf)) | (sg & sy & like))) + begin
+            one.append(found)
+            other.append(found + step)
+        if not one:
+            continue
+        a, b = np.concatenate(one), np.concatenate(other)
+        ok = _possible(x, fam, a, b, evidence, threshold)
+        a, b = a[ok], b[ok]
+        used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        held = list(zip(*[c.to_pylist() for c in strings.take(pa.array(used)).columns]))
+        evidence.names = {}
+        out += [p for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()) if (p := _judged(held[i], held[j], evidence, threshold))]
+    return out
 
 
 def _judged(x: Sequence, y: Sequence, evidence: Evidence, threshold: float) -> tuple | None:

@@ -82,7 +82,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes = write(count_tokens(table(spark, d, "documents").select("doc_id", "source", "text")), "sizes").df
     targets = table(spark, d, "mix_targets")
-    return mixture(sizes, targets, "doc_id", "source", "n_tokens"), sizes, targets
+    # drawn once, read by the sample and by the report
+    return write(mixture(sizes, targets, "doc_id", "source", "n_tokens"), "mixed").df, sizes, targets
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
