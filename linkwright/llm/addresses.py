@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkwright.store import Table, write
+from linkwright.store import Table, tidy, write
 
 #: Words before the number of a flat or floor, and before a house number.
 UNIT_WORDS = "apt apartment flat fl floor unit suite ste room rm".split()
@@ -163,13 +163,14 @@ def _spellings(places: DataFrame, forms: DataFrame, counts: DataFrame, alphabet:
     first = found.groupBy("tok").agg(F.min("kind").alias("kind"))
     best = found.join(first, ["tok", "kind"])
     sole = best.groupBy("tok", "kind").agg(F.count(F.lit(1)).alias("many")).where("many = 1 and kind <= 2").select("tok")
-    everywhere = write(best.join(sole, "tok", "left_semi").select("tok", "to"), "everywhere").df
-    unsure = write(found.join(everywhere.select("tok"), "tok", "left_anti"), "unsure").df
-    # the words in question, and where they stand
-    asked = unsure.select("tok").unionByName(unsure.select(F.col("to").alias("tok"))).distinct()
-    slots = forms.select("fid", F.explode("bag").alias("tok")).join(asked, "tok", "left_semi")
-    here = write(places.join(slots.hint("shuffle_hash"), "fid").select("number", "tok").distinct(), "stand").df
-    met = here.join(unsure, "tok").join(here.withColumnRenamed("tok", "to").hint("shuffle_hash"), ["number", "to"])
+    everywhere = best.join(sole, "tok", "left_semi").select("tok", "to")
+    unsure = write(found.join(sole, "tok", "left_anti"), "unsure").df
+    # where the words in question stand, and which of what they may stand for stands there, too
+    at = lambda words: places.join(forms.select("fid", F.explode("bag").alias("tok")).join(words, "tok", "left_semi").hint("shuffle_hash"), "fid").select("number", "tok")
+    asked = write(at(unsure.select("tok").distinct()).distinct().join(unsure, "tok"), "asked").df
+    there = at(unsure.select(F.col("to").alias("tok")).distinct()).withColumnRenamed("tok", "to")
+    held = there.join(asked.select("number", "to").distinct().hint("shuffle_hash"), ["number", "to"], "left_semi").distinct()
+    met = asked.join(held, ["number", "to"])
     first = met.groupBy("number", "tok").agg(F.min("kind").alias("kind"))
     ranked = met.join(first, ["number", "tok", "kind"]).groupBy("number", "tok").agg(F.max_by("to", "to_n").alias("to"), F.count(F.lit(1)).alias("many"))
     return everywhere, ranked.where("many = 1").select("number", "tok", "to")
@@ -279,6 +280,7 @@ def locate(records: DataFrame, house_col: str, street_col: str, keep: Sequence[s
         if not new:
             break
         now, bags = after, kept_bags
+        tidy(records.sparkSession)
     else:
         raise RuntimeError("the rewrites did not settle")
     places = now.df.join(bags.df.hint("shuffle_hash"), "fid").select("aid", F.concat_ws("|", F.col("number"), F.array_join("bag", " ")).alias("location"))

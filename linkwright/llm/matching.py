@@ -28,12 +28,14 @@ from linkwright.llm.components import connected_components
 from linkwright.llm.metric import Words
 from linkwright.llm.names import INITIAL, NONE, SAME, SLIP, Forms, Name, compare_family, compare_given, edits, same_letters
 from linkwright.llm.variants import name_knowledge, strata
-from linkwright.store import write
+from linkwright.store import tidy, write
 
 #: Records in a window, and most records of a sorted partition.
 WINDOW, PARTITION_ROWS = 12, 100_000
 #: Sorted rows whose candidates are judged at once.
 CHUNK_ROWS = 10_000
+#: Pairs of names compared at once.
+PAIRS_AT_ONCE = 500_000
 #: Evidence above the threshold which makes a match strong.
 STRONG = 6.0
 #: Most bits for a birth year, whose values grow no rarer with the table, and the share of a birth year from which on it may be a placeholder.
@@ -386,6 +388,34 @@ def _window_pairs(features: DataFrame, key: Sequence[str], n_rows: int, evidence
     return pairs.unionByName(met)
 
 
+def _slips_of_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``i, j`` of the rows ``idx, fam, half`` that share a half and whose names are one edit apart or less."""
+    rows = _table(list(batches), pa.schema([("idx", pa.int64()), ("fam", pa.string()), ("half", pa.int64())]))
+    half = rows.column("half").to_numpy()
+    order = np.argsort(half, kind="stable")
+    sorted_half = half[order]
+    end = np.searchsorted(sorted_half, sorted_half, side="right")
+    later = end - np.arange(len(order)) - 1
+    idx = rows.column("idx").to_numpy()
+    # a bounded number of pairs at a time
+    begins = np.flatnonzero(later > 0)
+    for part in np.split(begins, np.flatnonzero(np.diff(np.cumsum(later[begins]) // PAIRS_AT_ONCE)) + 1) if len(begins) else ():
+        for low in range(0, int(later[part].max()), PAIRS_AT_ONCE):
+            size = np.clip(later[part] - low, 0, PAIRS_AT_ONCE)
+            x = np.repeat(part, size)
+            y = x + 1 + low + np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+            used, at = np.unique(order[np.concatenate([x, y])], return_inverse=True)
+            fam = Words(rows.column("fam").take(pa.array(used)).to_pylist())
+            p, q = at[: len(x)], at[len(x) :]
+            d = fam.distances(p, q)
+            # exchanged letters are two edits of this metric
+            for k in np.flatnonzero((d == 2) & (fam.lengths[p] == fam.lengths[q])):
+                d[k] = edits(fam.words[p[k]], fam.words[q[k]], 1)
+            a, b = idx[used[p[d <= 1]]], idx[used[q[d <= 1]]]
+            ok = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["i", "j"])
+
+
 def _slip_pairs(features: DataFrame, total: int, evidence: Evidence, threshold: float) -> DataFrame:
     """Scored pairs of one birth year and given name whose family names are at most one edit apart, all of them.
 
@@ -399,23 +429,21 @@ def _slip_pairs(features: DataFrame, total: int, evidence: Evidence, threshold:
     bits = lambda n: F.log2(F.lit(total) / F.col(n))
     year = F.when(F.col("n_year") >= max(2, 1e-3 * total), F.least(F.lit(MOST_BITS), bits("n_year"))).otherwise(MOST_BITS)
     able = features.where("fam is not null and giv is not null").select("idx", "year", "giv", "fam", "n_fam", "n_giv").join(n_year.hint("broadcast") if total < 1 << 40 else n_year, "year").where(bits("n_fam") + bits("n_giv") + year + 1 >= threshold - 1e-6)
-    half = "transform(array_distinct(array(length(fam) div 2, (length(fam) - 1) div 2)), n -> xxhash64(year, giv, {side}, n, {text}))"
-    halves = F.concat(F.expr(half.format(side=0, text="left(fam, cast(n as int))")), F.expr(half.format(side=1, text="right(fam, cast(n as int))")))
-    shared = able.select("idx", "fam", F.explode(halves).alias("half")).groupBy("half").agg(F.sort_array(F.collect_list(F.struct("idx", "fam"))).alias("all")).where("size(all) > 1")
-    met = shared.select(F.posexplode("all").alias("at", "x"), "all").select("x", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("y"))
-    # exchanged letters are two edits of this metric
-    of = met.where(F.levenshtein("x.fam", "y.fam", 2) >= 0).select(F.col("x.idx").alias("i"), F.col("y.idx").alias("j"))
-    side = lambda s: features.select(F.col("idx").alias("i" if s == "x" else "j"), *[F.col(c).alias(f"{s}_{c}") for c in fields])
-    pairs = of.distinct().join(side("x"), "i").join(side("y"), "j").select(*[f"{s}_{c}" for s in "xy" for c in fields])
+    halves = [F.xxhash64("year", "giv", F.lit(side), F.expr(n), F.expr(f"{side}(fam, cast({n} as int))")) for side in ("left", "right") for n in ("length(fam) div 2", "(length(fam) - 1) div 2")]
+    keyed = able.select("idx", "fam", F.explode(F.array_distinct(F.array(*halves))).alias("half")).repartition("half")
+    of = keyed.mapInArrow(_slips_of_halves, "i bigint, j bigint")
+    # the features are shuffled once; only rows of some pair go on
+    ends = of.distinct().select("i", "j", F.explode(F.array("i", "j")).alias("idx"))
+    pairs = features.join(ends.hint("shuffle_hash"), "idx").groupBy("i", "j").agg(F.collect_list(F.struct(*fields)).alias("two")).select("two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             evidence.names = {}
-            rows = zip(*[c.to_pylist() for c in batch.columns])
+            flat = batch.column(0).flatten()
+            rows = list(zip(*[flat.field(c).to_pylist() for c in range(len(fields))]))
             # hashes may collide
-            alike = ((r[: len(fields)], r[len(fields) :]) for r in rows)
-            found = [p for x, y in alike if x[7] == y[7] and x[5] == y[5] and (p := _judged(x, y, evidence, threshold))]
-            yield pa.RecordBatch.from_arrays(_pair_batch(found), _PAIR_NAMES)
+            alike = ((x, y) for x, y in zip(rows[::2], rows[1::2]) if x[7] == y[7] and x[5] == y[5])
+            yield pa.RecordBatch.from_arrays(_pair_batch([p for x, y in alike if (p := _judged(x, y, evidence, threshold))]), _PAIR_NAMES)
 
     return pairs.mapInArrow(run, _PAIRS)
 
@@ -563,11 +591,13 @@ def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float =
     scored = write(found.groupBy("i", "j").agg(F.min("side_i").alias("side_i"), F.min("side_j").alias("side_j"), F.max("score").alias("score")), "scored").df
     sides = write(features.select("idx", "side"), "sides").df
     made.drop()
+    tidy(a.sparkSession)
     groups = write(connected_components(scored.where(F.col("score") >= threshold + STRONG), "i", "j"), "entities").df
     ent = lambda x, name: groups.select(F.col("idx").alias(x), F.col("group_idx").alias(name)).hint("shuffle_hash")
     ended = scored.join(ent("i", "u0"), "i", "left").join(ent("j", "v0"), "j", "left").select("i", "j", "side_i", "side_j", "score", F.coalesce("u0", "i").alias("u0"), F.coalesce("v0", "j").alias("v0"))
     weak = write(ended.where("u0 <> v0").select("u0", "v0", "side_i", "side_j", "score"), "weak").df
     persons = write(join_weak(weak), "persons").df
+    tidy(a.sparkSession)
     entity = sides.join(groups.hint("shuffle_hash"), "idx", "left").select("idx", "side", F.coalesce("group_idx", "idx").alias("entity"))
     final = write(entity.join(persons.hint("shuffle_hash"), "entity", "left").select("idx", "side", F.coalesce("to", "entity").alias("entity")), "final").df
     left = final.where("side = 0").select(F.col("idx").alias("idx_a"), "entity")

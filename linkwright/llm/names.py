@@ -7,16 +7,16 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
-# Words that are no part of a name, and words that stand before a family name.
+#: Words that are no part of a name, and words that stand before a family name; a choice, to be set for other languages.
 TITLES = frozenset("mr mrs ms miss mx dr prof rev sir".split())
 SUFFIXES = frozenset("jr sr ii iii iv phd md esq".split())
 PARTICLES = frozenset("van von der den de del la le da di mc mac o st".split())
-# Letters that don't decompose.
+#: Letters that Unicode doesn't decompose, and what they are compared as.
 _LETTERS = str.maketrans({"ø": "o", "œ": "oe", "æ": "ae", "ß": "ss", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
 _WORD = re.compile(r"[^\W\d_]+")
 _DROP = re.compile(r"['’`´]|(?<=[^\W\d_])[.-](?=[^\W\d_]{2})")
-# Digits that stand for letters inside words.
+#: Digits that stand for letters inside words, as scans have them.
 _DIGITS = str.maketrans("015", "ols")
 _DIGIT_WORD = re.compile(r"(?<=[^\W\d_])[015]+(?=[^\W\d_])|(?<=[^\W\d_])[015]+$|^[015]+(?=[^\W\d_])")
 

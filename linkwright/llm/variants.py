@@ -26,7 +26,7 @@ from linkwright.llm.names import INITIAL, SLIP, Forms, Name, compare_family, com
 from linkwright.operators.skew import annotate_groups
 from linkwright.store import write
 
-# Accented letters and what they are compared as.
+#: Accented letters and what they are compared as.
 _ACCENTED = "áàâäãåāăąçćčďèéêëēęěğìíîïīłñńňòóôöõøōőřśšşťùúûüūůűýÿžźż"
 _PLAIN = "aaaaaaaaacccdeeeeeeegiiiiilnnnoooooooorssstuuuuuuuyyzzz"
 
