@@ -97,16 +97,20 @@ class _Pairs:
         block, size = self.block_on, len(weights)
         parts = []
         for i, j in combinations(range(size), 2):
-            left = a.where(f"x{i} is not null and x{j} is not null").select(*block, F.col("t").alias("ta"), F.col("n").alias("na"), f"x{i}", f"x{j}")
-            for k in (j, i):
-                match = self._matching[k]
-                if match is None:
-                    left = left.withColumns({f"y{k}": F.col(f"x{k}"), f"l{k}": F.lit(1)})
-                else:
-                    left = left.join(match.select(*block, F.col("v").alias(f"x{k}"), F.col("w").alias(f"y{k}"), F.col("level").alias(f"l{k}")), [*block, f"x{k}"])
-            right = b.select(*block, F.col("t").alias("tb"), F.col("n").alias("nb"), F.col(f"x{i}").alias(f"y{i}"), F.col(f"x{j}").alias(f"y{j}"))
+            # one side goes over to the other's values of one variable, the other side to this one's of the second
+            rows = lambda t, s, name: t.where(f"x{i} is not null and x{j} is not null").select(*block, F.col("t").alias(f"t{s}"), F.col("n").alias(f"n{s}"), F.col(f"x{i}").alias(f"{name}{i}"), F.col(f"x{j}").alias(f"{name}{j}"))  # noqa: E731, B023
+            left, right = rows(a, "a", "x"), rows(b, "b", "y")
+            if self._matching[i] is None:
+                left = left.withColumns({f"y{i}": F.col(f"x{i}"), f"l{i}": F.lit(1)})
+            else:
+                left = left.join(self._matching[i].select(*block, F.col("v").alias(f"x{i}"), F.col("w").alias(f"y{i}"), F.col("level").alias(f"l{i}")), [*block, f"x{i}"])
+            if self._matching[j] is None:
+                right = right.withColumns({f"x{j}": F.col(f"y{j}"), f"l{j}": F.lit(1)})
+            else:
+                right = right.join(self._matching[j].select(*block, F.col("v").alias(f"x{j}"), F.col("w").alias(f"y{j}"), F.col("level").alias(f"l{j}")), [*block, f"y{j}"])
+            met = left.drop(f"x{i}").join(right.drop(f"y{j}"), [*block, f"y{i}", f"x{j}"])
             levels = [F.col(f"l{k}") if k in (i, j) else F.lit(0) for k in range(size)]
-            parts.append(left.join(right, [*block, f"y{i}", f"y{j}"]).select("ta", "tb", "na", "nb", *[x.alias(f"l{k}") for k, x in enumerate(levels)]))
+            parts.append(met.select("ta", "tb", "na", "nb", *[x.alias(f"l{k}") for k, x in enumerate(levels)]))
         union = reduce(DataFrame.unionByName, parts)
         found = union.groupBy("ta", "tb", "na", "nb").agg(*[F.max(f"l{k}").alias(f"l{k}") for k in range(size)])
         return found.select("ta", "tb", "na", "nb", sum((F.col(f"l{k}") * w for k, w in enumerate(weights)), F.lit(0)).cast("int").alias("pattern_id"))
