@@ -28,7 +28,7 @@ from linkwright.llm.components import connected_components
 from linkwright.llm.metric import Words
 from linkwright.llm.names import INITIAL, NONE, SAME, SLIP, Forms, Name, compare_family, compare_given, edits, same_letters
 from linkwright.llm.variants import name_knowledge, strata
-from linkwright.store import tidy, write
+from linkwright.store import write
 
 #: Records in a window, and most records of a sorted partition.
 WINDOW, PARTITION_ROWS = 12, 100_000
@@ -40,11 +40,14 @@ PAIRS_AT_ONCE = 500_000
 STRONG = 6.0
 #: Most bits for a birth year, whose values grow no rarer with the table, and the share of a birth year from which on it may be a placeholder.
 MOST_BITS, PLACEHOLDER = 12.0, 0.04
+#: Bits against a match at two addresses: of the surest pairs of the test data, one in eight has two.
+MOVED = 3.0
 
 _FIELDS = "idx bigint, side int, last string, first string, fam string, giv string, ini string, year int, gender string, num string, street string"
 _NAMES = [x.split(" ")[0] for x in _FIELDS.split(", ")]
-#: How many rows have a row's own family name, given name and place; they stand behind the fields.
-_COUNTS = ("n_fam", "n_giv", "n_place")
+#: How many rows have a row's own family name, given name and place, and how many a family or given name
+#: that is nearly its own; they stand behind the fields.
+_COUNTS = ("n_fam", "n_giv", "n_place", "n_near_fam", "n_near_giv")
 #: Numbers by which whole windows are looked through at once; 0 stands for null.
 _CODES = ("h_fam", "h_skel", "h_begin", "h_giv", "h_ini", "h_num", "h_street")
 #: The composite keys by which records are sorted; records that lack the first part stand in another order.
@@ -63,11 +66,6 @@ def _skeleton(word: str) -> str:
     return word[:1] + "".join(c for c in word[1:] if c not in "aeiou")
 
 
-def _shortened(word: str) -> set[str]:
-    """The word and what is left of it without one letter; words one edit apart share one of these."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
-
 @functools.lru_cache(100_000)
 def _common(word: str) -> bool:
     """The word, or what it is a slip of, is none that tells streets apart."""
@@ -111,11 +109,27 @@ def _shares(features: DataFrame, column: str, total: int, least: float) -> dict:
     return {r[column]: r["count"] / total for r in common.collect()}
 
 
+def _with_near(counts: DataFrame, name: str, n: str) -> DataFrame:
+    """The distinct names and their rows with ``n_near_...``, the rows of all names that a slip may have made of one.
+
+    Names one edit apart share a form without one letter. Of the forms of a name, the one with the
+    most rows counts, so that a rare slip of a usual name is as usual as the name itself.
+    """
+    letter = F.transform(F.sequence(F.lit(0), F.length(name)), lambda i: F.when(i == 0, F.xxhash64(name)).otherwise(F.xxhash64(F.concat(F.substring(F.col(name), F.lit(1), i - 1), F.substring(F.col(name), i + 1, F.length(name))))))
+    forms = counts.select(name, n, F.explode(F.array_distinct(letter)).alias("form"))
+    rows = forms.groupBy("form").agg(F.sum(n).alias("rows"), F.count(F.lit(1)).alias("names")).where("names > 1")
+    near = forms.join(rows.hint("shuffle_hash"), "form").groupBy(name).agg(F.max("rows").alias(f"n_near_{name}"))
+    joined = counts.join(near.hint("shuffle_hash"), name, "left")
+    return joined.select(name, n, F.coalesce(f"n_near_{name}", n).alias(f"n_near_{name}"))
+
+
 def _counted(parsed: DataFrame) -> DataFrame:
     """The features with the exact numbers of rows that have each record's values, and with codes."""
     out = parsed
     for name, of in zip(_COUNTS, (["fam"], ["giv"], ["num", "street"])):
         counts = parsed.dropna(subset=of).groupBy(*of).agg(F.count(F.lit(1)).alias(name))
+        if len(of) == 1:
+            counts = _with_near(counts, *of, name)
         out = out.join(counts.hint("shuffle_hash"), of, "left")
     skeleton = F.concat(F.substring("fam", 1, 1), F.translate(F.expr("substring(fam, 2)"), "aeiou", ""))
     values = {"h_fam": F.col("fam"), "h_skel": F.substring(skeleton, 1, 4), "h_begin": F.substring("fam", 1, 2), "h_giv": F.col("giv"), "h_ini": F.col("ini"), "h_num": F.col("num"), "h_street": F.col("street")}
@@ -128,27 +142,15 @@ def _counted(parsed: DataFrame) -> DataFrame:
 class Evidence:
     """Bits for and against two records being of one entity."""
 
-    def __init__(self, shares: dict[str, dict], forms: Forms, strong: float, total: int = 1) -> None:
-        self.shares, self.forms, self.strong, self.total = shares, forms, strong, total
-        self.placeholders = sorted(y for y, share in shares["year"].items() if share >= PLACEHOLDER)
+    def __init__(self, years: dict[int, float], forms: Forms, strong: float, total: int = 1) -> None:
+        self.years, self.forms, self.strong, self.total = years, forms, strong, total
+        self.placeholders = sorted(y for y, share in years.items() if share >= PLACEHOLDER)
         self.names: dict[int, Name] = {}
-        self.typed: dict[str, list[str]] = {}
-        for word in shares["fam"]:
-            for short in _shortened(word):
-                self.typed.setdefault(short, []).append(word)
-
-    def slip_bits(self, a: str, b: str) -> float:
-        """Of two family names that differ by a slip: both may be slips of one usual name."""
-        of = lambda x: {w for short in _shortened(x) for w in self.typed.get(short, ()) if edits(x, w, 1) <= 1}
-        usual = of(a) & of(b)
-        return min(map(lambda w: self.bits("fam", w), usual), default=math.inf)
 
     def rarity(self, column: str, a: Sequence, b: Sequence) -> float:
-        """Bits of an agreement, by the more usual one of the two rows' values; by shares for rows without counts."""
+        """Bits of an agreement, by the more usual one of the two rows' values."""
         at = len(_NAMES) + _COUNTS.index(f"n_{column}")
-        if len(a) > at:
-            return math.log2(self.total / max(a[at] or 1, b[at] or 1))
-        return MOST_BITS if column == "place" else min(self.bits(column, r[_NAMES.index(column)]) for r in (a, b))
+        return math.log2(self.total / max(a[at] or 1, b[at] or 1))
 
     def name(self, row: Sequence) -> Name:
         """A row's name, parsed once while the rows of a partition are compared."""
@@ -157,8 +159,9 @@ class Evidence:
             found = self.names[row[0]] = Name(row[2], row[3], self.forms)
         return found
 
-    def bits(self, column: str, value: object) -> float:
-        share = self.shares[column].get(value)
+    def year_bits(self, year: int) -> float:
+        """Of an agreement in a birth year; years that hardly anybody has count as all that are not listed."""
+        share = self.years.get(year)
         return MOST_BITS if share is None else min(MOST_BITS, -math.log2(share))
 
     def of(self, a: Sequence, b: Sequence) -> float:
@@ -168,13 +171,13 @@ class Evidence:
         total = 0.0
         if year_a is not None and year_b is not None:
             if year_a == year_b:
-                total += self.bits("year", year_a)
+                total += self.year_bits(year_a)
                 near = True
             else:
                 near = _year_slip(year_a, year_b)
                 if near:
                     total -= 3
-                elif max(self.shares["year"].get(y, 0) for y in (year_a, year_b)) < PLACEHOLDER:
+                elif max(self.years.get(y, 0) for y in (year_a, year_b)) < PLACEHOLDER:
                     return -math.inf
                 else:
                     total -= 1
@@ -192,12 +195,10 @@ class Evidence:
             if family == NONE and x.family and y.family:
                 total -= 7
         if family:
-            bits = self.rarity("fam", a, b)
-            if family == SLIP and fam_a and fam_b and fam_a not in self.shares["fam"] and fam_b not in self.shares["fam"]:
-                bits = min(bits, self.slip_bits(fam_a, fam_b))
-            total += bits - (SAME - family) * 0.7
+            # both may be slips of one usual name
+            total += self.rarity("near_fam" if family == SLIP else "fam", a, b) - (SAME - family) * 0.7
         if given:
-            total += 2.5 if given == INITIAL else self.rarity("giv", a, b) - (SAME - given) * 0.7
+            total += 2.5 if given == INITIAL else self.rarity("near_giv" if given == SLIP else "giv", a, b) - (SAME - given) * 0.7
         if given <= INITIAL and year_a != year_b:
             total -= 8
         if sex_a is not None and sex_b is not None:
@@ -208,7 +209,7 @@ class Evidence:
                 if not near:
                     total -= 1
             else:
-                total -= 1 if near and year_a == year_b else 4
+                total -= MOVED if near and year_a == year_b else 4
         # of one name and address, but without years to tell a parent from a child: never strong
         return total if near else min(total, self.strong - 0.01)
 
@@ -236,7 +237,7 @@ def _possible(x: dict[str, np.ndarray], fam: Words, a: np.ndarray, b: np.ndarray
     known = (ya != 0) & (yb != 0)
     year = np.where(known, np.where(ya == yb, x["year_bits"][a], np.where(_year_slips(ya, yb), -3.0, -1.0)), 0.0)
     sex = np.where((x["sex"][a] != 0) & (x["sex"][b] != 0), np.where(x["sex"][a] == x["sex"][b], 1.0, -4.0), 0.0)
-    apart = np.where(known & (ya == yb), -1.0, -4.0)
+    apart = np.where(known & (ya == yb), -MOVED, -4.0)
     place = np.where(both("h_num") & both("h_street"), np.where(x["h_num"][a] == x["h_num"][b], np.maximum(bits("n_place"), apart), apart), 0.0)
     family = bits("n_fam")
     most = year + sex + place + family + np.maximum(bits("n_giv"), 2.5)
@@ -268,7 +269,7 @@ def _compare_sorted(rows: pa.Table, place: np.ndarray, part: np.ndarray, group:
     born = x["year"] = x["year"].astype(np.int64)
     sexes = {"": 0}
     x["sex"] = np.array([sexes.setdefault(g or "", len(sexes)) for g in rows.column("gender").to_pylist()])
-    bits = {y: evidence.bits("year", y) for y in np.unique(born).tolist()}
+    bits = {y: evidence.year_bits(y) for y in np.unique(born).tolist()}
     x["year_bits"] = np.array([bits[y] for y in born.tolist()])
     fam = Words([f or "" for f in rows.column("fam").to_pylist()])
     letters = x["letters"] = fam.letters()
@@ -582,22 +583,19 @@ def match_entities(a: DataFrame, b: DataFrame, forms: DataFrame, margin: float =
     parsed.drop()
     features = made.df
     total = max(1, features.count())
-    shares = {c: _shares(features, c, total, least) for c, least in (("fam", 2e-4), ("year", 1e-3))}
     threshold = math.log2(total) + margin
-    evidence = Evidence(shares, Forms(known, given), threshold + STRONG, total)
-    found = _slip_pairs(features, total, evidence, threshold)
+    evidence = Evidence(_shares(features, "year", total, 1e-3), Forms(known, given), threshold + STRONG, total)
+    found = write(_slip_pairs(features, total, evidence, threshold), "slips").df
     for key in SORT_KEYS:
         found = found.unionByName(_window_pairs(features, key, total, evidence, threshold))
     scored = write(found.groupBy("i", "j").agg(F.min("side_i").alias("side_i"), F.min("side_j").alias("side_j"), F.max("score").alias("score")), "scored").df
     sides = write(features.select("idx", "side"), "sides").df
     made.drop()
-    tidy(a.sparkSession)
     groups = write(connected_components(scored.where(F.col("score") >= threshold + STRONG), "i", "j"), "entities").df
     ent = lambda x, name: groups.select(F.col("idx").alias(x), F.col("group_idx").alias(name)).hint("shuffle_hash")
     ended = scored.join(ent("i", "u0"), "i", "left").join(ent("j", "v0"), "j", "left").select("i", "j", "side_i", "side_j", "score", F.coalesce("u0", "i").alias("u0"), F.coalesce("v0", "j").alias("v0"))
     weak = write(ended.where("u0 <> v0").select("u0", "v0", "side_i", "side_j", "score"), "weak").df
     persons = write(join_weak(weak), "persons").df
-    tidy(a.sparkSession)
     entity = sides.join(groups.hint("shuffle_hash"), "idx", "left").select("idx", "side", F.coalesce("group_idx", "idx").alias("entity"))
     final = write(entity.join(persons.hint("shuffle_hash"), "entity", "left").select("idx", "side", F.coalesce("to", "entity").alias("entity")), "final").df
     left = final.where("side = 0").select(F.col("idx").alias("idx_a"), "entity")

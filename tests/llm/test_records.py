@@ -293,12 +293,17 @@ def test_weakly_repeated_records_stay_together(spark, heaviest):
     assert join_weak(weak.where("u0 < 0")).count() == 0
 
 
-def test_two_slips_of_a_usual_name_are_not_rare():
-    from linkwright.llm.matching import Evidence
+def test_two_slips_of_a_usual_name_are_not_rare(spark):
+    """Both are as usual as the name that they come from, however rare each of them is."""
+    from linkwright.llm import matching
 
-    evidence = Evidence({"fam": {"menilm": 0.1}, "giv": {"barbara": 0.01}, "year": {1961: 0.01}, "place": {}}, Forms([], ["barbara"]), 24.0)
-    row = lambda i, last, num: (i, 0, last, "Barbara", last, "barbara", "b", 1961, "F", num, "str")
-    assert evidence.of(row(1, "meenilm", "1"), row(2, "menlm", "2")) < 17 < evidence.of(row(3, "sihert", "1"), row(4, "sihrt", "2"))
+    names = ["menilm"] * 100 + ["meenilm", "menlm", "sihert", "sihrt"]
+    rows = [(i, i % 2, n, "Barbara", n, "barbara", "b", 1961, "F", str(i), f"street{i}") for i, n in enumerate(names)]
+    counted = {r["idx"]: tuple(r) for r in matching._counted(spark.createDataFrame(rows, matching._FIELDS)).collect()}
+    evidence = matching.Evidence({1961: 0.01}, Forms([], ["barbara"]), 24.0, 10_000)
+    near = counted[100][len(matching._NAMES) + matching._COUNTS.index("n_near_fam")]
+    assert near == 101 and counted[102][-len(matching._CODES) - 3] == 2
+    assert evidence.of(counted[100], counted[101]) < 20 < evidence.of(counted[102], counted[103])
 
 
 def test_evidence_grows_with_the_table():
@@ -307,9 +312,9 @@ def test_evidence_grows_with_the_table():
 
     from linkwright.llm.matching import Evidence
 
-    row = lambda i, total: (i, 0, "sihert", "Barbara", "sihert", "barbara", "b", None if i == 1 else 1961, "F", None, None, 2, total // 128, None)
+    row = lambda i, total: (i, 0, "sihert", "Barbara", "sihert", "barbara", "b", None if i == 1 else 1961, "F", None, None, 2, total // 128, None, 2, total // 128)
     for total in (96_000, 960_000, 9_600_000):
-        evidence = Evidence({"fam": {}, "year": {1961: 0.01}}, Forms([], ["barbara"]), 99.0, total)
+        evidence = Evidence({1961: 0.01}, Forms([], ["barbara"]), 99.0, total)
         assert evidence.of(row(1, total), row(2, total)) >= math.log2(total) + 1
 
 
@@ -318,7 +323,7 @@ def test_slips_at_the_start_of_a_family_name_are_compared(spark):
 
     names = [("Chuchashond", "Cuchashond", "Mary", 1984), ("Oshawegilm", "Okshawegilm", "Jurgen", 1990), ("Dakrokrabourn", "Dnakrokrabourn", "Gregory", 1978), ("Sihert-Menbury", "Menbury", "Mary", 1950)]
     rows = [(2 * k + i, i, x, giv, x.lower().replace("-", ""), giv.lower(), giv[0].lower(), year, "F", str(i), f"street{i}") for k, (*fam, giv, year) in enumerate(names) for i, x in enumerate(fam)]
-    evidence = Evidence({"fam": {}, "year": {}}, Forms([], ["mary", "jurgen", "gregory"]), 24.0, 96_000)
+    evidence = Evidence({}, Forms([], ["mary", "jurgen", "gregory"]), 24.0, 96_000)
     table = _counted(spark.createDataFrame(rows, _FIELDS)).orderBy("idx").toArrow().combine_chunks()
     found = _compare_sorted(table, np.arange(8), np.zeros(8), np.zeros(8), evidence, 17.6, True)
     assert {p[:2] for p in found} == {(0, 1), (2, 3), (4, 5), (6, 7)}
@@ -332,7 +337,7 @@ def test_slips_are_found_beyond_the_window(spark):
     rows = [(i, i % 2, fam, "Mary", fam, "mary", "m", 1984, "F", str(i), f"street{i}") for i, fam in enumerate(fams)]
     df = matching._counted(spark.createDataFrame(rows, matching._FIELDS))
     total, threshold = 100_000, 17.6
-    evidence = matching.Evidence({"fam": {}, "year": {}}, Forms([], ["mary"]), 99.0, total)
+    evidence = matching.Evidence({}, Forms([], ["mary"]), 99.0, total)
     pairs = lambda found: {(r["i"], r["j"]) for r in found.collect()}
     assert pairs(matching._slip_pairs(df, total, evidence, threshold)) == {(60, 61), (60, 62)}
     assert (60, 61) not in pairs(matching._window_pairs(df, matching.SORT_KEYS[2], len(rows), evidence, threshold))
@@ -375,7 +380,7 @@ def test_windows_go_over_borders(spark):
     n = 40
     rows = [(i, 0, "a", "b", "aaa", "bbb", "b", 1970, "M", "1", "str") for i in range(n)]
     df = matching._counted(spark.createDataFrame(rows, matching._FIELDS))
-    always = Always({"fam": {}, "year": {}}, Forms([], []), 1.0, n)
+    always = Always({}, Forms([], []), 1.0, n)
     # a pair near two borders may come twice
     got = sorted({(r["i"], r["j"]) for r in matching._window_pairs(df, ("fam", "giv"), n, always, 0.0).collect()})
     assert got == [(i, j) for i in range(n) for j in range(i + 1, min(n, i + WINDOW))]
