@@ -65,8 +65,3 @@ def write(df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()) -> T
         else:
             spark.conf.set(_CLEANUP, before)
     return table
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let the driver drop the generated classes and plans of past runs; for loops of many runs, once a round."""
-    spark._jvm.System.gc()
