@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,4 +66,22 @@ def write(df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()) -> T
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+    for kept in getattr(_SCOPE, "open", []):
+        kept.append(table)
     return table
+
+
+_SCOPE = threading.local()
+
+
+@contextmanager
+def dropped_at_end() -> Iterator[None]:
+    """All tables that this thread writes inside go at the end; results must have been used by then."""
+    tables: list[Table] = []
+    _SCOPE.open = [*getattr(_SCOPE, "open", []), tables]
+    try:
+        yield
+    finally:
+        _SCOPE.open = _SCOPE.open[:-1]
+        for table in tables:
+            table.drop()

@@ -259,11 +259,18 @@ def test_planted_matches(spark):
 
 
 def test_streaming(spark, tmp_path):
+    from pathlib import Path
+
+    from linkwright.store import shared_dir
     from linkwright.streaming import link_batches
 
     a, b = _tables(spark)
     a.write.parquet(str(tmp_path / "in"))
     got = []
+    kept = lambda: sorted(p.name for p in Path(shared_dir(spark)).glob("*"))
+    before = kept()
     query = link_batches(spark.readStream.schema(a.schema).parquet(str(tmp_path / "in")), b, ["last"], [], [0.0, 0.5, 0.9], lambda df, n: got.extend(df.select("id_A", "id_B").collect()), order_by="id").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {tuple(r) for r in got} == {(0, 0), (2, 1), (3, 2)}
+    # a stream leaves no tables behind
+    assert kept() == before
