@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linkwright.config import CompareConfig
-from linkwright.operators.levels import exact_levels, fuzzy_levels, value_levels
+from linkwright.operators.levels import distinct_levels, exact_levels, fuzzy_levels, value_levels
 
 
 def jaro_winkler_pairs(a: DataFrame, b: DataFrame, column_a: str, column_b: str, cfg: CompareConfig = CompareConfig(), idx: str = "__idx") -> DataFrame:
@@ -32,3 +33,10 @@ def exact_pairs(a: DataFrame, b: DataFrame, column_a: str, column_b: str, idx: s
 def exact_dedup(df: DataFrame, column: str, idx: str = "__idx") -> DataFrame:
     """``idx_a, idx_b, level`` of the record pairs of one table with equal values, ``idx_a > idx_b``."""
     return exact_levels(df, None, column, column, idx)
+
+
+def jaro_winkler_pair_counts(a: DataFrame, b: DataFrame, column_a: str, column_b: str, cfg: CompareConfig = CompareConfig()) -> DataFrame:
+    """``level, n_pairs``: how many record pairs of two tables reach each level, from the rows of each value."""
+    rows = lambda df, c, v, n: df.where(df[c].isNotNull()).groupBy(df[c].alias(v)).agg(F.count(F.lit(1)).alias(n))
+    met = distinct_levels(a, b, column_a, column_b, cfg).join(rows(a, column_a, "v", "n_v"), "v").join(rows(b, column_b, "w", "n_w"), "w")
+    return met.groupBy("level").agg(F.sum(F.col("n_v").cast("decimal(38,0)") * F.col("n_w")).cast("long").alias("n_pairs"))
