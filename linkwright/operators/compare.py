@@ -7,7 +7,7 @@ from functools import cached_property, reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.config import LOWER, PREFIX_WEIGHT, UPPER, CompareConfig
@@ -16,6 +16,9 @@ from linkwright.operators.levels import distinct_levels, exact_levels, fuzzy_lev
 from linkwright.operators.patterns import combine, gamma_table, n_patterns, radices, strides
 from linkwright.store import write
 
+#: Record numbers in a list, of which two make up to a square of it in pairs.
+LIST_RECORDS = 1024
+
 
 def _known(df: DataFrame, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in df.columns]
@@ -55,11 +58,40 @@ class _Pairs:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """``idx_a, idx_b, pattern_id`` of all pairs that agree somewhere."""
-        cfg, block, other = self._fitted(), self.block_on, None if self._own else self.b
-        levels = [fuzzy_levels(self.a, other, x, y, cfg, block_on=block, values=v) for (x, y), v in zip(self._fuzzy, self._values)]
-        levels += [exact_levels(self.a, other, x, y, block_on=block) for x, y in self._exact]
-        return combine(levels, self.n_fuzzy, self.n_exact)
+        """``idx_a, idx_b, pattern_id`` of all pairs that agree somewhere.
+
+        Patterns are found between tuples; record numbers come in lists, which are opened last, so
+        that no pair of records is shuffled.
+        """
+        cfg, block = self._fitted(), self.block_on
+        a, b = self._sides
+        other, names = None if self._own else b, [f"x{k}" for k in range(self.n_fuzzy + self.n_exact)]
+        levels = [fuzzy_levels(a, other, x, x, cfg, "t", block, v) for x, v in zip(names, self._values)]
+        levels += [exact_levels(a, other, x, x, "t", block) for x in names[self.n_fuzzy :]]
+        found = combine(levels, self.n_fuzzy, self.n_exact).withColumnsRenamed({"idx_a": "ta", "idx_b": "tb"})
+        if self._own:
+            found = found.unionByName(a.select(F.col("t").alias("ta"), F.col("t").alias("tb"), self._top().cast("int").alias("pattern_id")).where("pattern_id > 0"))
+        lists = lambda side: self._lists(side).withColumnsRenamed({c: f"{c}{side}" for c in ("t", "no", "ids")})
+        met = found.join(lists("a"), "ta").join(lists("b"), "tb")
+        if self._own:
+            # of a tuple with itself each two lists once
+            met = met.where("ta <> tb or noa >= nob")
+        spread = met.repartition(8 * self.a.sparkSession.sparkContext.defaultParallelism, "ta", "tb", "noa", "nob")
+        out = spread.select("pattern_id", "ta", "tb", "noa", "nob", "idsb", F.explode("idsa").alias("i")).select("pattern_id", "ta", "tb", "noa", "nob", "i", F.explode("idsb").alias("j"))
+        if not self._own:
+            return out.select(F.col("i").alias("idx_a"), F.col("j").alias("idx_b"), "pattern_id")
+        return out.where("ta <> tb or noa <> nob or i > j").select(F.greatest("i", "j").alias("idx_a"), F.least("i", "j").alias("idx_b"), "pattern_id")
+
+    def _top(self) -> Column:
+        """The pattern of a tuple with itself."""
+        levels = radices(self.n_fuzzy, self.n_exact)
+        return sum((F.when(F.col(f"x{k}").isNotNull(), (n - 1) * w).otherwise(0) for k, (n, w) in enumerate(zip(levels, strides(levels)))), F.lit(0))
+
+    def _lists(self, side: str) -> DataFrame:
+        """``t, no, ids``: the records of each tuple in lists of about ``LIST_RECORDS``."""
+        parts = F.ceil(F.col("n") / LIST_RECORDS)
+        numbered = self._members(side, "n").withColumn("no", F.pmod(F.xxhash64("idx"), parts).cast("int"))
+        return numbered.groupBy("t", "no").agg(F.collect_list("idx").alias("ids"))
 
     def indices(self, pattern_id: int) -> DataFrame:
         """The pairs of one pattern."""
@@ -145,8 +177,7 @@ class _Pairs:
             found[level * weights[k]] = n - sum(found[p] for p in range(size) if digit(p, k) == level and p != level * weights[k])
         if self._own:
             # every pair has come twice, and every record with itself
-            top = sum((F.when(F.col(f"x{k}").isNotNull(), (n - 1) * w).otherwise(0) for k, (n, w) in enumerate(zip(levels, weights))), F.lit(0))
-            for r in self._sides[0].groupBy(top.alias("p")).agg(F.sum("n").alias("n")).collect():
+            for r in self._sides[0].groupBy(self._top().alias("p")).agg(F.sum("n").alias("n")).collect():
                 found[r["p"]] -= r["n"]
             found = [n // 2 for n in found]
         found[0] = int(self._total().first()[0]) - sum(found[1:])
@@ -167,13 +198,13 @@ class _Pairs:
         out = tuples.join(a.select(F.col("t").alias("ta"), F.col("idx").alias("idx_a")), "ta").join(b.select(F.col("t").alias("tb"), F.col("idx").alias("idx_b")), "tb")
         return (out.where("idx_a > idx_b") if self._own else out).select("idx_a", "idx_b", "pattern_id")
 
-    def _members(self, side: str) -> DataFrame:
-        """``t, idx``: the records of each tuple."""
+    def _members(self, side: str, *more: str) -> DataFrame:
+        """``t, idx``: the records of each tuple; with other columns of the tuples, if asked for."""
         df, at = (self.a, 0) if side == "a" else (self.b, 1)
         tuples = self._sides[at]
         rows = df.select(*self.block_on, *[F.col(v[at]).alias(f"__x{k}") for k, v in enumerate([*self._fuzzy, *self._exact])], F.col(INDEX).alias("idx"))
         same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(tuples[c]) for c in self.block_on] + [rows[f"__x{k}"].eqNullSafe(tuples[f"x{k}"]) for k in range(self.n_fuzzy + self.n_exact)])
-        return rows.join(tuples, same).select(tuples["t"], rows["idx"])
+        return rows.join(tuples, same).select(tuples["t"], rows["idx"], *[tuples[c] for c in more])
 
 
 class Comparison(_Pairs):
