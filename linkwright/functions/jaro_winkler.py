@@ -3,12 +3,13 @@
 The window is half the longer length less one and may be empty, so that two equal strings of one
 character score 0; the prefix bonus always counts. ``similarity`` is the plain scalar; ``Block``
 compares strings of one length with many others at once, keeping for each of these one bit mask of
-positions for each character.
+positions for each character. Pairs without enough letters in common are left out first, by a product
+of matrices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -62,7 +63,7 @@ def length_range(n: int, threshold: float, p: float) -> tuple[int, int | None]:
     return max(1, int(np.ceil(n * ratio))), int(np.floor(n / ratio))
 
 
-#: Pairs whose masks are held at once, so that they stay in the cache.
+#: Pairs whose masks are held at once, so that they stay in the cache; letters in common are counted for eight times as many.
 CHUNK_PAIRS = 32_768
 
 
@@ -80,6 +81,11 @@ class Block:
         self.masks = np.zeros((len(alphabet) + 1, len(self.values)), np.uint64)
         np.bitwise_or.at(self.masks, (letter, row), np.uint64(1) << at.astype(np.uint64))
         self.alphabet = alphabet
+        # the k-th of equal letters of a string is a mark; two strings have as many letters in common as marks
+        marks, of = _marks(letter, row)
+        self.marks, column = np.unique(marks, return_inverse=True)
+        self.marked = np.zeros((len(self.marks), len(self.values)), np.float32)
+        self.marked[column, of] = 1
 
     def against(self, xs: Sequence[str], p: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers in ``xs`` and here, and similarities, of the pairs that reach the threshold; ``xs`` are of one length."""
@@ -103,39 +109,75 @@ class Block:
             begin, end = np.maximum(0, i - reach), np.maximum(0, np.minimum(kinds, i + reach + 1))
             windows.append(np.where(end > begin, (one << end.astype(np.uint64)) - (one << np.minimum(begin, end).astype(np.uint64)), np.uint64(0))[kind])
         out = []
-        step = max(1, CHUNK_PAIRS // len(chosen))
-        for first in range(0, len(xs), step):
-            part = letters[first : first + step]
-            used, hits = np.zeros((len(part), len(chosen)), np.uint64), []
+        for x, y in self._candidates(letters, chosen, kinds, kind, p, threshold):
+            used, hits = np.zeros(len(x), np.uint64), []
             for i in range(n):
-                free = masks[part[:, i]] & windows[i]
+                free = masks[letters[x, i], y] & windows[i][y]
                 free &= ~used
                 bit = free & (~free + one)
                 used |= bit
                 hits.append(bit)
             c = np.bitwise_count(used).astype(np.int64)
             # what is left to gain: no transposition, four equal first characters
-            bound = (c / n + c / m + (c > 0)) / 3
-            x, y = np.nonzero((c > 0) & (bound + 4 * p * (1 - bound) >= threshold - 1e-4))
-            if not len(x):
+            bound = (c / n + c / m[y] + (c > 0)) / 3
+            at = np.flatnonzero((c > 0) & (bound + 4 * p * (1 - bound) >= threshold - 1e-4))
+            if not len(at):
                 continue
-            rest, c = used[x, y], c[x, y]
+            x, y, rest, c = x[at], y[at], used[at], c[at]
             wrong, same, going = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.ones(len(x), bool)
             for i in range(n):
-                own = masks[part[x, i], y]
+                own = masks[letters[x, i], y]
                 if i < 4:
                     going &= (own >> np.uint64(i)) & one == 1
                     same += going
-                hit = hits[i][x, y] != 0
+                hit = hits[i][at] != 0
                 lowest = rest & (~rest + one)
                 wrong += hit & ((own & lowest) == 0)
                 rest = np.where(hit, rest ^ lowest, rest)
             f = lambda v: v.astype(np.float32)
             score = _finish(f(c), _F(n), f(m[y]), f(wrong), f(same), p)
             keep = np.flatnonzero(score >= _F(threshold))
-            out.append((x[keep] + first, chosen[y[keep]], score[keep]))
+            out.append((x[keep], chosen[y[keep]], score[keep]))
         return tuple(np.concatenate(v) for v in zip(*out)) if out else none
 
+    def _candidates(self, letters: np.ndarray, chosen: np.ndarray, kinds: np.ndarray, kind: np.ndarray, p: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the pairs, a chunk at a time, that have enough letters in common, wherever they stand, for their equal first characters."""
+        rows, n = letters.shape
+        marks, of = _marks(letters.ravel(), np.repeat(np.arange(rows), n))
+        column = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
+        known = self.marks[column] == marks
+        marked = np.zeros((rows, len(self.marks)), np.float32)
+        marked[of[known], column[known]] = 1
+        others, masks = self.marked[:, chosen], self.masks[:, chosen]
+        c = np.arange(n + 1)[:, None]
+        jaro = (c / n + c / kinds + (c > 0)) / 3
+        # by equal first characters and length, so many letters are needed; n + 1 if no number is enough
+        need = np.array([np.where((ok := (c > 0) & (jaro + k * p * (1 - jaro) >= threshold - 1e-4)).any(axis=0), ok.argmax(axis=0), n + 1) for k in range(5)], np.float32)[:, kind]
+        step = max(1, CHUNK_PAIRS * 8 // len(chosen))
+        for first in range(0, rows, step):
+            common = marked[first : first + step] @ others
+            x, y = np.nonzero(common >= need[4])
+            common, x = common[x, y], x + first
+            for begin in range(0, len(x), CHUNK_PAIRS):
+                i, j, both = (v[begin : begin + CHUNK_PAIRS] for v in (x, y, common))
+                same, going = np.zeros(len(i), np.int64), np.ones(len(i), bool)
+                for k in range(min(4, n)):
+                    going &= (masks[letters[i, k], j] >> np.uint64(k)) & np.uint64(1) == 1
+                    same += going
+                enough = both >= need[same, j]
+                if enough.any():
+                    yield i[enough], j[enough]
+
+
+def _marks(letter: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each letter of each string a number of the letter and of how many equal ones stand before it; and the string."""
+    order = np.lexsort((letter, row))
+    letter, row = letter[order].astype(np.int64), row[order]
+    starts = np.ones(len(letter), bool)
+    starts[1:] = (letter[1:] != letter[:-1]) | (row[1:] != row[:-1])
+    at = np.arange(len(letter))
+    return letter * (MASK_BITS + 1) + at - np.maximum.accumulate(np.where(starts, at, 0)), row
+
 
 def _codes(values: Sequence[str]) -> np.ndarray:
     return np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)

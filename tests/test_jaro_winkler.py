@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -64,3 +66,20 @@ def test_sql_functions(spark):
     assert (np.float32(row.s), row.l, row.n, row.z) == (np.float32(0.96111107), 1, None, 0)
     df = spark.createDataFrame([("john", "jon"), (None, "x")], "a string, b string")
     assert [r[0] for r in df.select(jw_similarity(df.a, df.b)).collect()] == [pytest.approx(0.9333333), None]
+
+
+def test_pairs_left_out_by_letters_in_common():
+    """Long blocks of random words: few pairs reach the kernel, and none is missed."""
+    from linkwright.functions.jaro_winkler import Block, _codes
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    ys = [word(8) for _ in range(300)]
+    xs = [y[:5] + y[6] + y[5] + y[7] for y in ys[:40]] + [word(8) for _ in range(60)]
+    block, pairs = Block(ys), [(i, j) for i in range(100) for j in range(300)]
+    want = {(i, j) for i, j in pairs if similarity(xs[i], ys[j]) >= np.float32(0.88)}
+    i, j, _ = block.against(xs, 0.1, 0.88)
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) >= 40
+    letters = np.minimum(np.searchsorted(block.alphabet, _codes(xs)), len(block.alphabet) - 1).reshape(100, 8)
+    met = sum(len(x) for x, _ in block._candidates(letters, np.arange(300), np.array([8]), np.zeros(300, np.int64), 0.1, 0.88))
+    assert met < len(pairs) / 50

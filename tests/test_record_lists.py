@@ -22,3 +22,16 @@ def test_pairs_of_many_equal_records(spark, own, monkeypatch):
     plan = made.pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = lambda word: next((i for i, x in enumerate(plan) if word in x), len(plan))
     assert first("Generate explode") < min(first("Aggregate"), first("Join"), first("Repartition"))
+
+
+def test_cover_of_probable_patterns(spark):
+    """Pairs of chosen patterns come from the combinations of variables that few pairs share, not from all."""
+    rows = [(i, f"name{i % 50}", f"town{i % 7}x{i % 3}", i % 2, i % 40) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, l string, s string, g int, y int")
+    made = Deduplication(df, ["l", "s"], ["g", "y"], index="id").fit()
+    wanted = [35, 34, 33]
+    sets = {frozenset({0, 1, 2, 3}), frozenset({0, 1, 2}), frozenset({0, 1, 3})}
+    taken = made._cover(sets)
+    assert len(taken) <= 2 and all(any(s.issuperset(c) for c in taken) for s in sets)
+    got = {tuple(r) for r in made.chosen(wanted).collect()}
+    assert got and got == {tuple(r) for r in made.pairs.where(F.col("pattern_id").isin(wanted)).collect()}
