@@ -98,12 +98,15 @@ class Block:
         np.bitwise_or.at(words, (rank // 64, of), np.uint64(1) << (rank % 64).astype(np.uint64))
         return words
 
-    def against(self, xs: Sequence[str], p: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers in ``xs`` and here, and similarities, of the pairs that reach the threshold; ``xs`` are of one length."""
+    def against(self, xs: Sequence[str], p: float, threshold: float, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers in ``xs`` and here, and similarities, of the pairs that reach the threshold; ``xs`` are of one length. ``pairs`` are the numbers of those to be compared, all if not given."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         n = len(xs[0]) if len(xs) else 0
         low, high = length_range(n, threshold, p) if n else (1, 0)
         ok = (self.lengths >= low) if high is None else (self.lengths >= low) & (self.lengths <= high)
+        if pairs is not None:
+            fits = ok[pairs[1]]
+            pairs, ok = (pairs[0][fits], pairs[1][fits]), np.full(len(ok), bool(fits.any()))
         chosen = np.flatnonzero(ok)
         if not n or not len(chosen):
             return none
@@ -120,7 +123,7 @@ class Block:
             begin, end = np.maximum(0, i - reach), np.maximum(0, np.minimum(kinds, i + reach + 1))
             windows.append(np.where(end > begin, (one << end.astype(np.uint64)) - (one << np.minimum(begin, end).astype(np.uint64)), np.uint64(0))[kind])
         out = []
-        for x, y in self._candidates(letters, chosen, kinds, kind, p, threshold):
+        for x, y in self._candidates(letters, chosen, kinds, kind, p, threshold, pairs):
             used, hits = np.zeros(len(x), np.uint64), []
             for i in range(n):
                 free = masks[letters[x, i], y] & windows[i][y]
@@ -151,7 +154,7 @@ class Block:
             out.append((x[keep], chosen[y[keep]], score[keep]))
         return tuple(np.concatenate(v) for v in zip(*out)) if out else none
 
-    def _candidates(self, letters: np.ndarray, chosen: np.ndarray, kinds: np.ndarray, kind: np.ndarray, p: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _candidates(self, letters: np.ndarray, chosen: np.ndarray, kinds: np.ndarray, kind: np.ndarray, p: float, threshold: float, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of the pairs, a chunk at a time, that have enough letters in common, wherever they stand, for their equal first characters."""
         rows, n = letters.shape
         marks, of = _marks(letters.ravel(), np.repeat(np.arange(rows), n))
@@ -162,10 +165,16 @@ class Block:
         lacking, others = ~np.bitwise_or.reduce(words, axis=0), self.words[:, chosen]
         sketch, m = self.sketch[chosen], self.lengths[chosen]
         c = np.arange(n + 1)[:, None]
-        jaro = (c / n + c / kinds + (c > 0)) / 3
+        jaro = (c / n + c / np.maximum(kinds, 1) + (c > 0)) / 3
         # by equal first characters and length, so many letters are needed; n + 1 if no number is enough
         need = np.array([np.where((ok := (c > 0) & (jaro + k * p * (1 - jaro) >= threshold - 1e-4)).any(axis=0), ok.argmax(axis=0), n + 1) for k in range(5)], np.int64)[:, kind]
-        for x, y in self._sketched(lacking, sketch, m, need, letters[:, 0], self.first[chosen]):
+        if pairs is not None:
+            x, y = pairs
+            near = np.flatnonzero(np.bitwise_count(lacking[x] & sketch[y]) <= m[y] - need[4][y])
+            source = [(x[near], y[near])]
+        else:
+            source = self._sketched(lacking, sketch, m, need, letters[:, 0], self.first[chosen])
+        for x, y in source:
             for begin in range(0, len(x), CHUNK_PAIRS):
                 i, j = x[begin : begin + CHUNK_PAIRS], y[begin : begin + CHUNK_PAIRS]
                 both = np.zeros(len(i), np.int64)
@@ -260,6 +269,73 @@ def block_pairs(xs: Sequence[str], ys: Sequence[str], p: float, threshold: float
     return tuple(np.concatenate(v) for v in zip(*found))
 
 
+class Sketches:
+    """A word of bits for each of two lists of strings, by which most pairs are seen not to reach the threshold."""
+
+    def __init__(self, xs: Sequence[str], ys: Sequence[str], p: float, threshold: float) -> None:
+        short = [[v if len(v) <= MASK_BITS else "" for v in vs] for vs in (xs, ys)]
+        block = Block(short[1])
+        codes, size = _codes(short[0]), np.array([len(v) for v in short[0]], np.int64)
+        # a letter that no string of the second list has is no mark there
+        letter = np.searchsorted(block.alphabet, codes)
+        known = letter < len(block.alphabet)
+        known[known] = block.alphabet[letter[known]] == codes[known]
+        marks, of = _marks(letter[known], np.repeat(np.arange(len(xs)), size)[known])
+        column = np.minimum(np.searchsorted(block.marks, marks), max(len(block.marks) - 1, 0))
+        here = block.marks[column] == marks if len(block.marks) else np.zeros(0, bool)
+        self.lacking = ~np.bitwise_or.reduce(block._words(block.rank[column[here]], of[here], len(xs)), axis=0)
+        self.sketch = block.sketch
+        # by both lengths, so many marks of the second string may be lacking; the last row and column are strings that are not looked at here
+        self.lengths = [np.array([min(len(v), MASK_BITS + 1) for v in vs], np.int64) for vs in (xs, ys)]
+        self.spare = np.full((MASK_BITS + 2, MASK_BITS + 2), -1, np.int8)
+        for n in range(1, MASK_BITS + 1):
+            c, m = np.arange(1, n + 1)[:, None], np.arange(1, MASK_BITS + 1)
+            jaro = (c / n + c / m + 1) / 3
+            ok = jaro + 4 * p * (1 - jaro) >= threshold - 1e-4
+            self.spare[n, 1:-1] = np.where(ok.any(axis=0), np.maximum(m - ok.argmax(axis=0) - 1, -1), -1)
+        self.spare[-1], self.spare[:, -1] = 64, 64
+
+    def of(self, x: np.ndarray, y: np.ndarray) -> Sketches:
+        """The same for rows that have these numbers."""
+        out = object.__new__(Sketches)
+        out.lacking, out.sketch, out.spare = self.lacking[x], self.sketch[y], self.spare
+        out.lengths = [self.lengths[0][x], self.lengths[1][y]]
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the pairs of these numbers may reach the threshold."""
+        return np.bitwise_count(self.lacking[i] & self.sketch[j]) <= self.spare[self.lengths[0][i], self.lengths[1][j]]
+
+
+def pair_levels(xs: Sequence[str], ys: Sequence[str], x: np.ndarray, y: np.ndarray, p: float, lower: float, upper: float) -> np.ndarray:
+    """The level, 0 to 2, of each pair of the numbers ``x`` in ``xs`` and ``y`` in ``ys``; an empty string reaches none."""
+    if 4 * len(y) < len(ys):
+        # a few pairs need few of the strings
+        used, y = np.unique(y, return_inverse=True)
+        ys = [ys[i] for i in used]
+    out = np.zeros(len(x), np.int64)
+    size_x, size_y = (np.array([len(v) for v in vs], np.int64) for vs in (xs, ys))
+    level = lambda score: (score >= _F(lower)).astype(np.int64) + (score >= _F(upper))
+    for i in np.flatnonzero((size_x[x] > MASK_BITS) | (size_y[y] > MASK_BITS)):
+        out[i] = level(np.float32(similarity(xs[x[i]], ys[y[i]], p)))
+    # strings beyond the masks have been compared; an empty one stands in their place
+    block, n = Block([v if len(v) <= MASK_BITS else "" for v in ys]), np.where(size_y[y] > MASK_BITS, 0, size_x[x])
+    order = np.argsort(n, kind="stable")
+    lengths, begins = np.unique(n[order], return_index=True)
+    for length, begin, end in zip(lengths, begins, [*begins[1:], len(order)]):
+        if not 0 < length <= MASK_BITS:
+            continue
+        at = order[begin:end]
+        used, i = np.unique(x[at], return_inverse=True)
+        # the place of a pair is found by its numbers again; a pair may come more than once
+        key, back = np.unique(i * len(ys) + y[at], return_inverse=True)
+        scores = np.zeros(len(key), np.float32)
+        i, j, score = block.against([xs[k] for k in used], p, lower, (key // len(ys), key % len(ys)))
+        scores[np.searchsorted(key, i * len(ys) + j)] = score
+        out[at] = level(scores)[back]
+    return out
+
+
 def pair_scores(a: Sequence[str | None], b: Sequence[str | None], p: float) -> np.ndarray:
     """The similarity of each pair of two lists, NaN where a side is null; equal pairs are compared once."""
     missing = np.array([not isinstance(u, str) or not isinstance(v, str) for u, v in zip(a, b)], bool)

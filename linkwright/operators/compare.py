@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property, reduce
 from itertools import combinations
 
@@ -15,12 +15,15 @@ from linkwright.operators.grid import grid
 from linkwright.operators.indexing import INDEX, with_index
 from linkwright.operators.levels import distinct_levels, exact_levels, fuzzy_levels
 from linkwright.operators.patterns import combine, gamma_table, n_patterns, radices, strides
+from linkwright.operators.probable import probable
 from linkwright.store import write
 
 #: Record numbers in a list, of which two make up to a square of it in pairs.
 LIST_RECORDS = 1024
 #: Pairs of tuples looked at as bits in the time in which a join makes one.
 BITS_AS_JOINED = 8192
+#: Greatest part of all pairs whose strings are compared one by one.
+FEW_PAIRS = 1 / 16
 
 
 def _known(df: DataFrame, names: Sequence[str]) -> None:
@@ -29,6 +32,23 @@ def _known(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"unknown columns: {missing}")
 
 
+class _Once(Sequence):
+    """Items made when they are first asked for."""
+
+    def __init__(self, n: int, make: Callable[[int], DataFrame]) -> None:
+        self._n, self._make, self._made = n, make, {}
+
+    def __len__(self) -> int:
+        return self._n
+
+    def __getitem__(self, k: int) -> DataFrame:
+        if not 0 <= k < self._n:
+            raise IndexError(k)
+        if k not in self._made:
+            self._made[k] = self._make(k)
+        return self._made[k]
+
+
 class _Pairs:
     """What both comparisons share: value pairs, record pairs, counts and their guards.
 
@@ -55,10 +75,13 @@ class _Pairs:
         return self._cfg
 
     @cached_property
-    def _values(self) -> list[DataFrame]:
-        """The value pairs of each fuzzy variable, written once."""
-        cfg, other = self._fitted(), None if self._own else self.b
-        return [write(distinct_levels(self.a, other, x, y, cfg, self.block_on), "values").df for x, y in self._fuzzy]
+    def _values(self) -> _Once:
+        """The value pairs of each fuzzy variable, each written once, when it is asked for."""
+        return _Once(self.n_fuzzy, lambda k: self._value_pairs(k, self.block_on))
+
+    def _value_pairs(self, k: int, block: Sequence[str]) -> DataFrame:
+        x, y = self._fuzzy[k]
+        return write(distinct_levels(self.a, None if self._own else self.b, x, y, self._fitted(), block), "values").df
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -123,18 +146,23 @@ class _Pairs:
     @cached_property
     def _coded(self) -> tuple[DataFrame, DataFrame, list[DataFrame | None]]:
         """Tuples of both sides, and the value pairs in both directions, with numbers for fuzzy values; one without a partner is null. None stands for equality."""
-        sides, matching = list(self._sides[: 1 if self._own else 2]), []
-        for k, values in enumerate(self._values):
+        return self._code(range(self.n_fuzzy), self.block_on)
+
+    def _code(self, variables: Sequence[int], block: Sequence[str]) -> tuple[DataFrame, DataFrame, list[DataFrame | None]]:
+        """The same for some of the fuzzy variables, whose values are compared within ``block``."""
+        sides, matching = list(self._sides[: 1 if self._own else 2]), [None] * (self.n_fuzzy + self.n_exact)
+        for k in variables:
+            values = self._values[k] if list(block) == self.block_on else self._value_pairs(k, block)
             if self._own:
-                values = values.unionByName(values.where("v <> w").select(*self.block_on, F.col("w").alias("v"), F.col("v").alias("w"), "level"))
+                values = values.unionByName(values.where("v <> w").select(*block, F.col("w").alias("v"), F.col("v").alias("w"), "level"))
             both = values.select("v").union(values.select(F.col("w").alias("v"))).distinct()
             codes = write(both.withColumn("code", F.monotonically_increasing_id()), "codes").df
             code = lambda name, out: codes.select(F.col("v").alias(name), F.col("code").alias(out))  # noqa: E731, B023
             sides = [t.join(code(f"x{k}", "code"), f"x{k}", "left").drop(f"x{k}").withColumnRenamed("code", f"x{k}") for t in sides]
-            numbered = values.join(code("v", "cv"), "v").join(code("w", "cw"), "w").select(*self.block_on, F.col("cv").alias("v"), F.col("cw").alias("w"), "level")
-            matching.append(write(numbered, "matching").df)
+            numbered = values.join(code("v", "cv"), "v").join(code("w", "cw"), "w").select(*block, F.col("cv").alias("v"), F.col("cw").alias("w"), "level")
+            matching[k] = write(numbered, "matching").df
         sides = [write(t, "coded").df for t in sides]
-        return sides[0], sides[-1], matching + [None] * self.n_exact
+        return sides[0], sides[-1], matching
 
     def _products(self, i: int, j: int) -> dict[tuple[int, int], int]:
         """How many pairs of records reach each two levels of two variables; of one table in both orders, each with itself."""
@@ -209,12 +237,12 @@ class _Pairs:
             parts.append(out.select("ta", "tb", "na", "nb", sum((F.col(f"l{k}") * w for k, w in enumerate(weights)), F.lit(0)).cast("int").alias("pattern_id")))
         return parts
 
-    def _alone(self) -> DataFrame:
+    def _alone(self, coded: tuple[DataFrame, DataFrame, list[DataFrame | None]], variables: Sequence[int], block: Sequence[str]) -> DataFrame:
         """``variable, level, n``: how many pairs of records reach each level of each variable."""
-        a, b, matching = self._coded
+        a, b, matching = coded
         parts, product = [], F.col("na").cast("decimal(38,0)") * F.col("nb")
-        for k, match in enumerate(matching):
-            keys = [*self.block_on, f"x{k}"]
+        for k in variables:
+            match, keys = matching[k], [*block, f"x{k}"]
             rows = lambda t, name: t.where(F.col(f"x{k}").isNotNull()).groupBy(*keys).agg(F.sum("n").alias(name))  # noqa: E731, B023
             if match is None:
                 met = rows(a, "na").join(rows(b, "nb"), keys).withColumn("level", F.lit(1))
@@ -226,7 +254,7 @@ class _Pairs:
     @cached_property
     def _reached(self) -> dict[tuple[int, int], int]:
         """How many pairs of records reach each variable's level."""
-        return {(r["variable"], r["level"]): int(r["n"]) for r in self._alone().collect()}
+        return {(r["variable"], r["level"]): int(r["n"]) for r in self._alone(self._coded, range(self.n_fuzzy + self.n_exact), self.block_on).collect()}
 
     @cached_property
     def Counts(self) -> np.ndarray:  # noqa: N802
@@ -272,13 +300,52 @@ class _Pairs:
         agreeing = {frozenset(k for k, (w, n) in enumerate(zip(strides(levels), levels)) if p // w % n) for p in patterns}
         if not patterns or any(len(s) < 2 for s in agreeing):
             return self.pairs.where(F.col("pattern_id").isin(list(patterns)))
-        parts = [self._grid(patterns)] if self._by_bits else self._patterned(self._cover(agreeing))
+        few = self._few(agreeing)
+        part = self._probable(few, patterns) if few else None
+        if part is not None:
+            parts = [part]
+        else:
+            parts = [self._grid(patterns)] if self._by_bits else self._patterned(self._cover(agreeing))
         kept = [write(part.where(F.col("pattern_id").isin(list(patterns))), "chosen").df for part in parts]
         tuples = reduce(DataFrame.unionByName, [part.select("ta", "tb", "pattern_id") for part in kept])
         a, b = self._members("a"), self._members("b")
         out = tuples.join(a.select(F.col("t").alias("ta"), F.col("idx").alias("idx_a")), "ta").join(b.select(F.col("t").alias("tb"), F.col("idx").alias("idx_b")), "tb")
         return (out.where("idx_a > idx_b") if self._own else out).select("idx_a", "idx_b", "pattern_id")
 
+    @cached_property
+    def _distinct(self) -> dict[int, float]:
+        """How many pairs of distinct values each fuzzy variable has."""
+        a, b = (t.agg(*[F.approx_count_distinct(f"x{k}").alias(f"x{k}") for k in range(self.n_fuzzy)]).first() for t in self._sides)
+        return {k: float(a[k]) * b[k] for k in range(self.n_fuzzy)}
+
+    def _few(self, agreeing: set[frozenset[int]]) -> list[int]:
+        """Variables with few distinct values of which every set holds two or more; none if no comparison of values is saved."""
+        a, b = self._sides
+        # where all values have been compared, nothing is left to save
+        if self._own or not self.compat or "_coded" in self.__dict__:
+            return []
+        exact = range(self.n_fuzzy, self.n_fuzzy + self.n_exact)
+        # codes of exact values go over as they are
+        if any(a.schema[f"x{k}"].dataType != b.schema[f"x{k}"].dataType or a.schema[f"x{k}"].dataType.simpleString() not in ("tinyint", "smallint", "int") for k in exact):
+            return []
+        order = [*exact, *sorted(range(self.n_fuzzy), key=self._distinct.get)]
+        return sorted(next((order[:n] for n in range(2, len(order)) if all(len(s.intersection(order[:n])) >= 2 for s in agreeing)), []))
+
+    def _probable(self, few: Sequence[int], patterns: Sequence[int]) -> DataFrame | None:
+        """``ta, tb, pattern_id`` of the pairs of some patterns; None if too many pairs agree in two of the few variables."""
+        levels = radices(self.n_fuzzy, self.n_exact)
+        coded = self._code([k for k in few if k < self.n_fuzzy], ())
+        total = max(1, self.a.count() * self.b.count())
+        share = dict.fromkeys(few, 0.0)
+        for r in self._alone(coded, few, ()).collect():
+            share[r["variable"]] += float(r["n"]) / total
+        # within a block all pairs agree in what makes it
+        share |= {k: 1.0 for k in few if k >= self.n_fuzzy and len(set(self._exact[k - self.n_fuzzy])) == 1 and self._exact[k - self.n_fuzzy][0] in self.block_on}
+        if sum(x * y for x, y in combinations(share.values(), 2)) > FEW_PAIRS:
+            return None
+        a, b, matching = coded
+        return probable(a, b, matching, few, strides(levels), levels, patterns, self._fitted(), self.block_on)
+
     def _cover(self, agreeing: set[frozenset[int]]) -> list[tuple[int, ...]]:
         """Combinations of variables with few pairs, up to two fuzzy ones and any exact ones in each, so that every set holds one of them."""
         number, size = dict.fromkeys(range(self.n_fuzzy + self.n_exact), 0), max(1, int(self._total().first()[0]))
