@@ -73,3 +73,11 @@ def test_a_part_of_the_grid_copies_few_tuples(spark, monkeypatch):
     assert (len(parts), 0 < most <= 400) == (6, True)
     agree = lambda r, s: sum((_level(r[1], s[1], False) > 0, _level(r[2], s[2], False) > 0, r[3] is not None and r[3] == s[3]))
     assert total == sum(agree(r, s) >= 2 for r in ra for s in rb)
+
+
+def test_pairs_of_codes_take_little_room(spark):
+    (_, a), (_, b) = _table(spark, 150, 1), _table(spark, 97, 2)
+    made = Comparison(a, b, ["x", "y"], ["x", "y"], ["e"], ["e"], index_a="idx", index_b="idx").fit()
+    kept = made._coded[2][0]
+    assert dict(kept.dtypes) == {"v": "bigint", "w": "bigint", "level": "int", "n": "bigint"}
+    assert all(".zstd." in f for f in kept.inputFiles()) and kept.inputFiles()
